@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -37,7 +38,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
         values = batch.column(column)
         if not len(values):
             continue
-        ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(values), 0), dtype=np.int64))
+        ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(values), 0), dtype=np.int64))
         start = 0
         while start < len(ends):
             before = ends[start - 1] if start else 0
@@ -48,7 +49,7 @@ def text_slices(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHU
 
 def text_bytes(batch: pa.RecordBatch, column: str) -> list[bytes]:
     """The UTF-8 bytes of each text; null counts as empty."""
-    return pa.compute.fill_null(batch.column(column).cast(pa.binary()), b"").to_pylist()
+    return pc.fill_null(batch.column(column).cast(pa.binary()), b"").to_pylist()
 
 
 def ordinal(df: DataFrame, *order: Column, name: str) -> DataFrame:

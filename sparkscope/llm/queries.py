@@ -8,13 +8,40 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .licences import scan_licences
 from .mixing import mix
+from .packing import pack_documents
+from .secrets import scan_secrets
+from .simhash import near_groups
+from .web_archive import convert_pages
+
+#: The tokenizer file's name within the installed vocabulary package.
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_path(name: str = TOKENIZER) -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan_licences(_table(spark, sf_dir, "documents")).drop("blocks")
+
+
+def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pack_documents(_table(spark, sf_dir, "documents"), tokenizer_path())
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+
+
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
@@ -23,8 +50,16 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op9_arc_to_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return convert_pages(_table(spark, sf_dir, "pages"))
+
+
+def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_groups(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op6_exact_dedup, op8_source_mix)
+    found = (op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
