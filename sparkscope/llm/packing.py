@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 from collections.abc import Iterator
+from unicodedata import normalize
 
 import numpy as np
 import pyarrow as pa
@@ -29,14 +30,19 @@ class WordIds:
     The tokenizer drops white space and never joins what it separates, so a text's ids are its words' ids in order.
     """
 
-    SEPARATOR = "<|endoftext|>"
+    #: Fixed value: how the tokenizer cuts a word, after normalising it, before it merges characters.
+    PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+    WORDS_AT_ONCE = 512
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+        import regex
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.separator_id = self.tokenizer.token_to_id(self.SEPARATOR)
+        self.parts = regex.compile(self.PARTS)
+        self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -44,22 +50,27 @@ class WordIds:
         self.offsets = np.zeros(1, np.int64)
         self.ids = np.zeros(0, np.uint32)
 
+    def _together(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of many words in one call and where each word ends, told by their parts: each ends with a closing token."""
+        got = np.array(self.tokenizer.encode_batch_fast([" ".join(words)], add_special_tokens=False)[0].ids, np.uint32)
+        parts = np.cumsum([len(self.parts.findall(normalize("NFC", w).lower())) for w in words])
+        closed = np.concatenate([np.zeros(1, np.int64), np.flatnonzero(self.last[got]) + 1])
+        if len(closed) - 1 == parts[-1] and closed[-1] == len(got):
+            return got, closed[parts]
+        # Special tokens and characters that the two libraries see otherwise: word by word.
+        each = [self.tokenizer.encode(w, add_special_tokens=False).ids for w in words]
+        return np.array([i for ids in each for i in ids], np.uint32), np.cumsum([len(ids) for ids in each])
+
     def learn(self, words: list[bytes]) -> None:
         texts = [w.decode("utf-8", "replace") for w in words]
-        odd = [i for i, t in enumerate(texts) if "<|" in t]
-        plain = [t for t in texts if "<|" not in t]
-        pieces: list[np.ndarray] = []
-        for i in range(0, len(plain), 512):
-            got = np.array(self.tokenizer.encode(self.SEPARATOR.join(plain[i : i + 512]), add_special_tokens=False).ids, np.uint32)
-            pieces += np.split(got, np.flatnonzero(got == self.separator_id))
-            for k in range(len(pieces) - min(512, len(plain) - i) + 1, len(pieces)):
-                pieces[k] = pieces[k][1:]
-        order = [w for w, t in zip(words, texts, strict=True) if "<|" not in t] + [words[i] for i in odd]
-        pieces += [np.array(self.tokenizer.encode(texts[i], add_special_tokens=False).ids, np.uint32) for i in odd]
+        ids, ends = [self.ids], [self.offsets]
+        for i in range(0, len(texts), self.WORDS_AT_ONCE):
+            got, end = self._together(texts[i : i + self.WORDS_AT_ONCE])
+            ids.append(got)
+            ends.append(ends[-1][-1] + end)
         base = len(self.known)
-        self.known.update((w, base + k) for k, w in enumerate(order))
-        self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum([len(p) for p in pieces], dtype=np.int64)])
-        self.ids = np.concatenate([self.ids, *pieces])
+        self.known.update((w, base + k) for k, w in enumerate(words))
+        self.ids, self.offsets = np.concatenate(ids), np.concatenate(ends)
 
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends."""

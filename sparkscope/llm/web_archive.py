@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, text_slices
+from .common import checkpoint_folder, cut_lineage, text_slices
 
 #: The header fields of the two versions of the ARC format, in order.
 ARC_FIELDS = {
@@ -99,7 +99,7 @@ def arc_records(content: bytes) -> Iterator[tuple[int, int, dict[str, str], byte
 def record_uuid(key: int, name: str) -> str:
     """A UUID of version 8 that holds the key in its last 64 free bits, so that identifiers can be read back as keys."""
     bits = key & (2**64 - 1)
-    high = int.from_bytes(hashlib.sha1(name.encode()).digest()[:7], "big") >> 0
+    high = int.from_bytes(hashlib.sha1(name.encode()).digest()[:7], "big")
     value = (high >> 8 << 80) | (8 << 76) | ((high & 0xFF) << 66) | (bits >> 62 << 64) | (2 << 62) | (bits & (2**62 - 1))
     return str(uuid.UUID(int=value))
 
@@ -230,10 +230,7 @@ def read_warc(spark: SparkSession, path: str) -> DataFrame:
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder below the shared checkpoint folder."""
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        cut_lineage(spark.range(0))
-    return f"{context.getCheckpointDir()}/warc-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark)}/warc-{uuid.uuid4().hex}"
 
 
 def convert_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:

@@ -245,3 +245,13 @@ def test_components(spark):
     edges = [(i, i + 1) for i in range(0, 40)] + [(100, 200), (200, 150)] + [(1000, 1000 + i) for i in range(1, 30)] + [(7, 7)]
     got = dict(map(tuple, simhash.components(spark.createDataFrame(edges, "a long, b long")).collect()))
     assert got == {**{i: 0 for i in range(41)}, 100: 100, 150: 100, 200: 100, **{1000 + i: 1000 for i in range(30)}}
+
+
+def test_words_encoded_together():
+    from tokenizers import Tokenizer
+
+    words = packing.WordIds(queries.tokenizer_path())
+    texts = ["Ünïcode İstanbul ΣΑΣ ﬁn éa ́x it's THEY'LL don't '", "a b    x 12.5% $$$ ###a1b2", "<|endoftext|> x<|startoftext|>y z", "漢字 かな 한국어 \U0001f600\U0001f600ok", "", "x" * 5000]
+    ids, ends = words.encode([t.encode() for t in texts])
+    direct = Tokenizer.from_file(queries.tokenizer_path())
+    assert [ids[a:b].tolist() for a, b in zip([0, *ends[:-1]], ends, strict=True)] == [direct.encode(t, add_special_tokens=False).ids for t in texts]
