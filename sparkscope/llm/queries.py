@@ -8,11 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
+from .languages import fit, identify_documents, identify_pages
 from .licences import scan_licences
 from .mixing import mix
 from .packing import pack_documents
 from .secrets import scan_secrets
 from .simhash import near_groups
+from .substrings import remove_repeats
+from .vectors import top_k
 from .web_archive import convert_pages
 
 #: The tokenizer file's name within the installed vocabulary package.
@@ -29,6 +32,15 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = remove_repeats(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
+
+
+def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return top_k(_table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op3_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_licences(_table(spark, sf_dir, "documents")).drop("blocks")
 
@@ -46,6 +58,14 @@ def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_groups(_table(spark, sf_dir, "documents"))
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages with all their evidence, and documents, whose source stands for the host; the model comes from documents."""
+    docs = _table(spark, sf_dir, "documents")
+    model = fit(docs)
+    pages = identify_pages(_table(spark, sf_dir, "pages"), model)
+    return identify_documents(docs, model).unionByName(pages, allowMissingColumns=True)
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -59,7 +79,7 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup)
+    found = (op1_substring_dedup, op2_exact_top_k, op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op7_language_id, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup)
     return {f.__name__: f for f in found}
 
 
