@@ -18,10 +18,10 @@ from sparkscope.llm.languages import fit, identify_documents
 from sparkscope.llm.mixing import mix
 from sparkscope.llm.packing import pack_documents
 from sparkscope.llm.queries import tokenizer_path
-from sparkscope.llm.simhash import near_groups
+from sparkscope.llm.simhash import similar_groups
 
-#: Near-dedup of the pipeline: words in a shingle, and bits by which fingerprints of one group may differ.
-SHINGLE_WORDS, NEAR_BITS = 5, 4
+#: Near-dedup of the pipeline: words in a shingle, and the similarity of their shingles from which texts are copies.
+SHINGLE_WORDS, SIMILARITY = 5, 0.8
 
 
 def _only(docs: DataFrame, kept: DataFrame, *on: str) -> DataFrame:
@@ -50,7 +50,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep of each group of linked fingerprints the document with the smallest id."""
-    groups = near_groups(docs, SHINGLE_WORDS, NEAR_BITS)
+    groups = similar_groups(docs, SHINGLE_WORDS, SIMILARITY)
     return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")
 
 
