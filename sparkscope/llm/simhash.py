@@ -7,10 +7,15 @@ at most half of ``t``, rounded up. So fingerprints are replicated to all anchors
 threshold from either side; the radius plus the whole threshold from one side would hold the same pairs in many more rows),
 and the pairs of an anchor are compared exactly. Only distinct fingerprints are replicated, and an anchor gives out a
 spanning forest of its links, never all its pairs.
+
+A few bits on 64 are far stricter than a similarity of 0.8, where fingerprints differ in about ten. ``similar_groups`` takes
+that similarity: its fingerprints have several words, each table of anchors covers a few blocks of them, and the number of
+tables follows from the wanted share of found pairs, so that it is the same at every size.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +28,11 @@ from .common import cut_lineage, shuffle_partitions, text_slices
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS, _BITS = 9, 7
+#: Similar pairs: excess over an anchor's radius, share of pairs at the wanted similarity that have an anchor in common, standard
+#: deviations that a pair's differing bits may exceed their mean, least words of a fingerprint, and rows that an anchor should hold.
+EXCESS, FOUND, DEVIATIONS, LEAST_WORDS, ANCHOR_ROWS = 1, 0.98, 1.3, 4, 64
+#: Fingerprints that a part of a table should hold; larger groups of an anchor are joined by a forest.
+PART_ROWS, SMALL_ANCHOR = 1 << 16, 64
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -69,21 +79,33 @@ def _code_words() -> np.ndarray:
     return np.array([v for v in range(128) if not syndrome[v]], np.int64)
 
 
-def anchors(fp: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
-    """All ``(row, anchor)`` where a fingerprint exceeds the blocks' radius of one by at most ``excess`` bits in all."""
-    words = _code_words()
-    away = np.maximum(np.bitwise_count(np.arange(128)[:, None] ^ words[None, :]).astype(np.int64) - 1, 0)
-    options = {(v, left): np.flatnonzero(away[v] <= left) for v in range(128) for left in range(excess + 1)}
-    row, anchor, left = np.arange(len(fp)), np.zeros(len(fp), np.int64), np.full(len(fp), excess)
-    size = np.array([[len(options[v, k]) for k in range(excess + 1)] for v in range(128)])
+def _away() -> np.ndarray:
+    """By how many bits each value of a block exceeds the radius of one around each code word."""
+    return np.maximum(np.bitwise_count(np.arange(128)[:, None] ^ _code_words()[None, :]).astype(np.int64) - 1, 0)
+
+
+def _cover(values: np.ndarray, left: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """All ``(row, anchor, left)`` of rows of blocks' values whose excess over the anchor's radius is at most ``left``."""
+    away, most = _away(), int(left.max(initial=0))
+    options = {(v, k): np.flatnonzero(away[v] <= k) for v in range(128) for k in range(most + 1)}
+    row, anchor = np.arange(len(values)), np.zeros(len(values), np.int64)
+    size = np.array([[len(options[v, k]) for k in range(most + 1)] for v in range(128)])
     at = np.cumsum(size.ravel()) - size.ravel()
-    flat = np.concatenate([options[v, k] for v in range(128) for k in range(excess + 1)])
-    for block in range(_BLOCKS):
-        value = ((fp >> np.uint64(_BITS * block)) & np.uint64(127)).astype(np.int64)[row]
+    flat = np.concatenate([options[v, k] for v in range(128) for k in range(most + 1)])
+    for block in range(values.shape[1]):
+        value = values[row, block]
         n = size[value, left]
-        pick = flat[np.repeat(at[value * (excess + 1) + left] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
+        pick = flat[np.repeat(at[value * (most + 1) + left] - (np.cumsum(n) - n), n) + np.arange(n.sum())]
         value, row, anchor, left = (np.repeat(x, n) for x in (value, row, anchor, left))
         anchor, left = anchor << 4 | pick, left - away[value, pick]
+    return row, anchor, left
+
+
+def anchors(fp: np.ndarray, excess: int) -> tuple[np.ndarray, np.ndarray]:
+    """All ``(row, anchor)`` where a fingerprint exceeds the blocks' radius of one by at most ``excess`` bits in all."""
+    shifts = np.uint64(_BITS) * np.arange(_BLOCKS, dtype=np.uint64)
+    values = (fp[:, None] >> shifts[None, :] & np.uint64(127)).astype(np.int64)
+    row, anchor, _ = _cover(values, np.full(len(fp), excess))
     return row, anchor
 
 
@@ -181,3 +203,181 @@ def near_groups(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, id_c
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     by_fp = rooted.join(ids, "root").select("fp", "component_id")
     return printed.join(by_fp, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def differing_share(similarity: float) -> float:
+    """Mean share of differing bits between the fingerprints of two shingle sets of one size with this Jaccard similarity."""
+    return math.acos(2 * similarity / (1 + similarity)) / math.pi
+
+
+def shared_anchor_chance(blocks: int, share: float, excess: int = EXCESS) -> float:
+    """How often two fingerprints with this share of differing bits have an anchor over ``blocks`` blocks in common: a simulation."""
+    away, rng, n = _away(), np.random.default_rng(0), 1 << 15
+    both = {(i, j): ((away <= i).astype(np.int64) @ (away <= j).astype(np.int64).T) > 0 for i in range(excess + 1) for j in range(excess + 1)}
+    reached = {k: np.ones(n, bool) for k in both}
+    for _ in range(blocks):
+        a = rng.integers(0, 128, n)
+        b = a ^ ((rng.random((n, _BITS)) < share) << np.arange(_BITS)).sum(axis=1)
+        reached = {(x, y): np.logical_or.reduce([reached[x - i, y - j] & both[i, j][a, b] for i in range(x + 1) for j in range(y + 1)]) for x, y in both}
+    return float(reached[excess, excess].mean())
+
+
+def table_plan(rows: int, similarity: float, found: float = FOUND) -> tuple[int, int, int]:
+    """``(blocks, tables, words)``: anchors enough to hold a few rows each, and tables enough to find the wanted share of pairs."""
+    blocks = max(2, math.ceil(math.log2(max(2, 12 * rows / ANCHOR_ROWS)) / 4))
+    tables = math.ceil(math.log(1 - found) / math.log(1 - shared_anchor_chance(blocks, differing_share(similarity))))
+    return blocks, tables, max(LEAST_WORDS, math.ceil(tables * blocks * _BITS / 64))
+
+
+def wide_fingerprints(docs: DataFrame, shingle_words: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``id_col, fp``: the fingerprint over ``words`` independent 64-bit hashes of each shingle, as little-endian bytes."""
+    keys = np.random.default_rng(SEED).integers(0, 2**63, words, dtype=np.uint64)
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids = batch.column("id")
+            out = np.zeros((len(ids), words), np.uint64)
+            at = 0
+            for part in text_slices(iter([batch]), "text"):
+                hashes = [shingle_hashes(t or b"", shingle_words) for t in part.column("text").cast(pa.binary()).to_pylist()]
+                counts = np.array([len(h) for h in hashes], np.int64)
+                full = np.flatnonzero(counts)
+                if len(full):
+                    h = np.fromiter((x for one in hashes for x in one), np.uint64, int(counts.sum()))
+                    starts = (np.cumsum(counts) - counts)[full]
+                    for k in range(words):
+                        x = (h ^ keys[k]) * np.uint64(0xBF58476D1CE4E5B9)
+                        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                        bits = np.unpackbits((x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+                        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
+                        out[at + full, k] = np.packbits(2 * votes > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+                at += part.num_rows
+            data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(8 * words)), pa.py_buffer(out.astype("<u8").tobytes())])
+            yield pa.RecordBatch.from_arrays([ids, data], names=["id", "fp"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(compute, "id long, fp binary").withColumnRenamed("id", id_col)
+
+
+def _block_values(fp: np.ndarray, first: int, n: int) -> np.ndarray:
+    """Values of the blocks ``first`` to ``first + n`` of fingerprints given as rows of words."""
+    bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
+    own = bits[:, first * _BITS : (first + n) * _BITS].reshape(len(fp), n, _BITS)
+    return (own.astype(np.int64) << np.arange(_BITS)).sum(axis=2)
+
+
+def _apart(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.bitwise_count(x ^ y).sum(axis=-1, dtype=np.int64)
+
+
+def _wide_forest(fp: np.ndarray, most: int) -> np.ndarray:
+    """Links ``(root, member)`` that join all of ``fp`` within ``most`` bits of each other through one another."""
+    links, open_ = [], np.arange(len(fp))
+    while len(open_):
+        front, root, open_ = open_[:1], open_[0], open_[1:]
+        while len(front) and len(open_):
+            next_: list[np.ndarray] = []
+            for one in front:
+                near = _apart(fp[open_], fp[one]) <= most
+                next_.append(open_[near])
+                open_ = open_[~near]
+                if not len(open_):
+                    break
+            front = np.concatenate(next_)
+            links.append(np.stack([np.full(len(front), root), front], axis=1))
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+
+
+def _stars(n: int, pairs: np.ndarray) -> np.ndarray:
+    """For links among 0..n-1 the least member of each one's component, by lowering labels until nothing changes."""
+    label = np.arange(n)
+    while len(pairs):
+        low = np.minimum(label[pairs[:, 0]], label[pairs[:, 1]])
+        new = label.copy()
+        np.minimum.at(new, pairs[:, 0], low)
+        np.minimum.at(new, pairs[:, 1], low)
+        new = new[new]
+        if np.array_equal(new, label):
+            break
+        label = new
+    return label
+
+
+def _near_in_table(fp: np.ndarray, values: np.ndarray, left: np.ndarray, most: int) -> np.ndarray:
+    """Pairs of rows that have an anchor in common and differ in at most ``most`` bits, or links that join them."""
+    row, anchor, _ = _cover(values, left)
+    order = np.lexsort((row, anchor))
+    row, anchor = row[order], anchor[order]
+    starts = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(anchor)))
+    small = np.repeat(sizes <= SMALL_ANCHOR, sizes)
+    found, at, step = [], np.flatnonzero(small), 1
+    while len(at):
+        at = at[at + step < len(anchor)]
+        at = at[anchor[at + step] == anchor[at]]
+        near = at[_apart(fp[row[at]], fp[row[at + step]]) <= most]
+        found.append(np.stack([row[near], row[near + step]], axis=1))
+        step += 1
+    for s, n in zip(starts[sizes > SMALL_ANCHOR].tolist(), sizes[sizes > SMALL_ANCHOR].tolist(), strict=True):
+        members = row[s : s + n]
+        found.append(members[_wide_forest(fp[members], most)])
+    return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
+
+
+def similar_links(fps: DataFrame, blocks: int, tables: int, words: int, most: int, rows: int) -> DataFrame:
+    """Links ``a, b`` between nodes of ``fps`` (``node, fp``, distinct) at most ``most`` bits apart that share an anchor.
+
+    A part is a table and the first code words of its anchors: a fingerprint goes once to each part that has an anchor of
+    its own, and the part finds the rest of the anchors. A part gives out one link for each of its nodes at most.
+    """
+    lead = 1
+    while lead < blocks and rows * (1 + 2.625 * lead) / 16**lead > PART_ROWS:
+        lead += 1
+    width = 8 * (words + 1)
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, words)
+            data = np.concatenate([batch.column("node").to_numpy().view(np.uint64)[:, None], fp], axis=1)
+            for table in range(tables):
+                row, code, _ = _cover(_block_values(fp, table * blocks, lead), np.full(len(fp), EXCESS))
+                order = np.argsort(code, kind="stable")
+                codes, first = np.unique(code[order], return_index=True)
+                blobs = [data[p].tobytes() for p in np.split(row[order], first[1:])]
+                yield pa.RecordBatch.from_arrays([pa.array((table << 4 * lead) + codes), pa.array(blobs, pa.binary())], names=["part", "data"])
+
+    def find(key: tuple, held: pa.Table) -> pa.Table:
+        part = key[0].as_py()
+        table, code = part >> 4 * lead, part & (1 << 4 * lead) - 1
+        data = np.frombuffer(b"".join(held.column("data").to_pylist()), np.uint64).reshape(-1, width // 8)
+        data = data[np.argsort(data[:, 0].view(np.int64), kind="stable")]
+        node, fp = data[:, 0].view(np.int64), np.ascontiguousarray(data[:, 1:])
+        values = _block_values(fp, table * blocks, blocks)
+        used = sum(_away()[values[:, k], code >> 4 * (lead - 1 - k) & 15] for k in range(lead))
+        star = _stars(len(node), _near_in_table(fp, values[:, lead:], EXCESS - used, most))
+        linked = np.flatnonzero(star != np.arange(len(node)))
+        return pa.table({"a": pa.array(node[star[linked]]), "b": pa.array(node[linked])})
+
+    return fps.mapInArrow(deal, "part long, data binary").groupBy("part").applyInArrow(find, "a long, b long").distinct()
+
+
+def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, found: float = FOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col, component_id``, the smallest id reachable over links of similar texts.
+
+    Texts link when their fingerprints differ in at most as many bits as texts of this Jaccard similarity of their shingles
+    do, and ``DEVIATIONS`` standard deviations more; of these pairs at least the share ``found`` is compared. Null and empty
+    texts have fingerprint zero and are one group. Rows with a null id take part; a component of them alone has a null
+    ``component_id``. Repeated rows get the same component. An empty table gives an empty result.
+    """
+    rows = docs.count()
+    blocks, tables, words = table_plan(rows, similarity, found)
+    share, bits = differing_share(similarity), 64 * words
+    most = math.floor(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
+    printed = cut_lineage(wide_fingerprints(docs, shingle_words, words, id_col, text_col))
+    fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")).withColumn("node", F.monotonically_increasing_id()))
+    roots = components(similar_links(fps.select("node", "fp"), blocks, tables, words, most, rows))
+    rooted = cut_lineage(fps.join(roots, "node", "left").select("fp", "least_id", F.coalesce("root", "node").alias("root")))
+    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
+    return printed.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
