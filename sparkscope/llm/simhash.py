@@ -29,8 +29,8 @@ SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS, _BITS = 9, 7
 #: Similar pairs: excess over an anchor's radius, share of pairs at the wanted similarity that have an anchor in common, standard
-#: deviations that a pair's differing bits may exceed their mean, least words of a fingerprint, and rows that an anchor should hold.
-EXCESS, FOUND, DEVIATIONS, LEAST_WORDS, ANCHOR_ROWS = 1, 0.98, 1.3, 4, 64
+#: deviations that a pair's differing bits may exceed their mean, words of a fingerprint, and rows that an anchor should hold.
+EXCESS, FOUND, DEVIATIONS, WIDE_WORDS, ANCHOR_ROWS = 1, 0.98, 1.3, 4, 64
 #: Fingerprints that a part of a table should hold; larger groups of an anchor are joined by a forest.
 PART_ROWS, SMALL_ANCHOR = 1 << 16, 64
 
@@ -222,11 +222,14 @@ def shared_anchor_chance(blocks: int, share: float, excess: int = EXCESS) -> flo
     return float(reached[excess, excess].mean())
 
 
-def table_plan(rows: int, similarity: float, found: float = FOUND) -> tuple[int, int, int]:
-    """``(blocks, tables, words)``: anchors enough to hold a few rows each, and tables enough to find the wanted share of pairs."""
+def table_plan(rows: int, similarity: float, found: float = FOUND) -> np.ndarray:
+    """A row of blocks for each table: blocks enough for an anchor to hold a few rows, and tables enough to find the wanted share
+    of pairs. Tables share no block until all are used; then the blocks are dealt anew in another order."""
     blocks = max(2, math.ceil(math.log2(max(2, 12 * rows / ANCHOR_ROWS)) / 4))
     tables = math.ceil(math.log(1 - found) / math.log(1 - shared_anchor_chance(blocks, differing_share(similarity))))
-    return blocks, tables, max(LEAST_WORDS, math.ceil(tables * blocks * _BITS / 64))
+    whole, rng = 64 * WIDE_WORDS // _BITS, np.random.default_rng(SEED)
+    dealt = [rng.permutation(whole)[: whole // blocks * blocks].reshape(-1, blocks) for _ in range(-(-tables // (whole // blocks)))]
+    return np.concatenate(dealt)[:tables]
 
 
 def wide_fingerprints(docs: DataFrame, shingle_words: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -259,10 +262,10 @@ def wide_fingerprints(docs: DataFrame, shingle_words: int, words: int, id_col: s
     return rows.mapInArrow(compute, "id long, fp binary").withColumnRenamed("id", id_col)
 
 
-def _block_values(fp: np.ndarray, first: int, n: int) -> np.ndarray:
-    """Values of the blocks ``first`` to ``first + n`` of fingerprints given as rows of words."""
+def _block_values(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
+    """Values of the given blocks of fingerprints, which are rows of words."""
     bits = np.unpackbits(fp.astype("<u8").view(np.uint8).reshape(len(fp), -1), axis=1, bitorder="little")
-    own = bits[:, first * _BITS : (first + n) * _BITS].reshape(len(fp), n, _BITS)
+    own = bits[:, (blocks[:, None] * _BITS + np.arange(_BITS)).ravel()].reshape(len(fp), len(blocks), _BITS)
     return (own.astype(np.int64) << np.arange(_BITS)).sum(axis=2)
 
 
@@ -324,16 +327,15 @@ def _near_in_table(fp: np.ndarray, values: np.ndarray, left: np.ndarray, most: i
     return np.concatenate(found) if found else np.zeros((0, 2), np.int64)
 
 
-def similar_links(fps: DataFrame, blocks: int, tables: int, words: int, most: int, rows: int) -> DataFrame:
+def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> DataFrame:
     """Links ``a, b`` between nodes of ``fps`` (``node, fp``, distinct) at most ``most`` bits apart that share an anchor.
 
     A part is a table and the first code words of its anchors: a fingerprint goes once to each part that has an anchor of
     its own, and the part finds the rest of the anchors. A part gives out one link for each of its nodes at most.
     """
-    lead = 1
+    lead, blocks, words = 1, plan.shape[1], WIDE_WORDS
     while lead < blocks and rows * (1 + 2.625 * lead) / 16**lead > PART_ROWS:
         lead += 1
-    width = 8 * (words + 1)
 
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -341,8 +343,8 @@ def similar_links(fps: DataFrame, blocks: int, tables: int, words: int, most: in
                 continue
             fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, words)
             data = np.concatenate([batch.column("node").to_numpy().view(np.uint64)[:, None], fp], axis=1)
-            for table in range(tables):
-                row, code, _ = _cover(_block_values(fp, table * blocks, lead), np.full(len(fp), EXCESS))
+            for table, own in enumerate(plan):
+                row, code, _ = _cover(_block_values(fp, own[:lead]), np.full(len(fp), EXCESS))
                 order = np.argsort(code, kind="stable")
                 codes, first = np.unique(code[order], return_index=True)
                 blobs = [data[p].tobytes() for p in np.split(row[order], first[1:])]
@@ -351,10 +353,10 @@ def similar_links(fps: DataFrame, blocks: int, tables: int, words: int, most: in
     def find(key: tuple, held: pa.Table) -> pa.Table:
         part = key[0].as_py()
         table, code = part >> 4 * lead, part & (1 << 4 * lead) - 1
-        data = np.frombuffer(b"".join(held.column("data").to_pylist()), np.uint64).reshape(-1, width // 8)
+        data = np.frombuffer(b"".join(held.column("data").to_pylist()), np.uint64).reshape(-1, words + 1)
         data = data[np.argsort(data[:, 0].view(np.int64), kind="stable")]
         node, fp = data[:, 0].view(np.int64), np.ascontiguousarray(data[:, 1:])
-        values = _block_values(fp, table * blocks, blocks)
+        values = _block_values(fp, plan[table])
         used = sum(_away()[values[:, k], code >> 4 * (lead - 1 - k) & 15] for k in range(lead))
         star = _stars(len(node), _near_in_table(fp, values[:, lead:], EXCESS - used, most))
         linked = np.flatnonzero(star != np.arange(len(node)))
@@ -372,12 +374,12 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     ``component_id``. Repeated rows get the same component. An empty table gives an empty result.
     """
     rows = docs.count()
-    blocks, tables, words = table_plan(rows, similarity, found)
-    share, bits = differing_share(similarity), 64 * words
+    plan = table_plan(rows, similarity, found)
+    share, bits = differing_share(similarity), 64 * WIDE_WORDS
     most = math.floor(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
-    printed = cut_lineage(wide_fingerprints(docs, shingle_words, words, id_col, text_col))
+    printed = cut_lineage(wide_fingerprints(docs, shingle_words, WIDE_WORDS, id_col, text_col))
     fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(similar_links(fps.select("node", "fp"), blocks, tables, words, most, rows))
+    roots = components(similar_links(fps.select("node", "fp"), plan, most, rows))
     rooted = cut_lineage(fps.join(roots, "node", "left").select("fp", "least_id", F.coalesce("root", "node").alias("root")))
     ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
     return printed.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
