@@ -83,11 +83,15 @@ def cron_next(expression: str, after: datetime, zone: str | None = None) -> date
     return None
 
 
-@F.pandas_udf("timestamp")
-def _next_time(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    for expressions, bases, zones in batches:
-        values = [None if not e or pd.isna(b) else cron_next(e, b.to_pydatetime(), z) for e, b, z in zip(expressions, bases, zones, strict=True)]
-        yield pd.Series(pd.to_datetime(pd.Series(values, dtype="object")))
+def _next_time(expression: Column, basis: Column, zone: Column) -> Column:
+    def each(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+        for expressions, bases, zones in batches:
+            values = [None if not e or pd.isna(b) else cron_next(e, b.to_pydatetime(), z) for e, b, z in zip(expressions, bases, zones, strict=True)]
+            yield pd.Series(pd.to_datetime(pd.Series(values, dtype="object")))
+
+    # Made here, as workers that import this module have no session.
+    each.__annotations__ = {"batches": Iterator[tuple[pd.Series, pd.Series, pd.Series]], "return": Iterator[pd.Series]}
+    return F.pandas_udf(each, "timestamp")(expression, basis, zone)
 
 
 def interval_seconds(kind: Column, value: Column, unit: Column) -> Column:

@@ -42,9 +42,14 @@ def merged_percentiles(histogram: DataFrame, transactions: DataFrame, window: Ti
 
 
 def nearest_rank(transactions: DataFrame, *keys: str, quantiles: dict[str, float] | None = None) -> DataFrame:
-    """Raw count, mean, extremes and the value at place floor(n q) of each key, sorted by rows rather than in memory."""
+    """Raw count, mean, extremes and the value at place floor(n q) of each key.
+
+    Rows are counted by duration before they move, so that a key's window holds its distinct milliseconds, not its rows.
+    """
     quantiles = quantiles or {"p50": 0.5, "p95": 0.95}
+    counts = transactions.groupBy(*keys, "duration").agg(F.count("*").alias("_n"))
     span = Window.partitionBy(*keys)
-    placed = transactions.withColumn("_at", F.row_number().over(span.orderBy("duration", "id")) - 1).withColumn("_n", F.count("*").over(span))
-    picks = [F.max(F.when(F.col("_at") == F.least(F.floor(F.col("_n") * F.lit(q)), F.col("_n") - 1), F.col("duration"))).alias(name) for name, q in quantiles.items()]
-    return placed.groupBy(*keys).agg(F.count("*").alias("count"), F.avg("duration").alias("avg_duration"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"), *picks)
+    placed = counts.withColumn("_upto", F.sum("_n").over(span.orderBy("duration"))).withColumn("_all", F.sum("_n").over(span))
+    at = lambda q: F.least(F.floor(F.col("_all") * F.lit(q)), F.col("_all") - 1)
+    picks = [F.min(F.when(F.col("_upto") > at(q), F.col("duration"))).alias(name) for name, q in quantiles.items()]
+    return placed.groupBy(*keys).agg(F.sum("_n").alias("count"), (F.sum(F.col("duration") * F.col("_n")) / F.sum("_n")).alias("avg_duration"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"), *picks)

@@ -9,7 +9,7 @@ from collections.abc import Iterator
 from datetime import datetime
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Item types that are accepted and not stored, and names of housekeeping transactions.
@@ -76,7 +76,6 @@ def validated(headers: dict, items: list[tuple[dict, str]]) -> list[tuple[dict,
     return items
 
 
-@F.udtf(returnType=_ITEM)
 class ParseEnvelope:
     """One row for each item of an envelope, or a single row with the error that rejects it."""
 
@@ -93,12 +92,13 @@ class ParseEnvelope:
 
 def parse_envelopes(envelopes: DataFrame, body: str = "body") -> DataFrame:
     """Other columns of ``envelopes`` with one row per item; rows with an ``error`` are for quarantine."""
-    return envelopes.lateralJoin(ParseEnvelope(F.col(body).outer())).drop(body)
+    # Made here, as workers that import this module have no session.
+    parse = F.udtf(ParseEnvelope, returnType=_ITEM)
+    return envelopes.lateralJoin(parse(F.col(body).outer())).drop(body)
 
 
-@F.pandas_udf("string")
-def decompress(bodies: pd.Series) -> pd.Series:
-    """Text of a body that is plain, gzip, zlib, raw deflate or zstd, by its first bytes; null where it can't be read."""
+def decompress(bodies: Column) -> Column:
+    """Text of a body that is plain, gzip, zlib or zstd, by its first bytes; null where it can't be read."""
 
     def one(raw: bytes | None) -> str | None:
         if raw is None:
@@ -116,7 +116,10 @@ def decompress(bodies: pd.Series) -> pd.Series:
         except (OSError, EOFError, ValueError, zlib.error):
             return None
 
-    return bodies.map(one)
+    def each(batch: pd.Series) -> pd.Series:
+        return batch.map(one)
+
+    return F.pandas_udf(each, "string")(bodies)
 
 
 def route(items: DataFrame, store_events: bool = True, store_transactions: bool = True, store_logs: bool = False) -> DataFrame:

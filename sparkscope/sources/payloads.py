@@ -106,8 +106,9 @@ def log_rows(items: DataFrame) -> DataFrame:
 def _attribute_map(attributes: Column) -> Column:
     """``[{key, value}]`` to a map; the last of equal keys wins, as in the merge of resource and record."""
     known = F.filter(attributes, lambda a: a["key"].isNotNull())
-    pairs = F.transform(known, lambda a: F.struct(a["key"].alias("key"), unwrap(a["value"]).alias("value")))
-    return F.aggregate(F.coalesce(pairs, F.array().cast("array<struct<key:string,value:string>>")), F.create_map().cast("map<string,string>"), _put)
+    kind = "array<struct<key:string,value:string>>"
+    pairs = F.transform(known, lambda a: F.struct(a["key"].alias("key"), unwrap(a["value"]).alias("value"))).cast(kind)
+    return F.aggregate(F.coalesce(pairs, F.array().cast(kind)), F.create_map().cast("map<string,string>"), _put)
 
 
 def _put(m: Column, p: Column) -> Column:

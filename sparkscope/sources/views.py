@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,7 +20,7 @@ def transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
         (user % 5).cast("int").alias("project_id"),
         F.col("event_type").alias("transaction_name"),
         F.when(user % 4 == 0, "staging").when(user % 4 == 1, F.lit(None)).otherwise("production").alias("environment"),
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
         whole(10).alias("duration"),
         F.when(event % 3 != 0, whole(4)).alias("db_time"),
         F.when(event % 5 != 0, whole(1)).alias("view_time"),
@@ -39,7 +41,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("event_id").alias("id"),
         F.col("event_id").cast("string").alias("event_id"),
         (user % 5).cast("int").alias("project_id"),
-        F.col("ts").alias("timestamp"),
+        F.col("ts").cast("timestamp").alias("timestamp"),
         kind.alias("exception_type"),
         F.concat_ws("", kind, F.lit(" at "), (F.col("event_id") % 9).cast("string")).alias("exception_value"),
         F.concat(kind, F.lit("::f"), (user % 7).cast("string"), F.lit(".rb::"), (user % 3).cast("string")).alias("fingerprint"),
@@ -50,7 +52,7 @@ def errors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").alias("root_ts"))
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("timestamp").alias("root_ts"))
     op = F.when(F.col("l_returnflag") == "A", "db.sql.active_record").when(F.col("l_returnflag") == "N", "http.client").otherwise("view.render")
     lines = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("transaction_id"),
@@ -64,6 +66,7 @@ def spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def logs(spark: SparkSession, sf_dir: str) -> DataFrame:
     doc = F.col("doc_id")
+    # One log per document; the texts are whole.
     return table(spark, sf_dir, "documents").select(
         doc.alias("id"),
         (doc % 5).cast("int").alias("project_id"),
@@ -88,10 +91,78 @@ def projects(spark: SparkSession) -> DataFrame:
 
 def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One interval monitor for each user id below 40, its check-ins being the user's events."""
-    rows = table(spark, sf_dir, "events").filter("user_id < 40")
+    rows = table(spark, sf_dir, "events").filter("user_id < 40").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.groupBy(F.col("user_id").alias("monitor_id")).agg(F.max("ts").alias("last_checkin_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event")).select(
         "monitor_id", (F.col("monitor_id") % 5).cast("int").alias("project_id"), F.concat(F.lit("job-"), F.col("monitor_id").cast("string")).alias("slug"),
         F.lit("interval").alias("schedule_type"), (F.col("monitor_id") % 6 + 1).cast("string").alias("schedule_value"),
         F.when(F.col("monitor_id") % 2 == 0, "hour").otherwise("day").alias("schedule_unit"), (F.col("monitor_id") % 3 * 30).cast("int").alias("checkin_margin"),
         F.lit(30).alias("max_runtime"), F.when(F.col("last_event") == "error", "error").when(F.col("last_event") == "view", "in_progress").otherwise("ok").alias("last_status"), "last_checkin_at",
         F.when(F.col("last_event") == "view", F.col("last_checkin_at")).alias("in_progress_since"), F.lit("unknown").alias("state"), F.lit(None).cast("string").alias("timezone"))
+
+
+def as_of(spark: SparkSession, sf_dir: str) -> datetime:
+    """The newest event, which every window of the registered queries ends with."""
+    return table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("t")).first()["t"]
+
+
+def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One envelope for each event: its transaction, for every fourth an error beside it, and for some what is to be dropped."""
+    t = transactions(spark, sf_dir).withColumn("begin", F.unix_micros("timestamp") / 1e6)
+    trace = F.struct(F.col("trace_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("span_id"), F.lit("http.server").alias("op"))
+    payload = F.to_json(F.struct(
+        F.col("transaction_id").alias("event_id"), F.when(F.col("id") % 31 == 0, F.concat(F.lit("SolidCable::"), "transaction_name")).otherwise(F.col("transaction_name")).alias("transaction"),
+        F.col("begin").alias("start_timestamp"), (F.col("begin") + F.col("duration") / 1000.0).alias("timestamp"), "environment", "release",
+        F.struct(trace.alias("trace"), F.struct(F.col("http_status").alias("status_code")).alias("response")).alias("contexts"),
+        F.struct(F.struct(F.col("db_time").alias("value")).alias("db"), F.struct(F.col("view_time").alias("value")).alias("view")).alias("measurements")))
+    error = F.to_json(F.struct(
+        F.concat(F.lit("e"), F.col("transaction_id")).alias("event_id"), F.col("begin").alias("timestamp"), "environment", "release",
+        F.struct(F.array(F.struct(F.col("transaction_name").alias("type"), F.concat(F.lit("value "), (F.col("id") % 9).cast("string")).alias("value"),
+                                  F.struct(F.array(F.struct(F.concat(F.lit("f"), (F.col("id") % 7).cast("string"), F.lit(".rb")).alias("filename"), (F.col("id") % 3).alias("lineno"))).alias("frames")).alias("stacktrace"))).alias("values")).alias("exception")))
+    newline = "\n"
+    head = F.when(F.col("id") % 37 == 0, F.lit("no json")).otherwise(F.lit("{}"))
+    sized = F.concat(F.lit('{"type":"transaction","length":'), F.octet_length(payload).cast("string"), F.lit("}"))
+    body = F.concat_ws(newline, head, sized, payload, F.when(F.col("id") % 4 == 0, F.concat(F.lit('{"type":"event"}' + newline), error)), F.when(F.col("id") % 5 == 0, F.lit('{"type":"session"}' + newline + '{"sid":1}')))
+    return t.select("project_id", F.col("timestamp").alias("received_at"), body.alias("body"))
+
+
+def log_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log items of two records each: one for every two neighbouring documents."""
+    rows = logs(spark, sf_dir).withColumn("item", F.floor(F.col("id") / 2))
+    attribute = lambda c: F.struct(F.col(c).alias("value"))
+    record = F.struct((F.unix_micros("timestamp") / 1e6).alias("timestamp"), F.element_at(F.array(*[F.lit(x) for x in ("trace", "debug", "info", "warning", "error", "fatal")]), F.col("level") + 1).alias("level"),
+                      "body", "trace_id", F.struct(attribute("service").alias("service.name"), attribute("environment").alias("sentry.environment"), attribute("duration_ms").alias("duration_ms")).alias("attributes"))
+    items = rows.groupBy("item").agg(F.array_sort(F.collect_list(F.struct("id", record.alias("r")))).alias("all"))
+    return items.select(F.lit(0).alias("project_id"), F.timestamp_seconds(F.lit(0)).alias("received_at"), F.to_json(F.struct(F.transform("all", lambda x: x["r"]).alias("items"))).alias("payload"))
+
+
+def otlp_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """OTLP payloads: one resource and scope for each source of documents in a range of a hundred, a record for each document."""
+    rows = logs(spark, sf_dir).withColumn("item", F.floor(F.col("id") / 100))
+    pair = lambda key, value: F.struct(F.lit(key).alias("key"), F.struct(F.col(value).cast("string").alias("stringValue")).alias("value"))
+    record = F.struct((F.unix_micros("timestamp") * 1000).cast("string").alias("timeUnixNano"), (F.col("level") * 4 + 1).alias("severityNumber"), F.struct(F.col("body").alias("stringValue")).alias("body"),
+                      F.md5(F.col("trace_id")).alias("traceId"), F.array(pair("duration_ms", "duration_ms")).alias("attributes"))
+    grouped = rows.groupBy("item", "service", "environment").agg(F.array_sort(F.collect_list(F.struct("id", record.alias("r")))).alias("all"))
+    resource = F.struct(F.struct(F.array(pair("service.name", "service"), pair("deployment.environment", "environment")).alias("attributes")).alias("resource"),
+                        F.array(F.struct(F.struct(F.lit("scope").alias("name")).alias("scope"), F.transform("all", lambda x: x["r"]).alias("logRecords"))).alias("scopeLogs"))
+    return grouped.select(F.lit(0).alias("project_id"), F.timestamp_seconds(F.lit(0)).alias("received_at"), F.to_json(F.struct(F.array(resource).alias("resourceLogs"))).alias("payload"))
+
+
+def span_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as transactions, their lines as spans: each hangs below its predecessor or, for every third, below the root."""
+    lines = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_list(F.struct("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_returnflag"))).alias("lines"))
+    name = lambda n: F.concat(F.lit("s"), n.cast("string"))
+    parent = lambda x, i: F.when((i == 0) | (x["l_partkey"] % 3 == 0), F.lit("root")).otherwise(name(F.get("lines", i - 1)["l_linenumber"]))
+    span = lambda x, i: F.struct(name(x["l_linenumber"]).alias("span_id"), parent(x, i).alias("parent_span_id"), F.lit("db").alias("op"), F.concat(F.lit("SELECT "), (x["l_suppkey"] % 2).cast("string")).alias("description"), (x["l_linenumber"] * 10.0).alias("start_timestamp"), (x["l_linenumber"] * 10.0 + x["l_quantity"] / 100).alias("timestamp"))
+    return lines.select(F.lit(0).alias("project_id"), F.col("l_orderkey").alias("transaction_id"), F.lit("root").alias("root_span_id"), F.lit("http.server").alias("op"), F.lit("order").alias("transaction_name"), F.lit(0.0).alias("start_timestamp"), F.lit(100.0).alias("end_timestamp"), F.transform("lines", span).alias("spans"))
+
+
+def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Order lines as the queries of their order: literals, lists, comments, blanks and tables of the infrastructure."""
+    line, part = F.col("l_linenumber"), F.col("l_partkey").cast("string")
+    sql = (
+        F.when(line == 7, "  ")
+        .when(line == 6, F.concat(F.lit("SELECT * FROM solid_queue_jobs WHERE id = "), part))
+        .when(line == 5, F.concat(F.lit("SELECT * FROM parts WHERE id IN ("), part, F.lit(", 2, 3) /* app:x */")))
+        .otherwise(F.concat(F.lit("SELECT * FROM parts WHERE name = 'p"), part, F.lit("' AND id = "), (F.col("l_partkey") % 2).cast("string")))
+    )
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("transaction_id"), line.alias("pos"), F.lit("sql.active_record").alias("category"), sql.alias("sql"))
