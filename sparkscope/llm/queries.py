@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .languages import fit, identify_documents, identify_pages
-from .licences import scan_licences
+from .licences import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, scan_licences
 from .mixing import mix
 from .packing import pack_documents
-from .secrets import scan_secrets
+from .secrets import BASE_KINDS, OPAQUE, WIDE_OWNERS, scan_secrets
 from .simhash import near_groups
 from .substrings import remove_repeats
 from .vectors import top_k
@@ -106,6 +106,57 @@ ranked AS (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY scor
 SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
 """
 
+
+
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+def _licence_sql() -> str:
+    """Phrases at every word, and every block against every template: what the join finds without its filters."""
+    at = lambda phrase: " AND ".join(f"w[i + {k}] = {_quoted(x)}" for k, x in enumerate(phrase.split()))
+    places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: {at(k)})) - 1 AS at_word, {_quoted(v)} AS label FROM d" for k, v in PHRASES.items())
+    sets = ", ".join(f"({_quoted(k)}, [{', '.join(_quoted(x) for x in sorted(set(v.split())))}])" for k, v in TEMPLATES.items())
+    half = BLOCK_WORDS // 2
+    return rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+places AS ({places}),
+base AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
+templates(label, tokens) AS (VALUES {sets}),
+blocks AS (SELECT doc_id, list_slice(w, b * {half} + 1, b * {half} + {BLOCK_WORDS}) AS held FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {half - 1}) // {half})) AS b FROM d)),
+shared AS (SELECT doc_id, label, len(list_filter(tokens, lambda x: list_contains(held, x))) / len(tokens) AS share FROM blocks, templates),
+found AS (SELECT doc_id, max(share) AS best, list(DISTINCT label) AS labels FROM shared WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
+  array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels, coalesce(best, 0.0) AS score
+FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+
+def _secret_sql() -> str:
+    kinds = [*enumerate(BASE_KINDS), (len(BASE_KINDS), OPAQUE)]
+    cut = ", ".join(f"SELECT {r} AS rank, {_quoted(k)} AS kind, {n} AS least, doc_id, owner, regexp_extract_all(t, {_quoted(p)}) AS m, regexp_extract_all(t, {_quoted(p)}, {g}) AS v, regexp_split_to_array(t, {_quoted(p)}) AS g FROM d" for r, (k, p, g, n) in kinds).replace(", SELECT", " UNION ALL SELECT")
+    listed = lambda rows: f"coalesce(string_agg(concat(kind, ':', CAST(start_at AS VARCHAR), ':', CAST(end_at AS VARCHAR)), ',' ORDER BY start_at, rank) FILTER ({rows}), '')"
+    counts = ", ".join(f"count(*) FILTER (kind = {_quoted(k[0])}) AS n_{k[0]}" for k in BASE_KINDS)
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+cut AS ({cut}),
+each AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM cut),
+spans AS (
+  SELECT rank, kind, doc_id, owner, v[k] AS value, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start_at, length(m[k]) AS size
+  FROM each WHERE length(v[k]) >= least),
+placed AS (SELECT *, start_at + size AS end_at FROM spans),
+candidates AS (
+  SELECT * FROM placed p WHERE kind <> '{OPAQUE[0]}' OR (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')
+    AND NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = p.doc_id AND b.kind <> '{OPAQUE[0]}' AND b.start_at < p.end_at AND p.start_at < b.end_at))),
+owned AS (SELECT value, count(DISTINCT owner) AS n_owners FROM candidates GROUP BY value),
+judged AS (SELECT *, n_owners < {WIDE_OWNERS} AS live FROM candidates JOIN owned USING (value)),
+reported AS (SELECT * FROM judged WHERE kind <> '{OPAQUE[0]}' OR live),
+summed AS (SELECT doc_id, {counts}, {listed(f"kind <> '{OPAQUE[0]}'")} AS base, {listed('true')} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM reported GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) AS n_{k[0]}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+FROM d LEFT JOIN summed USING (doc_id)
+"""
+
+
 OP6_SQL = r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
 SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size, doc_id = min(doc_id) OVER w AS kept, sha256(t) AS text_sha256
@@ -151,4 +202,4 @@ FROM placed
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op6_exact_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op9_arc_to_warc": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_license_scan": _licence_sql(), "op5_secret_scan": _secret_sql(), "op6_exact_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op9_arc_to_warc": OP9_SQL}
