@@ -1,13 +1,14 @@
 """Substring dedup with prefix-partitioned suffix trees.
 
 Texts are dealt into blocks by a hash of their id. A suffix starts at each word; only its first ``min_words`` words matter.
- 1. Each block names its anchors, the least five-word hash of every window, and the frequent prefixes of its suffixes. What
-    several documents hold has its anchors in several documents; a suffix without a shared anchor is a leaf of its own.
- 2. The other suffixes go to groups by a variable-length prefix: its first word, or as many as it takes for the prefix to
-    be too rare to fill a group. Each block sends a suffix once, with its smallest document, so that hot passages are
-    combined before they move.
- 3. A group sorts its suffixes, neighbours share their path in the tree, and the nodes at least ``min_words`` deep are the
-    repeats. Each gives its smallest document back to the blocks below it.
+ 1. Each block names its anchors, the least five-word hash of every window, and the frequent prefixes at them. What several
+    documents hold has its anchors in several documents; a suffix without a shared anchor is a leaf of its own.
+ 2. The other suffixes travel by their anchors: equal windows have the same one, so the words around an anchor hold all
+    suffixes that it stands for, once. They go to groups by a variable-length prefix at the anchor: its first word, or as
+    many as it takes for the prefix to be too rare to fill a group. Each block sends equal words around an anchor once,
+    with their smallest document, so that hot passages are combined before they move.
+ 3. A group cuts the suffixes out again and sorts them, neighbours share their path in the tree, and the nodes at least
+    ``min_words`` deep are the repeats. Each gives its smallest document back to the blocks below it.
  4. The blocks remove the words under repeats that a smaller document holds.
 """
 
@@ -49,23 +50,11 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(np.cumprod(np.concatenate([[_U(1)], np.full(n, b, np.uint64)]), dtype=np.uint64) for b in (_BASE, inverse))
 
 
-class Block:
-    """The words of a block's documents, one text after another, and hashes over runs of them."""
+class Words:
+    """The words of some texts, one after another, and hashes over runs of them."""
 
-    def __init__(self, blobs: list[bytes], min_words: int) -> None:
-        ids, texts, self.unpacked = [], [], zstandard.ZstdDecompressor()
-        for blob in blobs:
-            raw = self.unpacked.decompress(blob)
-            n = int.from_bytes(raw[:8], "little")
-            head = np.frombuffer(raw, np.int64, 3 * n, 8)
-            ends = np.cumsum(head[2 * n :])
-            ids.append(np.where(head[n : 2 * n] > 0, head[:n], _LAST_ID))
-            body = raw[8 + 24 * n :]
-            texts += [body[e - k : e] for e, k in zip(ends.tolist(), head[2 * n :].tolist(), strict=True)]
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.texts = texts
-        self.full = np.array([i for i, t in enumerate(texts) if t], np.int64)
-        self.data = b"\n".join(texts[i] for i in self.full) + b"\n" if len(self.full) else b""
+    def __init__(self, texts: list[bytes], min_words: int) -> None:
+        self.data = b"\n".join(texts) + b"\n" if texts else b""
         buf = np.frombuffer(self.data, np.uint8)
         self.ends = np.flatnonzero((buf == 32) | (buf == 10))
         self.starts = np.concatenate([np.zeros(1, np.int64), self.ends[:-1] + 1]) if len(self.ends) else self.ends
@@ -99,21 +88,51 @@ class Block:
             h = h * _STEP + (self.words[k : k + n] if at is None else self.words[at + k])
         return _mixed(h)
 
-    def anchor(self) -> np.ndarray:
-        """For each window, the least hash of its runs of ``ANCHOR_WORDS`` words."""
-        least, span, wide = self.runs(min(ANCHOR_WORDS, self.min_words)), 1, self.min_words - min(ANCHOR_WORDS, self.min_words) + 1
+    def texts_at(self, at: np.ndarray, sizes: np.ndarray | int) -> list[bytes]:
+        """The bytes of the ``sizes`` words from each place."""
+        return [self.data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + sizes - 1].tolist(), strict=True)]
+
+
+class Block(Words):
+    """The words of a block's documents."""
+
+    def __init__(self, blobs: list[bytes], min_words: int) -> None:
+        ids, texts, unpacked = [], [], zstandard.ZstdDecompressor()
+        for blob in blobs:
+            raw = unpacked.decompress(blob)
+            n = int.from_bytes(raw[:8], "little")
+            head = np.frombuffer(raw, np.int64, 3 * n, 8)
+            ends = np.cumsum(head[2 * n :])
+            ids.append(np.where(head[n : 2 * n] > 0, head[:n], _LAST_ID))
+            body = raw[8 + 24 * n :]
+            texts += [body[e - k : e] for e, k in zip(ends.tolist(), head[2 * n :].tolist(), strict=True)]
+        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        self.texts = texts
+        self.full = np.array([i for i, t in enumerate(texts) if t], np.int64)
+        super().__init__([texts[i] for i in self.full], min_words)
+
+    @property
+    def anchor_words(self) -> int:
+        return min(ANCHOR_WORDS, self.min_words)
+
+    def anchors(self) -> tuple[np.ndarray, np.ndarray]:
+        """For each window, the least hash of its runs of ``ANCHOR_WORDS`` words and the place of the first such run."""
+        hashes = self.runs(self.anchor_words)
+        least, place, span, wide = hashes, np.arange(len(hashes)), 1, self.min_words - self.anchor_words + 1
         while span < wide:
             step = min(span, wide - span)
-            least = np.minimum(least[:-step], least[step:]) if len(least) > step else least[:0]
+            n = max(0, len(least) - step)
+            later = least[step:] < least[:n]
+            least, place = np.where(later, least[step:], least[:n]), np.where(later, place[step:], place[:n])
             span += step
-        return least[self.at]
+        return least[self.at], place[self.at]
 
-    def smallest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows by digest: digest, smallest id, a window's place; and each window's number among them."""
-        digest, first, number = np.unique(self.runs(self.min_words, self.at), return_index=True, return_inverse=True)
+    def smallest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct windows by digest: digest and smallest id; and each window's number among them."""
+        digest, number = np.unique(self.runs(self.min_words, self.at), return_inverse=True)
         least = np.full(len(digest), _LAST_ID)
         np.minimum.at(least, number, self.ids[self.full[self.doc[self.at]]])
-        return digest, least, first, number
+        return digest, least, number
 
 
 def _packed(docs: DataFrame, blocks: int) -> DataFrame:
@@ -159,11 +178,11 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _census(block: Block, share: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Per prefix length: hashed slots that at least ``share`` of the block's suffixes fall into, and how many do."""
-    out, at = [], block.at
+def _census(block: Block, at: np.ndarray, share: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Per prefix length: hashed slots that at least ``share`` of the prefixes at the anchors fall into, and how many do."""
+    out = []
     least = max(2, math.ceil(share * len(at)))
-    for size in range(1, block.min_words):
+    for size in range(1, block.anchor_words):
         slot = _slots(block.runs(size, at))
         counts = np.bincount(slot, minlength=1 << SLOT_BITS)
         heavy = counts >= least
@@ -179,9 +198,10 @@ def _survey(packed: DataFrame, buckets: int, share: float, min_words: int) -> Da
 
     def name(table: pa.Table) -> pa.Table:
         block = Block(_blobs(table), min_words)
-        anchor, doc = block.anchor(), block.doc[block.at]
-        change = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (doc[1:] != doc[:-1])]) if len(anchor) else np.zeros(0, bool)
-        anchor, doc = anchor[change], doc[change]
+        anchor, place = block.anchors()
+        change = np.concatenate([[True], place[1:] != place[:-1]]) if len(anchor) else np.zeros(0, bool)
+        anchor, place = anchor[change], place[change]
+        doc = block.doc[place]
         order = np.argsort(anchor, kind="stable")
         anchor, doc = anchor[order], doc[order]
         first = np.flatnonzero(np.concatenate([[True], anchor[1:] != anchor[:-1]])) if len(anchor) else np.zeros(0, np.int64)
@@ -189,11 +209,11 @@ def _survey(packed: DataFrame, buckets: int, share: float, min_words: int) -> Da
         # The lowest bit tells that several documents of this block hold the anchor.
         value = anchor[first] & ~_U(1) | many.astype(np.uint64)
         parts = _by(((value >> _U(33)) % _U(buckets)).astype(np.int64), buckets)
-        census = [np.stack([np.full(len(s), size), s, n]) for size, s, n in _census(block, share / 2)]
+        census = [np.stack([np.full(len(s), size), s, n]) for size, s, n in _census(block, place, share / 2)]
         census = np.concatenate(census, axis=1) if census else np.zeros((3, 0), np.int64)
         dealt = _by(census[1] % buckets, buckets)
         return pa.table({
-            "bucket": pa.array(range(buckets), pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * buckets, pa.int32()), "n": pa.array([len(block.at)] * buckets, pa.int64()),
+            "bucket": pa.array(range(buckets), pa.int32()), "block": pa.array([table.column("block")[0].as_py()] * buckets, pa.int32()), "n": pa.array([len(place)] * buckets, pa.int64()),
             "data": pa.array([value[p].tobytes() for p in parts], pa.binary()), "census": pa.array([census[:, p].tobytes() for p in dealt], pa.binary()),
         })
 
@@ -224,34 +244,44 @@ def _survey(packed: DataFrame, buckets: int, share: float, min_words: int) -> Da
 
 
 def _suffixes(packed: DataFrame, shared: DataFrame, frequent: dict[int, np.ndarray], groups: int, min_words: int) -> DataFrame:
-    """``part, block, data``: suffixes with a shared anchor, by their variable-length prefix, once for each block."""
+    """``part, block, data``: words around shared anchors, by the variable-length prefix there, once for each block."""
 
     def send(left: pa.Table, right: pa.Table) -> pa.Table:
         rows: dict[str, list] = {"part": [], "block": [], "data": []}
         if left.num_rows:
             block = Block(_blobs(left), min_words)
             known = np.sort(np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(x, np.uint64) for x in right.column("data").to_pylist())]))
-            anchor = block.anchor() & ~_U(1)
+            anchor, place = block.anchors()
+            anchor &= ~_U(1)
             near = np.searchsorted(known, anchor)
             near[near == len(known)] = 0
-            block.at = block.at[known[near] == anchor] if len(known) else block.at[:0]
-            digest, least, first, _ = block.smallest()
-            at = block.at[first]
-            part, open_ = np.zeros(len(at), np.int64), np.arange(len(at))
-            for size in range(1, min_words + 1):
-                h = block.runs(size, at[open_])
-                more = np.isin(_slots(h), frequent[size]) if size in frequent and size < min_words else np.zeros(len(h), bool)
+            kept = known[near] == anchor if len(known) else np.zeros(len(anchor), bool)
+            at, place = block.at[kept], place[kept]
+            # Windows of one anchor stand in a row: from the first window's start to the last one's end.
+            first = np.flatnonzero(np.concatenate([[True], (place[1:] != place[:-1]) | (at[1:] != at[:-1] + 1)])) if len(at) else np.zeros(0, np.int64)
+            windows = np.diff(np.append(first, len(at)))
+            begin, place = at[first], place[first]
+            ends = block.runs(min_words, begin) * _STEP + block.runs(min_words, begin + windows - 1)
+            _, one, number = np.unique(_mixed(ends * _STEP + windows.astype(np.uint64)), return_index=True, return_inverse=True)
+            least = np.full(len(one), _LAST_ID)
+            np.minimum.at(least, number, block.ids[block.full[block.doc[begin]]])
+            begin, place, windows = begin[one], place[one], windows[one]
+            part, open_ = np.zeros(len(begin), np.int64), np.arange(len(begin))
+            for size in range(1, block.anchor_words + 1):
+                h = block.runs(size, place[open_])
+                more = np.isin(_slots(h), frequent[size]) if size in frequent and size < block.anchor_words else np.zeros(len(h), bool)
                 part[open_[~more]] = (h[~more] >> _U(11)) % _U(groups)
                 open_ = open_[more]
                 if not len(open_):
                     break
-            press, begin, end = zstandard.ZstdCompressor(3), block.starts[at], block.ends[at + min_words - 1]
+            press = zstandard.ZstdCompressor(3)
             for k, p in enumerate(_by(part, groups)):
                 if len(p):
-                    text = b"\n".join([block.data[a:b] for a, b in zip(begin[p].tolist(), end[p].tolist(), strict=True)])
+                    p = p[np.argsort(least[p], kind="stable")]
+                    text = b"\n".join(block.texts_at(begin[p], windows[p] + min_words - 1))
                     rows["part"].append(k)
                     rows["block"].append(left.column("block")[0].as_py())
-                    rows["data"].append(len(p).to_bytes(8, "little") + digest[p].tobytes() + least[p].tobytes() + press.compress(text))
+                    rows["data"].append(press.compress(len(p).to_bytes(8, "little") + np.diff(least[p], prepend=0).tobytes() + text))
         return pa.table({"part": pa.array(rows["part"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), "data": pa.array(rows["data"], pa.binary())})
 
     return packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "part int, block int, data binary")
@@ -266,28 +296,36 @@ def _deep_nodes(suffixes: list[bytes]) -> Iterator[list[int]]:
             yield below
 
 
-def _repeats(sent: DataFrame) -> DataFrame:
+def _repeats(sent: DataFrame, min_words: int) -> DataFrame:
     """``block, data``: digests of repeats and their smallest document, for blocks that do not hold it."""
 
     def grow(table: pa.Table) -> pa.Table:
-        unpack, suffixes, digests, ids, of = zstandard.ZstdDecompressor(), [], [], [], []
+        unpack, texts, ids, of = zstandard.ZstdDecompressor(), [], [], []
         blocks = table.column("block").to_pylist()
-        for k, raw in enumerate(table.column("data").to_pylist()):
+        for k, packed in enumerate(table.column("data").to_pylist()):
+            raw = unpack.decompress(packed)
             n = int.from_bytes(raw[:8], "little")
-            digests.append(np.frombuffer(raw, np.uint64, n, 8))
-            ids.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
-            suffixes += unpack.decompress(raw[8 + 16 * n :]).split(b"\n")
-            of += [k] * n
-        digest, doc = np.concatenate(digests), np.concatenate(ids).tolist()
+            ids.append(np.cumsum(np.frombuffer(raw, np.int64, n, 8)))
+            texts += raw[8 + 8 * n :].split(b"\n")
+            of.append(np.full(n, k))
+        words = Words(texts, min_words)
+        text_of = words.doc[words.at]
+        doc, of = np.concatenate(ids)[text_of], np.concatenate(of)[text_of]
+        ids = doc.tolist()
         told, least = [], []
-        for below in _deep_nodes(suffixes):
-            smallest = min([doc[i] for i in below])
-            more = [i for i in below if doc[i] > smallest]
+        for below in _deep_nodes(words.texts_at(words.at, min_words)):
+            smallest = min([ids[i] for i in below])
+            more = [i for i in below if ids[i] > smallest]
             told += more
             least += [smallest] * len(more)
         told, least = np.array(told, np.int64), np.array(least, np.int64)
-        parts = _by(np.array(of, np.int64)[told], len(blocks))
-        data = [digest[told[p]].tobytes() + least[p].tobytes() for p in parts]
+        digest, of = words.runs(min_words, words.at[told]), of[told]
+        order = np.lexsort((digest, of))
+        digest, least, of = digest[order], least[order], of[order]
+        once = np.concatenate([[True], (digest[1:] != digest[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
+        digest, least, of = digest[once], least[once], of[once]
+        parts = np.split(np.arange(len(of)), np.searchsorted(of, np.arange(1, len(blocks))))
+        data = [digest[p].tobytes() + least[p].tobytes() for p in parts]
         return pa.table({"block": pa.array(blocks, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return sent.groupBy("part").applyInArrow(grow, "block int, data binary")
@@ -300,7 +338,7 @@ def _removed(packed: DataFrame, repeats: DataFrame, min_words: int) -> DataFrame
         if not left.num_rows:
             return schema.empty_table()
         block = Block(_blobs(left), min_words)
-        digest, least, _, number = block.smallest()
+        digest, least, number = block.smallest()
         for raw in right.column("data").to_pylist():
             n = len(raw) // 16
             at = np.searchsorted(digest, np.frombuffer(raw, np.uint64, n))
@@ -345,4 +383,4 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     for row in survey.filter("block < 0").collect():
         frequent[-row["block"]] = np.concatenate([frequent.get(-row["block"], np.zeros(0, np.int64)), np.frombuffer(row["data"], np.int64)])
     sent = _suffixes(packed, survey.filter("block >= 0"), frequent, parts, min_words)
-    return _removed(packed, _repeats(sent), min_words).withColumnRenamed("id", id_col)
+    return _removed(packed, _repeats(sent, min_words), min_words).withColumnRenamed("id", id_col)
