@@ -34,6 +34,8 @@ MOST_PREFIXES = 1 << 16
 SLOT_BITS = 20
 _PACK_BYTES = 32 << 20
 _HASH_BYTES = 1 << 20
+#: Places that are hashed or compared at once, so that what a step needs stays small beside the texts.
+_PLACES = 1 << 18
 _U = np.uint64
 _BASE, _STEP = _U(0x9E3779B97F4A7C15), _U(0xD6E8FEB86659FD93)
 _LAST_ID = np.iinfo(np.int64).max
@@ -56,37 +58,41 @@ class Words:
     def __init__(self, texts: list[bytes], min_words: int) -> None:
         self.data = b"\n".join(texts) + b"\n" if texts else b""
         buf = np.frombuffer(self.data, np.uint8)
-        self.ends = np.flatnonzero((buf == 32) | (buf == 10))
-        self.starts = np.concatenate([np.zeros(1, np.int64), self.ends[:-1] + 1]) if len(self.ends) else self.ends
+        # Places of words, bytes and texts: half the memory where four bytes hold them.
+        place = np.int32 if len(buf) < 2**31 else np.int64
+        self.ends = np.flatnonzero((buf == 32) | (buf == 10)).astype(place)
+        self.starts = np.concatenate([np.zeros(1, place), self.ends[:-1] + place(1)]) if len(self.ends) else self.ends
         stops = buf[self.ends] == 10
-        self.doc = np.cumsum(stops) - stops
+        self.doc = np.cumsum(stops, dtype=place) - stops
         self.min_words = min_words
         self.words = self._word_hashes(buf)
         n = max(0, len(self.words) - min_words + 1)
-        self.at = np.flatnonzero(self.doc[:n] == self.doc[min_words - 1 :][:n]) if n else np.zeros(0, np.int64)
+        self.at = np.flatnonzero(self.doc[:n] == self.doc[min_words - 1 :][:n]).astype(place) if n else np.zeros(0, place)
 
     def _word_hashes(self, buf: np.ndarray) -> np.ndarray:
         out, first = np.zeros(len(self.starts), np.uint64), 0
         power, inverse = _powers(_HASH_BYTES)
         while first < len(self.starts):
-            base = self.starts[first]
+            base = int(self.starts[first])
             last = max(first + 1, int(np.searchsorted(self.ends, base + _HASH_BYTES - 1, "right")))
             n = int(self.ends[last - 1] - base)
             if n > _HASH_BYTES and len(power) <= n:
                 power, inverse = _powers(n)
             sums = np.concatenate([[_U(0)], np.cumsum((buf[base : base + n].astype(np.uint64) + _U(1)) * power[:n], dtype=np.uint64)])
-            s, e = self.starts[first:last] - base, self.ends[first:last] - base
+            s, e = self.starts[first:last].astype(np.int64) - base, self.ends[first:last].astype(np.int64) - base
             out[first:last] = _mixed((sums[e] - sums[s]) * inverse[s] + (e - s).astype(np.uint64))
             first = last
         return out
 
-    def runs(self, size: int, at: np.ndarray | None = None) -> np.ndarray:
-        """Hashes of the ``size`` words from each place; of all places where ``at`` is None."""
-        n = len(self.words) - size + 1
-        h = np.zeros(max(0, n) if at is None else len(at), np.uint64)
-        for k in range(size if n > 0 else 0):
-            h = h * _STEP + (self.words[k : k + n] if at is None else self.words[at + k])
-        return _mixed(h)
+    def runs(self, size: int, at: np.ndarray) -> np.ndarray:
+        """Hashes of the ``size`` words from each place."""
+        out = np.zeros(len(at), np.uint64)
+        for i in range(0, len(at), _PLACES):
+            some, h = at[i : i + _PLACES], np.zeros(len(at[i : i + _PLACES]), np.uint64)
+            for k in range(size):
+                h = h * _STEP + self.words[some + k]
+            out[i : i + _PLACES] = _mixed(h)
+        return out
 
     def texts_at(self, at: np.ndarray, sizes: np.ndarray | int) -> list[bytes]:
         """The bytes of the ``sizes`` words from each place."""
@@ -117,22 +123,34 @@ class Block(Words):
 
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the least hash of its runs of ``ANCHOR_WORDS`` words and the place of the first such run."""
-        hashes = self.runs(self.anchor_words)
-        least, place, span, wide = hashes, np.arange(len(hashes)), 1, self.min_words - self.anchor_words + 1
-        while span < wide:
-            step = min(span, wide - span)
-            n = max(0, len(least) - step)
-            later = least[step:] < least[:n]
-            least, place = np.where(later, least[step:], least[:n]), np.where(later, place[step:], place[:n])
-            span += step
-        return least[self.at], place[self.at]
-
-    def smallest(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Distinct windows by digest: digest and smallest id; and each window's number among them."""
-        digest, number = np.unique(self.runs(self.min_words, self.at), return_inverse=True)
-        least = np.full(len(digest), _LAST_ID)
-        np.minimum.at(least, number, self.ids[self.full[self.doc[self.at]]])
-        return digest, least, number
+        out, where, wide = np.zeros(len(self.at), np.uint64), np.zeros_like(self.at), self.min_words - self.anchor_words + 1
+        for i in range(0, len(self.at), _PLACES):
+            at = self.at[i : i + _PLACES]
+            first = int(at[0])
+            least = self.runs(self.anchor_words, np.arange(first, int(at[-1]) + wide))
+            place, span = np.arange(first, first + len(least)).astype(at.dtype), 1
+            while span < wide:
+                step = min(span, wide - span)
+                later = least[step:] < least[:-step]
+                least, place = np.where(later, least[step:], least[:-step]), np.where(later, place[step:], place[:-step])
+                span += step
+            out[i : i + _PLACES], where[i : i + _PLACES] = least[at - first], place[at - first]
+        return out, where
+
+    def smallest(self, told: np.ndarray, by: np.ndarray) -> np.ndarray:
+        """For each window the smallest id that holds it: in this block, or by what is ``told`` (digests, and their ids)."""
+        digest, out = self.runs(self.min_words, self.at), np.full(len(self.at), _LAST_ID)
+        slices = 1 + len(digest) // _PLACES
+        share = (digest >> _U(33)) % _U(slices)
+        for k in range(slices):
+            own = np.flatnonzero(share == k)
+            distinct, number = np.unique(digest[own], return_inverse=True)
+            least = np.full(len(distinct), _LAST_ID)
+            np.minimum.at(least, number, self.ids[self.full[self.doc[self.at[own]]]])
+            here = (told >> _U(33)) % _U(slices) == k
+            np.minimum.at(least, np.searchsorted(distinct, told[here]), by[here])
+            out[own] = least[number]
+        return out
 
 
 def _packed(docs: DataFrame, blocks: int) -> DataFrame:
@@ -338,13 +356,11 @@ def _removed(packed: DataFrame, repeats: DataFrame, min_words: int) -> DataFrame
         if not left.num_rows:
             return schema.empty_table()
         block = Block(_blobs(left), min_words)
-        digest, least, number = block.smallest()
-        for raw in right.column("data").to_pylist():
-            n = len(raw) // 16
-            at = np.searchsorted(digest, np.frombuffer(raw, np.uint64, n))
-            np.minimum.at(least, at, np.frombuffer(raw, np.int64, n, 8 * n))
-        starts = block.at[least[number] < block.ids[block.full[block.doc[block.at]]]]
-        step = np.zeros(len(block.words) + 1, np.int64)
+        replies = [(raw, len(raw) // 16) for raw in right.column("data").to_pylist()]
+        told = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(raw, np.uint64, n) for raw, n in replies)])
+        by = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(raw, np.int64, n, 8 * n) for raw, n in replies)])
+        starts = block.at[block.smallest(told, by) < block.ids[block.full[block.doc[block.at]]]]
+        step = np.zeros(len(block.words) + 1, np.int32)
         np.add.at(step, starts, 1)
         np.add.at(step, starts + min_words, -1)
         covered = np.cumsum(step)[:-1] > 0
