@@ -23,16 +23,19 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut_lineage, shuffle_partitions, text_slices
+from .common import cut_lineage, shuffle_partitions, text_bytes, text_slices
+from .substrings import Words
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS, _BITS = 9, 7
 #: Similar pairs: excess over an anchor's radius, share of pairs at the wanted similarity that have an anchor in common, standard
 #: deviations that a pair's differing bits may exceed their mean, words of a fingerprint, and rows that an anchor should hold.
-EXCESS, FOUND, DEVIATIONS, WIDE_WORDS, ANCHOR_ROWS = 1, 0.98, 1.3, 4, 64
+EXCESS, FOUND, DEVIATIONS, WIDE_WORDS, ANCHOR_ROWS = 1, 0.98, 2.0, 4, 64
 #: Fingerprints that a part of a table should hold; larger groups of an anchor are joined by a forest.
 PART_ROWS, SMALL_ANCHOR = 1 << 16, 64
+#: Ids of documents lie below; from here on nodes without an id are numbered.
+_NO_ID = 1 << 62
 
 
 def shingle_hashes(text: bytes, size: int) -> list[int]:
@@ -50,6 +53,25 @@ def shingle_hashes(text: bytes, size: int) -> list[int]:
     return [xxh64_intdigest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - size + 1].tolist(), ends[size - 1 :].tolist(), strict=True)]
 
 
+#: For each byte a word whose eight bytes are the byte's bits: sums of up to 255 of them don't overflow.
+_SPREAD = (np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")).copy().view("<u8").ravel()
+
+
+def _majorities(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """For each run of ``counts`` hashes the word of the bits that more than half of them have; 0 for an empty run."""
+    out, full = np.zeros(len(counts), np.uint64), np.flatnonzero(counts)
+    if not len(full):
+        return out
+    n, starts = counts[full], (np.cumsum(counts) - counts)[full]
+    pieces = -(-n // 255)
+    own = np.repeat(np.arange(len(full)), pieces)
+    at = starts[own] + 255 * (np.arange(len(own)) - np.repeat(np.cumsum(pieces) - pieces, pieces))
+    sums = np.add.reduceat(_SPREAD[hashes.astype("<u8").view(np.uint8).reshape(-1, 8)], at, axis=0)
+    votes = np.add.reduceat(sums.view(np.uint8).reshape(len(own), 64), np.cumsum(pieces) - pieces, axis=0, dtype=np.int64)
+    out[full] = np.packbits(2 * votes > n[:, None], axis=1, bitorder="little").view("<u8").ravel()
+    return out
+
+
 def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fp``: bit by bit, 1 where more than half of the shingles' hashes have it; 0 for a text without words."""
 
@@ -57,13 +79,7 @@ def fingerprints(docs: DataFrame, shingle_words: int = 3, id_col: str = "doc_id"
         for batch in text_slices(batches, "text"):
             hashes = [shingle_hashes(t or b"", shingle_words) for t in batch.column("text").cast(pa.binary()).to_pylist()]
             counts = np.array([len(h) for h in hashes], np.int64)
-            fp = np.zeros(len(hashes), np.uint64)
-            full = np.flatnonzero(counts)
-            if len(full):
-                bits = np.unpackbits(np.fromiter((x for h in hashes for x in h), "<u8", int(counts.sum())).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                starts = (np.cumsum(counts) - counts)[full]
-                votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-                fp[full] = np.packbits(2 * votes > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+            fp = _majorities(np.fromiter((x for h in hashes for x in h), np.uint64, int(counts.sum())), counts)
             yield pa.RecordBatch.from_arrays([batch.column("id"), pa.array(fp.view(np.int64))], names=["id", "fp"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
@@ -232,6 +248,22 @@ def table_plan(rows: int, similarity: float, found: float = FOUND) -> np.ndarray
     return np.concatenate(dealt)[:tables]
 
 
+def _rolled_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the shingles of all texts, and how many each text has; shingles as in ``shingle_hashes``."""
+    joined = [b" ".join(t.translate(_LOWER).split()) for t in texts]
+    full = np.array([i for i, t in enumerate(joined) if t], np.int64)
+    words = Words([joined[i] for i in full], size)
+    length = np.bincount(words.doc, minlength=len(full))
+    begin = np.cumsum(length) - length
+    # A text with fewer words than a shingle has is one of its own.
+    short = np.flatnonzero(length < size)
+    at = np.concatenate([words.at, begin[short]])
+    hashes = np.concatenate([words.runs(size, words.at), *(words.runs(int(length[d]), begin[d : d + 1]) + length[d : d + 1].astype(np.uint64) for d in short)])
+    counts = np.zeros(len(texts), np.int64)
+    counts[full] = np.maximum(length - size + 1, 1)
+    return hashes[np.argsort(at, kind="stable")], counts
+
+
 def wide_fingerprints(docs: DataFrame, shingle_words: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``id_col, fp``: the fingerprint over ``words`` independent 64-bit hashes of each shingle, as little-endian bytes."""
     keys = np.random.default_rng(SEED).integers(0, 2**63, words, dtype=np.uint64)
@@ -242,18 +274,11 @@ def wide_fingerprints(docs: DataFrame, shingle_words: int, words: int, id_col: s
             out = np.zeros((len(ids), words), np.uint64)
             at = 0
             for part in text_slices(iter([batch]), "text"):
-                hashes = [shingle_hashes(t or b"", shingle_words) for t in part.column("text").cast(pa.binary()).to_pylist()]
-                counts = np.array([len(h) for h in hashes], np.int64)
-                full = np.flatnonzero(counts)
-                if len(full):
-                    h = np.fromiter((x for one in hashes for x in one), np.uint64, int(counts.sum()))
-                    starts = (np.cumsum(counts) - counts)[full]
-                    for k in range(words):
-                        x = (h ^ keys[k]) * np.uint64(0xBF58476D1CE4E5B9)
-                        x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
-                        bits = np.unpackbits((x ^ (x >> np.uint64(32))).astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-                        votes = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-                        out[at + full, k] = np.packbits(2 * votes > counts[full, None], axis=1, bitorder="little").view("<u8").ravel()
+                hashes, counts = _rolled_hashes(text_bytes(part, "text"), shingle_words)
+                for k in range(words):
+                    x = (hashes ^ keys[k]) * np.uint64(0xBF58476D1CE4E5B9)
+                    x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
+                    out[at : at + part.num_rows, k] = _majorities(x ^ (x >> np.uint64(32)), counts)
                 at += part.num_rows
             data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(8 * words)), pa.py_buffer(out.astype("<u8").tobytes())])
             yield pa.RecordBatch.from_arrays([ids, data], names=["id", "fp"])
@@ -370,16 +395,17 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     Texts link when their fingerprints differ in at most as many bits as texts of this Jaccard similarity of their shingles
     do, and ``DEVIATIONS`` standard deviations more; of these pairs at least the share ``found`` is compared. Null and empty
-    texts have fingerprint zero and are one group. Rows with a null id take part; a component of them alone has a null
-    ``component_id``. Repeated rows get the same component. An empty table gives an empty result.
+    texts have fingerprint zero and are one group. Ids lie below 2^62. Rows with a null id take part; a component of them
+    alone has a null ``component_id``. Repeated rows get the same component. An empty table gives an empty result.
     """
     rows = docs.count()
     plan = table_plan(rows, similarity, found)
     share, bits = differing_share(similarity), 64 * WIDE_WORDS
     most = math.floor(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
     printed = cut_lineage(wide_fingerprints(docs, shingle_words, WIDE_WORDS, id_col, text_col))
-    fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")).withColumn("node", F.monotonically_increasing_id()))
-    roots = components(similar_links(fps.select("node", "fp"), plan, most, rows))
-    rooted = cut_lineage(fps.join(roots, "node", "left").select("fp", "least_id", F.coalesce("root", "node").alias("root")))
-    ids = rooted.groupBy("root").agg(F.min("least_id").alias("component_id"))
-    return printed.join(rooted.join(ids, "root").select("fp", "component_id"), "fp").select(id_col, "component_id")
+    # A node is its least id, so that a component's root is the smallest id too. Nodes without an id come after all others.
+    fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")).select("fp", F.coalesce("least_id", F.lit(_NO_ID) + F.monotonically_increasing_id()).alias("node")))
+    roots = components(similar_links(fps, plan, most, rows))
+    root = F.coalesce("root", "node")
+    by_fp = fps.join(roots, "node", "left").select("fp", F.when(root < _NO_ID, root).alias("component_id"))
+    return printed.join(by_fp, "fp").select(id_col, "component_id")
