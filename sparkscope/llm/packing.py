@@ -8,7 +8,9 @@ tightest open bins in logarithmic time. Spark then numbers the pieces within eac
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
+from itertools import chain
 from unicodedata import normalize
 
 import numpy as np
@@ -33,6 +35,8 @@ class WordIds:
     #: Fixed value: how the tokenizer cuts a word, after normalising it, before it merges characters.
     PARTS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
     WORDS_AT_ONCE = 512
+    #: A single mark after a letter and before white space is a part of its own.
+    MARK = re.compile(rb"(?<=[a-z])([.,])(?=[\x20\x09-\x0D]|$)")
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -43,6 +47,8 @@ class WordIds:
         self.parts = regex.compile(self.PARTS)
         self.last = np.zeros(self.tokenizer.get_vocab_size(), bool)
         self.last[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
+        # Special tokens are told before letters are folded.
+        self.special = [t.content.lower().encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.clear()
 
     def clear(self) -> None:
@@ -72,16 +78,21 @@ class WordIds:
         self.known.update((w, base + k) for k, w in enumerate(words))
         self.ids, self.offsets = np.concatenate(ids), np.concatenate(ends)
 
+    def _words(self, text: bytes) -> list[bytes]:
+        """Words in fewer spellings: A-Z folded, as the tokenizer does itself, and single marks apart."""
+        low = text.lower()
+        return text.split() if any(s in low for s in self.special) else self.MARK.sub(rb" \1", low).split()
+
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the texts one after another, and where each text ends."""
-        split = [t.split() for t in texts]
+        split = [self._words(t) for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.clear()
         known = self.known
         if new := list(set().union(*split).difference(known)):
             self.learn(new)
         counts = np.array([len(w) for w in split], np.int64)
-        at = np.fromiter((known[w] for words in split for w in words), np.int64, int(counts.sum()))
+        at = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(counts.sum()))
         sizes = self.offsets[at + 1] - self.offsets[at]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0
