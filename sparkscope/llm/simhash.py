@@ -29,9 +29,9 @@ from .substrings import Words
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _BLOCKS, _BITS = 9, 7
-#: Similar pairs: excess over an anchor's radius, share of pairs at the wanted similarity that have an anchor in common, standard
-#: deviations that a pair's differing bits may exceed their mean, words of a fingerprint, and rows that an anchor should hold.
-EXCESS, FOUND, DEVIATIONS, WIDE_WORDS, ANCHOR_ROWS = 1, 0.98, 2.0, 4, 64
+#: Similar pairs: excess over an anchor's radius, share of pairs at the wanted similarity that are found, standard deviations that
+#: a pair's differing bits may exceed their mean, words of a fingerprint at least and those compared, and rows of an anchor.
+EXCESS, FOUND, DEVIATIONS, WIDE_WORDS, COMPARED_WORDS, ANCHOR_ROWS = 1, 0.98, 3.0, 8, 4, 64
 #: Fingerprints that a part of a table should hold; larger groups of an anchor are joined by a forest.
 PART_ROWS, SMALL_ANCHOR = 1 << 16, 64
 #: Ids of documents lie below; from here on nodes without an id are numbered.
@@ -240,12 +240,22 @@ def shared_anchor_chance(blocks: int, share: float, excess: int = EXCESS) -> flo
 
 def table_plan(rows: int, similarity: float, found: float = FOUND) -> np.ndarray:
     """A row of blocks for each table: blocks enough for an anchor to hold a few rows, and tables enough to find the wanted share
-    of pairs. Tables share no block until all are used; then the blocks are dealt anew in another order."""
+    of pairs, those that ``most_bits`` loses included. No two tables share a block, so their misses do not coincide."""
     blocks = max(2, math.ceil(math.log2(max(2, 12 * rows / ANCHOR_ROWS)) / 4))
-    tables = math.ceil(math.log(1 - found) / math.log(1 - shared_anchor_chance(blocks, differing_share(similarity))))
-    whole, rng = 64 * WIDE_WORDS // _BITS, np.random.default_rng(SEED)
-    dealt = [rng.permutation(whole)[: whole // blocks * blocks].reshape(-1, blocks) for _ in range(-(-tables // (whole // blocks)))]
-    return np.concatenate(dealt)[:tables]
+    within = (1 + math.erf(DEVIATIONS / math.sqrt(2))) / 2
+    tables = math.ceil(math.log(1 - found / within) / math.log(1 - shared_anchor_chance(blocks, differing_share(similarity))))
+    return np.random.default_rng(SEED).permutation(tables * blocks).reshape(tables, blocks)
+
+
+def plan_words(plan: np.ndarray) -> int:
+    """Words of a fingerprint that holds all blocks of the plan."""
+    return max(WIDE_WORDS, math.ceil(plan.size * _BITS / 64))
+
+
+def most_bits(similarity: float) -> int:
+    """Differing bits among the compared words up to which a pair of this similarity counts as found."""
+    share, bits = differing_share(similarity), 64 * COMPARED_WORDS
+    return math.floor(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
 
 
 def _rolled_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -356,9 +366,10 @@ def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> Dat
     """Links ``a, b`` between nodes of ``fps`` (``node, fp``, distinct) at most ``most`` bits apart that share an anchor.
 
     A part is a table and the first code words of its anchors: a fingerprint goes once to each part that has an anchor of
-    its own, and the part finds the rest of the anchors. A part gives out one link for each of its nodes at most.
+    its own, as the table's blocks and the compared words, and the part finds the rest of the anchors. A part gives out one
+    link for each of its nodes at most.
     """
-    lead, blocks, words = 1, plan.shape[1], WIDE_WORDS
+    lead, blocks, words = 1, plan.shape[1], plan_words(plan)
     while lead < blocks and rows * (1 + 2.625 * lead) / 16**lead > PART_ROWS:
         lead += 1
 
@@ -367,9 +378,12 @@ def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> Dat
             if not batch.num_rows:
                 continue
             fp = np.frombuffer(b"".join(batch.column("fp").to_pylist()), "<u8").reshape(-1, words)
-            data = np.concatenate([batch.column("node").to_numpy().view(np.uint64)[:, None], fp], axis=1)
+            node = batch.column("node").to_numpy().view(np.uint64)[:, None]
             for table, own in enumerate(plan):
-                row, code, _ = _cover(_block_values(fp, own[:lead]), np.full(len(fp), EXCESS))
+                values = _block_values(fp, own)
+                packed = (values << _BITS * np.arange(blocks)).sum(axis=1).view(np.uint64)[:, None]
+                data = np.concatenate([node, packed, fp[:, :COMPARED_WORDS]], axis=1)
+                row, code, _ = _cover(values[:, :lead], np.full(len(fp), EXCESS))
                 order = np.argsort(code, kind="stable")
                 codes, first = np.unique(code[order], return_index=True)
                 blobs = [data[p].tobytes() for p in np.split(row[order], first[1:])]
@@ -377,11 +391,11 @@ def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> Dat
 
     def find(key: tuple, held: pa.Table) -> pa.Table:
         part = key[0].as_py()
-        table, code = part >> 4 * lead, part & (1 << 4 * lead) - 1
-        data = np.frombuffer(b"".join(held.column("data").to_pylist()), np.uint64).reshape(-1, words + 1)
+        code = part & (1 << 4 * lead) - 1
+        data = np.frombuffer(b"".join(held.column("data").to_pylist()), np.uint64).reshape(-1, COMPARED_WORDS + 2)
         data = data[np.argsort(data[:, 0].view(np.int64), kind="stable")]
-        node, fp = data[:, 0].view(np.int64), np.ascontiguousarray(data[:, 1:])
-        values = _block_values(fp, plan[table])
+        node, fp = data[:, 0].view(np.int64), np.ascontiguousarray(data[:, 2:])
+        values = data[:, 1].view(np.int64)[:, None] >> _BITS * np.arange(blocks) & 127
         used = sum(_away()[values[:, k], code >> 4 * (lead - 1 - k) & 15] for k in range(lead))
         star = _stars(len(node), _near_in_table(fp, values[:, lead:], EXCESS - used, most))
         linked = np.flatnonzero(star != np.arange(len(node)))
@@ -400,9 +414,8 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
     """
     rows = docs.count()
     plan = table_plan(rows, similarity, found)
-    share, bits = differing_share(similarity), 64 * WIDE_WORDS
-    most = math.floor(bits * share + DEVIATIONS * math.sqrt(bits * share * (1 - share)))
-    printed = cut_lineage(wide_fingerprints(docs, shingle_words, WIDE_WORDS, id_col, text_col))
+    most = most_bits(similarity)
+    printed = cut_lineage(wide_fingerprints(docs, shingle_words, plan_words(plan), id_col, text_col))
     # A node is its least id, so that a component's root is the smallest id too. Nodes without an id come after all others.
     fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")).select("fp", F.coalesce("least_id", F.lit(_NO_ID) + F.monotonically_increasing_id()).alias("node")))
     roots = components(similar_links(fps, plan, most, rows))

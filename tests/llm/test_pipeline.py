@@ -69,6 +69,26 @@ def test_pairs_are_found_as_often_as_wanted():
         assert found.mean() > 0.95
 
 
+@pytest.mark.parametrize("rows", [150_000, 2 * 10**6, 10**7])
+def test_the_found_share_holds_at_every_size(rows):
+    """Over the real plan, with the limit on differing bits: blocks that tables share would miss the same pairs."""
+    rng = np.random.default_rng(3)
+    plan, n, share = simhash.table_plan(rows, 0.8), 4000, simhash.differing_share(0.8)
+    words = max(simhash.WIDE_WORDS, -(-(int(plan.max()) + 1) * 7 // 64))
+    a = rng.integers(0, 2**63, (n, words), dtype=np.uint64)
+    b = a ^ np.packbits(rng.random((n, words, 64)) < share, axis=-1, bitorder="little").view("<u8").reshape(n, -1)
+    found = np.zeros(n, bool)
+    for blocks in plan:
+        sides = [simhash._cover(simhash._block_values(x, blocks), np.full(n, simhash.EXCESS)) for x in (a, b)]
+        keys = [set(zip(row.tolist(), anchor.tolist(), strict=True)) for row, anchor, _ in sides]
+        found[[row for row, _ in keys[0] & keys[1]]] = True
+    compared = getattr(simhash, "COMPARED_WORDS", simhash.WIDE_WORDS)
+    most = np.floor(64 * compared * share + simhash.DEVIATIONS * np.sqrt(64 * compared * share * (1 - share)))
+    found &= simhash._apart(a[:, :compared], b[:, :compared]) <= most
+    print(f"{rows} rows: {plan.shape} plan, {found.mean():.4f} found")
+    assert found.mean() >= simhash.FOUND - 0.003
+
+
 def test_a_large_group_of_copies_is_one_component(spark):
     rng = np.random.default_rng(5)
     base = _text(rng, 400)
