@@ -10,7 +10,8 @@ spanning forest of its links, never all its pairs.
 
 A few bits on 64 are far stricter than a similarity of 0.8, where fingerprints differ in about ten. ``similar_groups`` takes
 that similarity: its fingerprints have several words, each table of anchors covers a few blocks of them, and the number of
-tables follows from the wanted share of found pairs, so that it is the same at every size.
+tables follows from the wanted share of found pairs, so that it is the same at every size. Anchors only propose: the shingles
+of what they connect are compared exactly.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut_lineage, shuffle_partitions, text_bytes, text_slices
-from .substrings import Words
+from .substrings import Words, _mixed
 
 SEED = 42
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -34,6 +35,8 @@ _BLOCKS, _BITS = 9, 7
 EXCESS, FOUND, DEVIATIONS, WIDE_WORDS, COMPARED_WORDS, ANCHOR_ROWS = 1, 0.98, 3.0, 8, 4, 64
 #: Fingerprints that a part of a table should hold; larger groups of an anchor are joined by a forest.
 PART_ROWS, SMALL_ANCHOR = 1 << 16, 64
+#: Connected texts are compared in cells of about so many; from a larger component, so many of its texts are in all of its cells.
+CELL_TEXTS, LEADERS = 1024, 32
 #: Ids of documents lie below; from here on nodes without an id are numbered.
 _NO_ID = 1 << 62
 
@@ -275,26 +278,42 @@ def _rolled_hashes(texts: list[bytes], size: int) -> tuple[np.ndarray, np.ndarra
 
 
 def wide_fingerprints(docs: DataFrame, shingle_words: int, words: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``id_col, fp``: the fingerprint over ``words`` independent 64-bit hashes of each shingle, as little-endian bytes."""
+    """``id_col, fp, shingles, text_key``: the fingerprint over ``words`` independent 64-bit hashes of each shingle, as
+    little-endian bytes; the same number for equal shingles, and for equal texts."""
     keys = np.random.default_rng(SEED).integers(0, 2**63, words, dtype=np.uint64)
 
     def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids = batch.column("id")
-            out = np.zeros((len(ids), words), np.uint64)
+            out, sums = np.zeros((len(ids), words), np.uint64), np.zeros(len(ids), np.uint64)
             at = 0
             for part in text_slices(iter([batch]), "text"):
                 hashes, counts = _rolled_hashes(text_bytes(part, "text"), shingle_words)
+                total = np.concatenate([np.zeros(1, np.uint64), np.cumsum(_mixed(hashes), dtype=np.uint64)])
+                ends = np.cumsum(counts)
+                sums[at : at + part.num_rows] = total[ends] - total[ends - counts]
                 for k in range(words):
                     x = (hashes ^ keys[k]) * np.uint64(0xBF58476D1CE4E5B9)
                     x = (x ^ (x >> np.uint64(29))) * np.uint64(0x94D049BB133111EB)
                     out[at : at + part.num_rows, k] = _majorities(x ^ (x >> np.uint64(32)), counts)
                 at += part.num_rows
             data = pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(np.arange(len(ids) + 1, dtype=np.int32) * np.int32(8 * words)), pa.py_buffer(out.astype("<u8").tobytes())])
-            yield pa.RecordBatch.from_arrays([ids, data], names=["id", "fp"])
+            yield pa.RecordBatch.from_arrays([ids, data, pa.array(sums.view(np.int64)), batch.column("text_key")], names=["id", "fp", "shingles", "text_key"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(compute, "id long, fp binary").withColumnRenamed("id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("text_key"))
+    return rows.mapInArrow(compute, "id long, fp binary, shingles long, text_key long").withColumnRenamed("id", id_col)
+
+
+def _shingle_sets(texts: DataFrame, shingle_words: int) -> DataFrame:
+    """Replace ``text`` by ``held``, the sorted hashes of its distinct shingles."""
+
+    def compute(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in text_slices(batches, "text"):
+            hashes, counts = _rolled_hashes(text_bytes(part, "text"), shingle_words)
+            sets = [np.unique(x).tobytes() for x in np.split(hashes, np.cumsum(counts)[:-1])]
+            yield pa.RecordBatch.from_arrays([part.column("node"), part.column("group"), pa.array(sets, pa.binary())], names=["node", "group", "held"])
+
+    return texts.select("node", "group", "text").mapInArrow(compute, "node long, group long, held binary")
 
 
 def _block_values(fp: np.ndarray, blocks: np.ndarray) -> np.ndarray:
@@ -401,24 +420,99 @@ def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> Dat
         linked = np.flatnonzero(star != np.arange(len(node)))
         return pa.table({"a": pa.array(node[star[linked]]), "b": pa.array(node[linked])})
 
-    return fps.mapInArrow(deal, "part long, data binary").groupBy("part").applyInArrow(find, "a long, b long").distinct()
+    return fps.select("node", "fp").mapInArrow(deal, "part long, data binary").groupBy("part").applyInArrow(find, "a long, b long").distinct()
+
+
+def _exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
+    """Links that join all of ``sets`` of at least this Jaccard similarity of each other through one another."""
+    sizes = np.array([len(x) for x in sets], np.int64)
+    ends = np.cumsum(sizes)
+    distinct, label = np.unique(np.concatenate(sets), return_inverse=True)
+    held, links = np.zeros(len(distinct), bool), []
+    open_, flat, place = np.arange(len(sets)), label, np.repeat(np.arange(len(sets)), sizes)
+    while len(open_) > 1:
+        front, flat, place, open_ = [int(open_[0])], flat[sizes[open_[0]] :], place[sizes[open_[0]] :] - 1, open_[1:]
+        while front and len(open_):
+            one = front.pop()
+            own = label[ends[one] - sizes[one] : ends[one]]
+            held[own] = True
+            common = np.bincount(place[held[flat]], minlength=len(open_))
+            held[own] = False
+            near = common >= similarity * (sizes[one] + sizes[open_] - common) - 1e-9
+            if near.any():
+                links.append(np.stack([np.full(near.sum(), one), open_[near]], axis=1))
+                front += open_[near].tolist()
+                rest = ~near[place]
+                flat, place, open_ = flat[rest], (np.cumsum(~near) - 1)[place[rest]], open_[~near]
+    return np.concatenate(links) if links else np.zeros((0, 2), np.int64)
+
+
+def _compared(celled: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join the similar nodes of a group within each cell (``owner, cells``)."""
+
+    def compare(table: pa.Table) -> pa.Table:
+        node, group = table.column("node").to_numpy(), table.column("group").to_numpy()
+        held = [np.frombuffer(x, np.uint64) for x in table.column("held").to_pylist()]
+        order = np.argsort(group, kind="stable")
+        found = [np.zeros((0, 2), np.int64)]
+        for own in np.split(order, np.flatnonzero(np.diff(group[order])) + 1):
+            found.append(node[own[_exact_links([held[i] for i in own], similarity)]])
+        pairs = np.concatenate(found)
+        return pa.table({"a": pa.array(pairs[:, 0]), "b": pa.array(pairs[:, 1])})
+
+    return celled.select("node", "group", "held", "owner", F.explode("cells").alias("cell")).groupBy("owner", "cell").applyInArrow(compare, "a long, b long")
+
+
+def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
+    """Links ``a, b`` that join the nodes of a group (``node, group, held``) whose sets have this Jaccard similarity.
+
+    Small groups share cells. A large one is cut into cells, each with the group's leaders, through which most similar nodes
+    are joined. What is then outside the group's largest component is compared with all of the group, cell by cell.
+    """
+    cut = lambda n: F.ceil(n / F.lit(CELL_TEXTS)).cast("long")
+    each = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    large = sets.groupBy("group").agg(F.count("*").alias("n")).filter(F.col("n") > CELL_TEXTS)
+    large = cut_lineage(large)
+    cells, own = cut(F.col("n")), lambda n, seed: F.pmod(F.xxhash64("node", F.lit(seed)), n)
+    leads = own(F.greatest(F.floor(F.col("n") / LEADERS), F.lit(1)), 1) == 0
+    shared = F.pmod(F.xxhash64("group"), F.lit(4 * shuffle_partitions(sets.sparkSession)).cast("long"))
+    where = F.when(F.col("n").isNull(), F.array(shared)).when(leads, each(cells)).otherwise(F.array(own(cells, 0)))
+    tagged = sets.join(F.broadcast(large), "group", "left").withColumn("owner", F.when(F.col("n").isNotNull(), F.col("group")))
+    first = cut_lineage(_compared(tagged.withColumn("cells", where), similarity))
+    if large.isEmpty():
+        return first
+    roots = components(first)
+    placed = tagged.filter(F.col("n").isNotNull()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    sizes = placed.groupBy("group", "root").agg(F.count("*").alias("k"))
+    most = cut_lineage(sizes.groupBy("group").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("all")).filter(F.col("all") > F.col("main.k")))
+    if most.isEmpty():
+        return first
+    parts = cut(F.col("all") - F.col("main.k"))
+    among = F.transform(each(parts), lambda j: own(cells, 0) * parts + j)
+    against = F.when(F.col("root") != F.col("main.root"), F.transform(each(cells), lambda i: i * parts + own(parts, 2))).otherwise(F.array().cast("array<bigint>"))
+    rest = placed.join(F.broadcast(most), "group").withColumn("cells", F.array_union(among, against))
+    return first.union(_compared(rest, similarity))
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, found: float = FOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: ``id_col, component_id``, the smallest id reachable over links of similar texts.
 
-    Texts link when their fingerprints differ in at most as many bits as texts of this Jaccard similarity of their shingles
-    do, and ``DEVIATIONS`` standard deviations more; of these pairs at least the share ``found`` is compared. Null and empty
-    texts have fingerprint zero and are one group. Ids lie below 2^62. Rows with a null id take part; a component of them
-    alone has a null ``component_id``. Repeated rows get the same component. An empty table gives an empty result.
+    Texts link when the Jaccard similarity of their shingles is at least ``similarity``; of the pairs with this similarity
+    at least the share ``found`` is proposed by their fingerprints. Null and empty texts are one group. Ids lie below 2^62.
+    Rows with a null id take part; a component of them alone has a null ``component_id``. Repeated rows get the same
+    component. An empty table gives an empty result.
     """
     rows = docs.count()
     plan = table_plan(rows, similarity, found)
-    most = most_bits(similarity)
     printed = cut_lineage(wide_fingerprints(docs, shingle_words, plan_words(plan), id_col, text_col))
     # A node is its least id, so that a component's root is the smallest id too. Nodes without an id come after all others.
-    fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")).select("fp", F.coalesce("least_id", F.lit(_NO_ID) + F.monotonically_increasing_id()).alias("node")))
-    roots = components(similar_links(fps, plan, most, rows))
+    first = F.min(F.struct(F.coalesce(id_col, F.lit(_NO_ID)).alias("id"), "text_key")).alias("first")
+    fps = cut_lineage(printed.groupBy("fp", "shingles").agg(F.min(id_col).alias("least_id"), first).select("fp", "shingles", "first", F.coalesce("least_id", F.lit(_NO_ID) + F.monotonically_increasing_id()).alias("node")))
+    proposed = components(similar_links(fps, plan, most_bits(similarity), rows))
+    members = fps.join(proposed, "node").select("node", F.col("root").alias("group"), F.col("first.id").alias("_id"), F.col("first.text_key").alias("_key"))
+    texts = docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(_NO_ID)).alias("_id"), F.xxhash64(text_col).alias("_key"), F.col(text_col).alias("text"))
+    sets = cut_lineage(_shingle_sets(texts.join(members, ["_id", "_key"]).dropDuplicates(["node", "_key"]), shingle_words))
+    roots = components(exact_links(sets, similarity))
     root = F.coalesce("root", "node")
-    by_fp = fps.join(roots, "node", "left").select("fp", F.when(root < _NO_ID, root).alias("component_id"))
-    return printed.join(by_fp, "fp").select(id_col, "component_id")
+    by_fp = fps.join(roots, "node", "left").select("fp", "shingles", F.when(root < _NO_ID, root).alias("component_id"))
+    return printed.join(by_fp, ["fp", "shingles"]).select(id_col, "component_id")

@@ -98,6 +98,33 @@ def test_a_large_group_of_copies_is_one_component(spark):
     assert all(got[5000 + i] == 5000 + i for i in range(200))
 
 
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_only_texts_of_the_wanted_similarity_link(spark, monkeypatch, cell):
+    """Planted pairs at 0.6 to 0.85, and a family whose members are as far apart, against brute-force Jaccard."""
+    monkeypatch.setattr(simhash, "CELL_TEXTS", cell, raising=False)
+    monkeypatch.setattr(simhash, "LEADERS", 4, raising=False)
+    rng = np.random.default_rng(21)
+    texts = {}
+    for i in range(80):
+        texts[i] = _text(rng, 300)
+        texts[1000 + i] = _edited(rng, texts[i], int(rng.integers(2, 15)))
+    base = _text(rng, 300)
+    texts |= {5000 + i: _edited(rng, base, int(rng.integers(1, 9))) for i in range(120)}
+    sets, ids = {k: _shingles(t) for k, t in texts.items()}, sorted(texts)
+    want = {k: k for k in ids}
+    near = [(a, b) for a in ids for b in ids if a < b and abs(a - b) in (1000, *range(1, 120)) and _similar(sets[a], sets[b]) >= 0.8]
+    for _ in ids:
+        before = dict(want)
+        for a, b in near:
+            want[a] = want[b] = min(want[a], want[b])
+        if want == before:
+            break
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(spark.createDataFrame(list(texts.items()), "doc_id long, text string")).collect()}
+    assert all(want[got[k]] == want[k] for k in ids)
+    assert sum(0.6 <= _similar(sets[i], sets[1000 + i]) < 0.8 for i in range(80)) > 20 and 20 < sum(want[1000 + i] == i for i in range(80))
+    assert sum(got[k] == want[k] for k in ids) >= 0.97 * len(ids)
+
+
 def test_similar_groups_of_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, " \t"), (4, "a b c"), (5, "A  b C"), (None, "a b c"), (None, "only here " * 9), (7, "x"), (7, "x"), (8, "long " * 30000)]
     docs = spark.createDataFrame([(*r, "clash", 1, 2) for r in rows], "doc_id long, text string, fp string, node int, component_id int")
