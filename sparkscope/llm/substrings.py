@@ -5,7 +5,8 @@ Texts are dealt into blocks by a hash of their id. A suffix starts at each word;
     documents hold has its anchors in several documents; a suffix without a shared anchor is a leaf of its own.
  2. The other suffixes travel by their anchors: equal windows have the same one, so the words around an anchor hold all
     suffixes that it stands for, once. They go to groups by a variable-length prefix at the anchor: its first word, or as
-    many as it takes for the prefix to be too rare to fill a group. Each block sends equal words around an anchor once,
+    many as it takes for the prefix to be too rare to fill a group. Where all words of an anchor are frequent, its windows
+    travel one by one, by further words: those to the right of the anchor, then those to its left. Each block sends equal words around an anchor once,
     with their smallest document, so that hot passages are combined before they move.
  3. A group cuts the suffixes out again and sorts them, neighbours share their path in the tree, and the nodes at least
     ``min_words`` deep are the repeats. Each gives its smallest document back to the blocks below it.
@@ -121,9 +122,14 @@ class Block(Words):
     def anchor_words(self) -> int:
         return min(ANCHOR_WORDS, self.min_words)
 
+    @property
+    def anchor_windows(self) -> int:
+        """Windows that an anchor may stand for."""
+        return self.min_words - self.anchor_words + 1
+
     def anchors(self) -> tuple[np.ndarray, np.ndarray]:
         """For each window, the least hash of its runs of ``ANCHOR_WORDS`` words and the place of the first such run."""
-        out, where, wide = np.zeros(len(self.at), np.uint64), np.zeros_like(self.at), self.min_words - self.anchor_words + 1
+        out, where, wide = np.zeros(len(self.at), np.uint64), np.zeros_like(self.at), self.anchor_windows
         for i in range(0, len(self.at), _PLACES):
             at = self.at[i : i + _PLACES]
             first = int(at[0])
@@ -137,6 +143,17 @@ class Block(Words):
             out[i : i + _PLACES], where[i : i + _PLACES] = least[at - first], place[at - first]
         return out, where
 
+    def around(self, size: int, at: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """Hashes of ``size`` words of windows: from the anchor's place to the window's end, then leftwards from the anchor."""
+        out = np.zeros(len(at), np.uint64)
+        for i in range(0, len(at), _PLACES):
+            some, h = place[i : i + _PLACES], np.zeros(len(at[i : i + _PLACES]), np.uint64)
+            right = at[i : i + _PLACES] + self.min_words - some
+            for k in range(size):
+                h = h * _STEP + self.words[np.where(k < right, some + k, some - 1 - (k - right))]
+            out[i : i + _PLACES] = _mixed(h)
+        return out
+
     def smallest(self, told: np.ndarray, by: np.ndarray) -> np.ndarray:
         """For each window the smallest id that holds it: in this block, or by what is ``told`` (digests, and their ids)."""
         digest, out = self.runs(self.min_words, self.at), np.full(len(self.at), _LAST_ID)
@@ -196,17 +213,25 @@ def _slots(h: np.ndarray) -> np.ndarray:
     return (h >> _U(64 - SLOT_BITS)).astype(np.int64)
 
 
-def _census(block: Block, at: np.ndarray, share: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
-    """Per prefix length: hashed slots that at least ``share`` of the prefixes at the anchors fall into, and how many do."""
+def _census(block: Block, at: np.ndarray, place: np.ndarray, share: float) -> list[tuple[int, np.ndarray, np.ndarray]]:
+    """Per prefix length: hashed slots that at least ``share`` of the prefixes at the anchors fall into, and how many do. Beyond
+    the anchor's words windows count (``at``, and ``place`` of their anchors), as many as an anchor may have for each."""
     out = []
-    least = max(2, math.ceil(share * len(at)))
-    for size in range(1, block.anchor_words):
-        slot = _slots(block.runs(size, at))
+    once = place[np.concatenate([[True], place[1:] != place[:-1]])] if len(place) else place
+    least = max(2, math.ceil(share * len(once)))
+    for size in range(1, block.min_words):
+        if size == block.anchor_words + 1:
+            own = np.isin(place, once)
+            at, once, least = at[own], place[own], least * block.anchor_windows
+        slot = _slots(block.around(size, at, once) if size > block.anchor_words else block.runs(size, once))
         counts = np.bincount(slot, minlength=1 << SLOT_BITS)
         heavy = counts >= least
         out.append((size, np.flatnonzero(heavy), counts[heavy]))
-        at = at[heavy[slot]]
-        if not len(at):
+        more = heavy[slot]
+        once = once[more]
+        if size > block.anchor_words:
+            at = at[more]
+        if not len(once):
             break
     return out
 
@@ -217,6 +242,7 @@ def _survey(packed: DataFrame, buckets: int, share: float, min_words: int) -> Da
     def name(table: pa.Table) -> pa.Table:
         block = Block(_blobs(table), min_words)
         anchor, place = block.anchors()
+        census = [np.stack([np.full(len(s), size), s, n]) for size, s, n in _census(block, block.at, place, share / 2)]
         change = np.concatenate([[True], place[1:] != place[:-1]]) if len(anchor) else np.zeros(0, bool)
         anchor, place = anchor[change], place[change]
         doc = block.doc[place]
@@ -227,7 +253,6 @@ def _survey(packed: DataFrame, buckets: int, share: float, min_words: int) -> Da
         # The lowest bit tells that several documents of this block hold the anchor.
         value = anchor[first] & ~_U(1) | many.astype(np.uint64)
         parts = _by(((value >> _U(33)) % _U(buckets)).astype(np.int64), buckets)
-        census = [np.stack([np.full(len(s), size), s, n]) for size, s, n in _census(block, place, share / 2)]
         census = np.concatenate(census, axis=1) if census else np.zeros((3, 0), np.int64)
         dealt = _by(census[1] % buckets, buckets)
         return pa.table({
@@ -251,7 +276,8 @@ def _survey(packed: DataFrame, buckets: int, share: float, min_words: int) -> Da
         census = np.concatenate([np.frombuffer(x, np.int64).reshape(3, -1) for x in table.column("census").to_pylist()], axis=1)
         at, number = np.unique(census[:2], axis=1, return_inverse=True)
         total = np.bincount(number.ravel(), weights=census[2], minlength=at.shape[1])
-        frequent = at[:, total >= share * sum(table.column("n").to_pylist())]
+        anchor_words = min(ANCHOR_WORDS, min_words)
+        frequent = at[:, total >= share * sum(table.column("n").to_pylist()) * np.where(at[0] > anchor_words, min_words - anchor_words + 1, 1)]
         for size in np.unique(frequent[0]).tolist():
             out_block.append(-size)
             out_data.append(frequent[1][frequent[0] == size].tobytes())
@@ -287,11 +313,30 @@ def _suffixes(packed: DataFrame, shared: DataFrame, frequent: dict[int, np.ndarr
             part, open_ = np.zeros(len(begin), np.int64), np.arange(len(begin))
             for size in range(1, block.anchor_words + 1):
                 h = block.runs(size, place[open_])
-                more = np.isin(_slots(h), frequent[size]) if size in frequent and size < block.anchor_words else np.zeros(len(h), bool)
+                more = np.isin(_slots(h), frequent[size]) if size in frequent and size < min_words else np.zeros(len(h), bool)
                 part[open_[~more]] = (h[~more] >> _U(11)) % _U(groups)
                 open_ = open_[more]
                 if not len(open_):
                     break
+            if len(open_):
+                # The anchor itself is frequent: its windows go one by one, each distinct one once.
+                n = windows[open_]
+                single = np.repeat(begin[open_], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(begin.dtype)
+                anchored, holder = np.repeat(place[open_], n), np.repeat(least[open_], n)
+                _, one, number = np.unique(block.runs(min_words, single), return_index=True, return_inverse=True)
+                lowest = np.full(len(one), _LAST_ID)
+                np.minimum.at(lowest, number, holder)
+                single, anchored, own, left_ = single[one], anchored[one], np.zeros(len(one), np.int64), np.arange(len(one))
+                for size in range(block.anchor_words + 1, min_words + 1):
+                    h = block.around(size, single[left_], anchored[left_])
+                    more = np.isin(_slots(h), frequent[size]) if size in frequent and size < min_words else np.zeros(len(h), bool)
+                    own[left_[~more]] = (h[~more] >> _U(11)) % _U(groups)
+                    left_ = left_[more]
+                    if not len(left_):
+                        break
+                whole = np.setdiff1d(np.arange(len(begin)), open_)
+                begin, part = np.concatenate([begin[whole], single]), np.concatenate([part[whole], own])
+                windows, least = np.concatenate([windows[whole], np.ones(len(single), windows.dtype)]), np.concatenate([least[whole], lowest])
             press = zstandard.ZstdCompressor(3)
             for k, p in enumerate(_by(part, groups)):
                 if len(p):
@@ -394,7 +439,7 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     packed = _packed(rows, parts)
     survey = _survey(packed, parts, share, min_words)
-    # At most 1 / share slots for each prefix length, 65,536 whatever the input: a bounded list for the tasks.
+    # About 1 / share slots for each prefix length, 65,536 whatever the input: a bounded list for the tasks.
     frequent: dict[int, np.ndarray] = {}
     for row in survey.filter("block < 0").collect():
         frequent[-row["block"]] = np.concatenate([frequent.get(-row["block"], np.zeros(0, np.int64)), np.frombuffer(row["data"], np.int64)])

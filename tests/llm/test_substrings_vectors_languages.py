@@ -59,6 +59,34 @@ def test_remove_repeats_of_nothing(spark):
     assert remove_repeats(spark.createDataFrame([(1, None), (2, "")], "doc_id long, text string")).select("n_words", "kept").distinct().collect() == [(0, "")]
 
 
+def test_a_frequent_anchor_is_divided(spark):
+    """A five-word phrase that is the anchor everywhere, among words that differ, must not fill a single group."""
+    import zstandard
+
+    from sparkscope.llm import substrings
+
+    rng = np.random.default_rng(4)
+    phrases = [f"ab{i} cd ef gh ij" for i in range(20000)]
+    words = substrings.Words([p.encode() for p in phrases], 5)
+    phrase = phrases[int(np.argmin(words.runs(5, words.at)))]
+    some = lambda: " ".join(f"w{x}" for x in rng.integers(0, 300, 8))
+    rows = [(i, f"{some()} {phrase} {some()}") for i in range(1500)]
+    rows += [(5000 + i, f"{i} {rows[i][1]} end") for i in range(100)]
+    docs = spark.createDataFrame(rows, "id long, text string")
+    parts, share = 4, 1 / 64
+    packed = substrings._packed(docs, parts)
+    survey = substrings._survey(packed, parts, share, 13)
+    frequent = {}
+    for r in survey.filter("block < 0").collect():
+        frequent[-r["block"]] = np.concatenate([frequent.get(-r["block"], np.zeros(0, np.int64)), np.frombuffer(r["data"], np.int64)])
+    sizes = Counter()
+    for r in substrings._suffixes(packed, survey.filter("block >= 0"), frequent, parts, 13).collect():
+        sizes[r["part"]] += len(zstandard.ZstdDecompressor().decompress(r["data"]))
+    assert max(sizes.values()) < 0.4 * sum(sizes.values())
+    got = remove_repeats(docs, 13, "id").select("id", "n_words", "n_removed", F.sha2("kept", 256)).collect()
+    assert Counter(map(tuple, got)) == _without_repeats(rows, 13) and any(r["n_removed"] for r in got)
+
+
 def _best(rows, k=20):
     vectors = {}
     for key, v in rows:
