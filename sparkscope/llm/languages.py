@@ -96,7 +96,7 @@ def fit(labelled: DataFrame, text_col: str = "text", language_col: str = "lang",
 
 def markup_language(html: Column) -> Column:
     """The language that a page's root element declares; null where it declares none."""
-    return F.nullif(F.lower(F.regexp_extract(F.substring(html, 1, 2000), r"""(?i)<html[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", 1)), F.lit(""))
+    return F.nullif(F.lower(F.regexp_extract(html, r"""(?i)<html[^>]*?\slang\s*=\s*["']?([A-Za-z]+)""", 1)), F.lit(""))
 
 
 def host(url: Column) -> Column:

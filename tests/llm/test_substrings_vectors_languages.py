@@ -134,6 +134,12 @@ def test_languages_of_held_out_documents(spark):
     assert sum(r["accepted"] for r in got) > 0.99 * len(got)
 
 
+def test_a_root_element_after_a_long_preamble_declares_its_language(spark):
+    preamble = "<!-- " + "licence " * 400 + "-->"
+    pages = spark.createDataFrame([(0, preamble + "<html class=x lang='fr'><body>"), (1, preamble + "<html><p lang=de>"), (2, "<html lang=es>")], "n int, html string")
+    assert dict(pages.select("n", languages.markup_language(F.col("html"))).collect()) == {0: "fr", 1: None, 2: "es"}
+
+
 def test_languages_of_pages(spark):
     got = queries.op7_language_id(spark, "/root/testdata/sf0.01").filter("page_id IS NOT NULL").join(spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("page_id", F.regexp_extract("url", r"//[^/]+/([a-z]{2})/", 1).alias("path")), "page_id").filter("path IN ('en', 'de', 'fr', 'es')").collect()
     assert len(got) > 200
