@@ -192,20 +192,23 @@ def _base_spans(text):
 
 def test_secrets(table):
     got = secrets.scan_secrets(table).collect()
-    rows = [(r["doc_id"], r["text"] or "", r["source"] or "") for r in table.select("doc_id", "text", "source").collect()]
-    scanned, owners = [], defaultdict(set)
-    for key, text, owner in rows:
+    rows = [(r["doc_id"], r["text"] or "", r["source"] or "", "/".join(x for x in (r["source"], r["lang"]) if x is not None)) for r in table.select("doc_id", "text", "source", "lang").collect()]
+    scanned, owners, repositories = [], defaultdict(set), defaultdict(set)
+    for key, text, owner, repository in rows:
         base = _base_spans(text)
         extra = [(m.start(), 3, m.end(), "opaque", m[0]) for m in re.finditer(r"[A-Za-z0-9+/_-]{24,}", text) if re.search("[A-Z]", m[0]) and re.search("[a-z]", m[0]) and re.search("[0-9]", m[0]) and not any(b[0] < m.end() and m.start() < b[2] for b in base)]
         scanned.append((key, base, extra))
         for s in base + extra:
             owners[s[4]].add(owner)
+            repositories[s[4]].add((owner, repository))
     listed = lambda spans: ",".join(f"{s[3]}:{s[0]}:{s[2]}" for s in sorted(spans))
+    live = lambda s: len(owners[s[4]]) < 3 and len(repositories[s[4]]) < 4
     expected = Counter()
     for key, base, extra in scanned:
-        n = Counter(s[3] for s in base)
-        expected[key, n["assign"], n["access"], n["hex"], listed(base), listed(base + [s for s in extra if len(owners[s[4]]) < 3])] += 1
-    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base"], r["spans"]) for r in got) == expected
+        n, told = Counter(s[3] for s in base), base + [s for s in extra if live(s)]
+        most = [max((len(held[s[4]]) for s in told), default=0) for held in (owners, repositories)]
+        expected[key, n["assign"], n["access"], n["hex"], listed(base), listed(told), sum(map(live, told)), sum(not live(s) for s in told), *most] += 1
+    assert Counter((r["doc_id"], r["n_assign"], r["n_access"], r["n_hex"], r["base"], r["spans"], r["n_live"], r["n_example"], r["most_owners"], r["most_repositories"]) for r in got) == expected
 
 
 def _fingerprint(text, size):

@@ -153,7 +153,7 @@ def test_evidence_is_fused(spark):
     # Letters that neither language has leave the likelihoods even: the declaration or the host decides.
     odd = [(1000, "zzq zzq", "de", None), (1001, "zzq zzq", None, "h2"), (1002, "zzq zzq", None, "h1"), (1003, None, "en", "h1"), (1004, " 12 %", "en", "h1"), (1005, "", None, None)]
     both = docs.union(spark.createDataFrame(odd, docs.schema))
-    got = {r["doc_id"]: r for r in languages.identify_documents(both, model).collect()}
+    got = {r["doc_id"]: r for r in languages.identify_documents(both, model, declared=F.col("lang")).collect()}
     assert len(got) == 66
     assert [got[i]["language"] for i in (1000, 1001, 1002)] == ["de", "de", "en"]
     assert not any(got[i]["accepted"] for i in (1003, 1004, 1005))
