@@ -12,7 +12,7 @@ from .languages import fit, identify_documents, identify_pages
 from .licences import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, scan_licences
 from .mixing import mix
 from .packing import pack_documents
-from .secrets import BASE_KINDS, OPAQUE, WIDE_OWNERS, scan_secrets
+from .secrets import BASE_KINDS, OPAQUE, WIDE_OWNERS, WIDE_REPOSITORIES, scan_secrets
 from .simhash import near_groups
 from .substrings import remove_repeats
 from .vectors import top_k
@@ -51,7 +51,7 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_secrets(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example")
+    return found.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans", "n_live", "n_example", "most_owners", "most_repositories")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -134,25 +134,25 @@ FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)
 
 def _secret_sql() -> str:
     kinds = [*enumerate(BASE_KINDS), (len(BASE_KINDS), OPAQUE)]
-    cut = ", ".join(f"SELECT {r} AS rank, {_quoted(k)} AS kind, {n} AS least, doc_id, owner, regexp_extract_all(t, {_quoted(p)}) AS m, regexp_extract_all(t, {_quoted(p)}, {g}) AS v, regexp_split_to_array(t, {_quoted(p)}) AS g FROM d" for r, (k, p, g, n) in kinds).replace(", SELECT", " UNION ALL SELECT")
+    cut = ", ".join(f"SELECT {r} AS rank, {_quoted(k)} AS kind, {n} AS least, doc_id, owner, repository, regexp_extract_all(t, {_quoted(p)}) AS m, regexp_extract_all(t, {_quoted(p)}, {g}) AS v, regexp_split_to_array(t, {_quoted(p)}) AS g FROM d" for r, (k, p, g, n) in kinds).replace(", SELECT", " UNION ALL SELECT")
     listed = lambda rows: f"coalesce(string_agg(concat(kind, ':', CAST(start_at AS VARCHAR), ':', CAST(end_at AS VARCHAR)), ',' ORDER BY start_at, rank) FILTER ({rows}), '')"
     counts = ", ".join(f"count(*) FILTER (kind = {_quoted(k[0])}) AS n_{k[0]}" for k in BASE_KINDS)
     return rf"""
-WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, coalesce(text, '') AS t FROM documents),
+WITH d AS (SELECT doc_id, coalesce(source, '') AS owner, concat_ws('/', source, lang) AS repository, coalesce(text, '') AS t FROM documents),
 cut AS ({cut}),
 each AS (SELECT *, unnest(range(1, len(m) + 1)) AS k FROM cut),
 spans AS (
-  SELECT rank, kind, doc_id, owner, v[k] AS value, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start_at, length(m[k]) AS size
+  SELECT rank, kind, doc_id, owner, repository, v[k] AS value, CAST(list_sum(list_transform(g[1:k], lambda x: length(x))) + coalesce(list_sum(list_transform(m[1:k - 1], lambda x: length(x))), 0) AS BIGINT) AS start_at, length(m[k]) AS size
   FROM each WHERE length(v[k]) >= least),
 placed AS (SELECT *, start_at + size AS end_at FROM spans),
 candidates AS (
   SELECT * FROM placed p WHERE kind <> '{OPAQUE[0]}' OR (regexp_matches(value, '[A-Z]') AND regexp_matches(value, '[a-z]') AND regexp_matches(value, '[0-9]')
     AND NOT EXISTS (SELECT 1 FROM placed b WHERE b.doc_id = p.doc_id AND b.kind <> '{OPAQUE[0]}' AND b.start_at < p.end_at AND p.start_at < b.end_at))),
-owned AS (SELECT value, count(DISTINCT owner) AS n_owners FROM candidates GROUP BY value),
-judged AS (SELECT *, n_owners < {WIDE_OWNERS} AS live FROM candidates JOIN owned USING (value)),
+owned AS (SELECT value, count(DISTINCT owner) AS n_owners, count(DISTINCT (owner, repository)) AS n_repositories FROM candidates GROUP BY value),
+judged AS (SELECT *, n_owners < {WIDE_OWNERS} AND n_repositories < {WIDE_REPOSITORIES} AS live FROM candidates JOIN owned USING (value)),
 reported AS (SELECT * FROM judged WHERE kind <> '{OPAQUE[0]}' OR live),
-summed AS (SELECT doc_id, {counts}, {listed(f"kind <> '{OPAQUE[0]}'")} AS base, {listed('true')} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example FROM reported GROUP BY doc_id)
-SELECT d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) AS n_{k[0]}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example
+summed AS (SELECT doc_id, {counts}, {listed(f"kind <> '{OPAQUE[0]}'")} AS base, {listed('true')} AS spans, count(*) FILTER (live) AS n_live, count(*) FILTER (NOT live) AS n_example, max(n_owners) AS most_owners, max(n_repositories) AS most_repositories FROM reported GROUP BY doc_id)
+SELECT d.doc_id, {', '.join(f'coalesce(n_{k[0]}, 0) AS n_{k[0]}' for k in BASE_KINDS)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live, coalesce(n_example, 0) AS n_example, coalesce(most_owners, 0) AS most_owners, coalesce(most_repositories, 0) AS most_repositories
 FROM d LEFT JOIN summed USING (doc_id)
 """
 

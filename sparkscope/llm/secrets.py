@@ -3,11 +3,14 @@
 Every match becomes a candidate with a hash of its value. Counting the distinct owners and repositories of each hash tells
 widely copied examples from values that one owner alone has and that so look live. Matches of the fixed patterns are always
 reported; opaque tokens, which the patterns miss, are reported where their ownership says that they look live.
+
+Places are running sums over a document's matches, and what overlaps is told by running extremes over its spans in order:
+the time grows with the text and with its matches, sorting aside, never with their square.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import cut_lineage
@@ -21,26 +24,18 @@ BASE_KINDS = (
 )
 #: Long opaque tokens: upper case, lower case and a digit in one run.
 OPAQUE = ("opaque", r"[A-Za-z0-9+/_-]{24,}", 0, 24)
-#: A value that so many owners have is an example.
-WIDE_OWNERS = 3
+#: A value that so many owners, or so many repositories, have is an example.
+WIDE_OWNERS, WIDE_REPOSITORIES = 3, 4
 
 
-def _matches(text: Column, rank: int, kind: str, pattern: str, group: int, least: int) -> Column:
-    """Spans of the pattern's leftmost matches: what stands between them gives their places, in code points."""
+def _matches(text: Column, rank: int, pattern: str, group: int) -> Column:
+    """The pattern's leftmost matches: each one's place among them, the characters before it and its own, in code points."""
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
     gaps = F.transform(F.split(text, pattern, -1), lambda x: F.length(x).cast("long"))
     zipped = F.arrays_zip(found.alias("m"), values.alias("v"), F.slice(gaps, 1, F.size(found)).alias("g"))
-    span = "array<struct<start:long,rank:int,end:long,kind:string,value:string>>"
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(span).alias("out"))
-
-    def step(state: Column, x: Column) -> Column:
-        begin = state["at"] + x["g"]
-        end = begin + F.length(x["m"])
-        return F.struct(end.alias("at"), F.array_append(state["out"], F.struct(begin.alias("start"), F.lit(rank).alias("rank"), end.alias("end"), F.lit(kind).alias("kind"), x["v"].alias("value"))).alias("out"))
-
-    spans = F.aggregate(zipped, start, step, lambda s: s["out"])
-    return F.when(text.rlike(pattern), F.filter(spans, lambda s: F.length(s["value"]) >= least)).otherwise(F.array().cast(span))
+    each = F.transform(zipped, lambda x, i: F.struct(F.lit(rank).alias("rank"), i.alias("place"), x["g"].alias("gap"), F.length(x["m"]).cast("long").alias("size"), x["v"].alias("value")))
+    return F.when(text.rlike(pattern), each).otherwise(F.array().cast("array<struct<rank:int,place:int,gap:long,size:long,value:string>>"))
 
 
 def _listed(spans: Column) -> Column:
@@ -48,15 +43,22 @@ def _listed(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def candidate_spans(docs: DataFrame, owner: Column, repository: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``row, id_col, owner, repository, base, opaque`` (arrays of spans with hashes of values)."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    base = F.concat(*[_matches(text, i, *k) for i, k in enumerate(BASE_KINDS)])
-    mixed = lambda s: s["value"].rlike("[A-Z]") & s["value"].rlike("[a-z]") & s["value"].rlike("[0-9]")
-    scanned = docs.select(F.col(id_col), F.coalesce(owner.cast("string"), F.lit("")).alias("owner"), F.coalesce(repository.cast("string"), F.lit("")).alias("repository"), base.alias("base"), _matches(text, len(BASE_KINDS), *OPAQUE).alias("opaque"))
-    apart = lambda s: ~F.exists("base", lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"]))
-    hashed = lambda c: F.transform(c, lambda s: F.struct(s["start"].alias("start"), s["rank"].alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"), F.sha2(s["value"], 256).alias("hash")))
-    return scanned.select(F.monotonically_increasing_id().alias("row"), id_col, "owner", "repository", hashed(F.col("base")).alias("base"), hashed(F.filter("opaque", lambda s: mixed(s) & apart(s))).alias("opaque"))
+def candidate_spans(matches: DataFrame) -> DataFrame:
+    """``row, owner, repository, rank, kind, start, end, hash``: matches that are long enough, opaque ones where they mix
+    cases and digits and no base span overlaps them."""
+    kinds, opaque = [*BASE_KINDS, OPAQUE], len(BASE_KINDS)
+    by_rank = lambda values: F.element_at(F.array(*[F.lit(v) for v in values]), F.col("rank") + 1)
+    so_far = Window.partitionBy("row", "rank").orderBy("place").rowsBetween(Window.unboundedPreceding, 0)
+    spans = matches.withColumn("end", F.sum(F.col("gap") + F.col("size")).over(so_far)).withColumn("start", F.col("end") - F.col("size"))
+    spans = spans.filter(F.length("value") >= by_rank([k[3] for k in kinds]))
+    base = F.col("rank") < opaque
+    before = Window.partitionBy("row").orderBy("start", "rank").rowsBetween(Window.unboundedPreceding, 0)
+    behind = Window.partitionBy("row").orderBy(F.desc("start"), F.desc("rank")).rowsBetween(Window.unboundedPreceding, 0)
+    reached = F.coalesce(F.max(F.when(base, F.col("end"))).over(before) > F.col("start"), F.lit(False))
+    reaching = F.coalesce(F.min(F.when(base, F.col("start"))).over(behind) < F.col("end"), F.lit(False))
+    mixed = F.col("value").rlike("[A-Z]") & F.col("value").rlike("[a-z]") & F.col("value").rlike("[0-9]")
+    apart = spans.withColumn("apart", ~reached & ~reaching).filter(base | (F.col("apart") & mixed))
+    return apart.select("row", "owner", "repository", "rank", by_rank([k[0] for k in kinds]).alias("kind"), "start", "end", F.sha2("value", 256).alias("hash"))
 
 
 def ownership(candidates: DataFrame) -> DataFrame:
@@ -67,22 +69,31 @@ def ownership(candidates: DataFrame) -> DataFrame:
 
 
 def scan_secrets(docs: DataFrame, owner: Column | None = None, repository: Column | None = None, wide_owners: int = WIDE_OWNERS,
-                 id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of ``docs``: ``id_col, n_assign, n_access, n_hex, base, spans, n_live, n_example``.
-
-    ``base`` and ``spans`` are the listed spans; ``n_live`` counts spans whose value fewer than ``wide_owners`` owners have,
-    ``n_example`` the others. Null texts count as empty, null owners and repositories as one unnamed one. Repeated rows are
-    scanned each for itself and count once per owner and repository. An empty table gives an empty result.
+                 wide_repositories: int = WIDE_REPOSITORIES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of ``docs``: ``id_col, n_assign, n_access, n_hex, base, spans, n_live, n_example, most_owners, most_repositories``.
+
+    ``base`` and ``spans`` are the listed spans. A span is live when its value has fewer than ``wide_owners`` owners and fewer
+    than ``wide_repositories`` repositories, else an example; ``n_live`` and ``n_example`` count them, the last two columns
+    give the most owners and repositories that a reported value has. Null and empty texts have no spans; a null id, owner or
+    repository is allowed, null owners and repositories being one unnamed one. Very long texts are scanned whole, in linear
+    time. Spans that start together are listed in the order of the kinds. Repeated rows are scanned each for itself and count
+    once per owner and repository. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     owner = F.col("source") if owner is None else owner
     repository = F.concat_ws("/", F.col("source"), F.col("lang")) if repository is None else repository
-    scanned = cut_lineage(candidate_spans(docs, owner, repository, id_col, text_col))
-    spans = scanned.select("row", "owner", "repository", F.explode(F.concat("base", "opaque")).alias("s")).select("row", "owner", "repository", "s.*")
-    judged = spans.join(ownership(spans), "hash").withColumn("live", F.col("n_owners") < wide_owners)
-    reported = judged.filter((F.col("kind") != OPAQUE[0]) | F.col("live"))
-    per_row = reported.groupBy("row").agg(F.collect_list(F.struct("start", "rank", "end", "kind")).alias("all"), F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"))
-    count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    empty = F.lit(0).cast("long")
-    return scanned.join(per_row, "row", "left").select(
-        id_col, *[count(k[0]) for k in BASE_KINDS], _listed(F.col("base")).alias("base"), F.coalesce(_listed(F.col("all")), F.lit("")).alias("spans"),
-        F.coalesce("n_live", empty).alias("n_live"), F.coalesce("n_example", empty).alias("n_example"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    named = lambda c: F.coalesce(c.cast("string"), F.lit(""))
+    found = F.concat(*[_matches(text, i, k[1], k[2]) for i, k in enumerate((*BASE_KINDS, OPAQUE))])
+    scanned = cut_lineage(docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), named(owner).alias("owner"), named(repository).alias("repository"), found.alias("found")))
+    matches = scanned.select("row", "owner", "repository", F.explode("found").alias("x")).select("row", "owner", "repository", "x.*")
+    candidates = cut_lineage(candidate_spans(matches))
+    judged = candidates.join(ownership(candidates), "hash").withColumn("live", (F.col("n_owners") < wide_owners) & (F.col("n_repositories") < wide_repositories))
+    base = F.col("kind") != OPAQUE[0]
+    reported = judged.filter(base | F.col("live"))
+    span = F.struct("start", "rank", "end", "kind")
+    per_row = reported.groupBy("row").agg(
+        *[F.count_if(F.col("kind") == k[0]).alias(f"n_{k[0]}") for k in BASE_KINDS], F.collect_list(F.when(base, span)).alias("base"), F.collect_list(span).alias("spans"),
+        F.count_if("live").alias("n_live"), F.count_if(~F.col("live")).alias("n_example"), F.max("n_owners").alias("most_owners"), F.max("n_repositories").alias("most_repositories"))
+    count = lambda c: F.coalesce(c, F.lit(0).cast("long")).alias(c)
+    text_of = lambda c: F.coalesce(_listed(F.col(c)), F.lit("")).alias(c)
+    return scanned.join(per_row, "row", "left").select(F.col("id").alias(id_col), *[count(f"n_{k[0]}") for k in BASE_KINDS], text_of("base"), text_of("spans"), *map(count, ("n_live", "n_example", "most_owners", "most_repositories")))
