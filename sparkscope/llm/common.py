@@ -21,10 +21,15 @@ def shuffle_partitions(spark: SparkSession) -> int:
 
 
 def checkpoint_folder(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, as in tests, a new one."""
+    """The shared folder that the cluster names in ``spark.checkpoint.dir``; where that is unset, as in tests, a new one.
+
+    A machine's own folder is no place for what a cluster shares, so there an unset folder is an error.
+    """
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
+        if not named and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="checkpoints-"))
     return context.getCheckpointDir()
 
