@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from datetime import datetime, timedelta
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -109,3 +111,19 @@ def newest_by(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
     """The ``n`` newest rows of each key."""
     span = Window.partitionBy(*keys).orderBy(F.desc("timestamp"), F.desc("id"))
     return rows.withColumn("_n", F.row_number().over(span)).filter(F.col("_n") <= n).drop("_n")
+
+
+#: Hours of the named scopes.
+RECENT_HOURS = {"last_hour": 1, "last_24_hours": 24, "last_7_days": 168}
+
+
+def recent(rows: DataFrame, as_of: datetime, name: str) -> DataFrame:
+    """Rows after the named scope's begin, which does not count itself."""
+    return rows.filter(F.col("timestamp") > F.lit(as_of - timedelta(hours=RECENT_HOURS[name])))
+
+
+def by(rows: DataFrame, **equal: object) -> DataFrame:
+    """Rows whose columns have the given values, newest first; None asks for rows without a value."""
+    for column, value in equal.items():
+        rows = rows.filter(F.col(column).eqNullSafe(F.lit(value)))
+    return rows.orderBy(F.desc("timestamp"), F.desc("id"))

@@ -130,3 +130,10 @@ def recount(issues: DataFrame, events: DataFrame, affected: DataFrame | None = N
 def delete_events(events: DataFrame, tombstones: DataFrame) -> DataFrame:
     """Events without those named; recount their issues afterwards."""
     return events.join(tombstones.select("project_id", "event_id"), ["project_id", "event_id"], "left_anti")
+
+
+def events_of(issues: DataFrame, events: DataFrame) -> DataFrame:
+    """Each issue's events; the issue's columns come with them, the keys once."""
+    keys = ["project_id", "fingerprint"]
+    own = [F.col(c).alias(f"issue_{c}") for c in issues.columns if c not in keys]
+    return issues.select(*keys, *own).join(events, keys)

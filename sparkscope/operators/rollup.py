@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.latency import bucket_index
@@ -18,15 +18,20 @@ def keyed(transactions: DataFrame) -> DataFrame:
     return transactions.withColumn("environment", F.coalesce("environment", F.lit(""))).withColumn("hour_bucket", F.date_trunc("hour", "timestamp"))
 
 
-def hourly_stats(transactions: DataFrame) -> DataFrame:
-    """13 measures by project, endpoint, environment and hour; missing times are in no count, errors are 5xx and up."""
+def measures() -> list[Column]:
+    """The 13 measures of an hour; missing times are in no count, errors are 5xx and up."""
     total = lambda c, name: F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(name)
     status = F.col("http_status").try_cast("int")
-    return keyed(transactions).groupBy(*KEYS).agg(
+    return [
         F.count("*").alias("count"), total("duration", "sum_duration"), F.min("duration").alias("min_duration"), F.max("duration").alias("max_duration"),
         total("db_time", "sum_db_time"), F.count("db_time").alias("db_time_count"), total("view_time", "sum_view_time"), F.count("view_time").alias("view_time_count"),
         total("query_count", "sum_query_count"), F.max("query_count").alias("max_query_count"), F.count_if("has_n_plus_one").alias("n_plus_one_count"),
-        total("n_plus_one_time", "sum_n_plus_one_time"), F.count_if(F.coalesce(status >= 500, F.lit(False))).alias("error_count"))
+        total("n_plus_one_time", "sum_n_plus_one_time"), F.count_if(F.coalesce(status >= 500, F.lit(False))).alias("error_count")]
+
+
+def hourly_stats(transactions: DataFrame) -> DataFrame:
+    """The measures by project, endpoint, environment and hour."""
+    return keyed(transactions).groupBy(*KEYS).agg(*measures())
 
 
 def latency_histogram(transactions: DataFrame) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,16 +23,25 @@ def ordered_children(spans: Column) -> Column:
 def depths(root_id: Column, children: Column) -> Column:
     """One more than the parent's depth as known when a span's turn comes; unknown and later parents count as the root.
 
-    A fold over the ordered spans that carries the depths so far; a repeated id takes its last depth.
+    The order of the spans decides, so it is a walk: one look-up for each span, over batches of ids alone. A repeated id takes
+    its last depth.
     """
-    start = F.struct(F.map_from_arrays(F.array(F.coalesce(root_id, F.lit(""))), F.array(F.lit(0))).alias("known"), F.array().cast("array<int>").alias("out"))
 
-    def step(state: Column, span: Column) -> Column:
-        depth = F.coalesce(F.try_element_at(state["known"], F.coalesce(span["parent_span_id"], F.lit(""))), F.lit(0)) + 1
-        own = F.when(span["span_id"].isNotNull(), F.map_concat(F.map_filter(state["known"], lambda k, _: k != span["span_id"]), F.map_from_arrays(F.array(span["span_id"]), F.array(depth)))).otherwise(state["known"])
-        return F.struct(own.alias("known"), F.array_append(state["out"], depth).alias("out"))
+    def walk(root: pa.Array, ids: pa.Array) -> pa.Array:
+        out = []
+        for own, spans in zip(root.to_pylist(), ids.to_pylist(), strict=True):
+            known, found = {own or "": 0}, []
+            for span in spans or []:
+                depth = known.get(span["parent"] or "", 0) + 1
+                if span["own"] is not None:
+                    known[span["own"]] = depth
+                found.append(depth)
+            out.append(found)
+        return pa.array(out, pa.list_(pa.int32()))
 
-    return F.aggregate(children, start, step, lambda s: s["out"])
+    # Made here, as workers that import this module have no session.
+    walk.__annotations__ = {"root": pa.Array, "ids": pa.Array, "return": pa.Array}
+    return F.arrow_udf(walk, "array<int>")(root_id, F.transform(children, lambda s: F.struct(s["span_id"].alias("own"), s["parent_span_id"].alias("parent"))))
 
 
 def span_rows(transactions: DataFrame) -> DataFrame:
@@ -74,28 +86,34 @@ def timing(spans: Column, op: str) -> Column:
     return F.when(total > 0, total)
 
 
-def query_patterns(breadcrumbs: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """Patterns of a transaction's queries (``transaction_id, pos, category, sql``) with counts, distinct texts, the
-    first example, and the time of the database spans (``transaction_id, op, description, duration_ms``) of the same shape."""
+def query_patterns(breadcrumbs: DataFrame, spans: DataFrame | None = None, keys: Sequence[str] = ("transaction_id",)) -> DataFrame:
+    """Patterns of a transaction's queries (``keys, pos, category, sql``) with counts, distinct texts, the first
+    example, and the time of the database spans (``keys, op, description, duration_ms``) of the same shape.
+
+    Each distinct text of a transaction is counted before its shape is taken, so repeats are neither parsed nor moved again.
+    """
     queries = breadcrumbs.filter((F.col("category") == "sql.active_record") & ~is_infrastructure(F.col("sql"))).filter("trim(sql) != ''")
-    found = queries.withColumn("pattern", sql_pattern(F.col("sql"))).groupBy("transaction_id", "pattern").agg(
-        F.count("*").alias("count"), F.count_distinct("sql").alias("distinct_count"), truncate_sql(F.min_by("sql", "pos")).alias("example"))
+    texts = queries.groupBy(*keys, "sql").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
+    found = texts.withColumn("pattern", sql_pattern(F.col("sql"))).groupBy(*keys, "pattern").agg(
+        F.sum("n").alias("count"), F.count("*").alias("distinct_count"), F.min_by("sql", F.struct("first", "sql")).alias("example")).withColumn("example", truncate_sql(F.col("example")))
     if spans is None:
         return found.withColumn("total_time_ms", F.lit(None).cast("double"))
     timed = spans.filter(F.col("op").startswith("db") & (F.trim("description") != "") & F.col("duration_ms").isNotNull())
-    times = timed.withColumn("pattern", sql_pattern(F.col("description"))).groupBy("transaction_id", "pattern").agg(F.round(F.sum("duration_ms"), 1).alias("total_time_ms"))
-    return found.join(times, ["transaction_id", "pattern"], "left")
+    summed = timed.groupBy(*keys, "description").agg(F.sum("duration_ms").alias("ms"))
+    times = summed.withColumn("pattern", sql_pattern(F.col("description"))).groupBy(*keys, "pattern").agg(F.round(F.sum("ms"), 1).alias("total_time_ms"))
+    return found.join(times, [*keys, "pattern"], "left")
 
 
-def repeated_queries(breadcrumbs: DataFrame, spans: DataFrame | None = None) -> DataFrame:
-    """Per transaction all queries (blank ones too), shapes, flagged shapes and the time they took (null where untimed)."""
-    total = breadcrumbs.filter((F.col("category") == "sql.active_record") & ~is_infrastructure(F.col("sql"))).groupBy("transaction_id").agg(F.count("*").alias("total_queries"))
+def repeated_queries(breadcrumbs: DataFrame, spans: DataFrame | None = None, keys: Sequence[str] = ("transaction_id",)) -> DataFrame:
+    """Per transaction all queries (blank ones too), shapes, flagged shapes, those of them that are one text again and
+    again, and the time that flagged ones took (null where untimed)."""
+    total = breadcrumbs.filter((F.col("category") == "sql.active_record") & ~is_infrastructure(F.col("sql"))).groupBy(*keys).agg(F.count("*").alias("total_queries"))
     flagged = F.col("count") > REPEAT_THRESHOLD
-    shapes = query_patterns(breadcrumbs, spans).groupBy("transaction_id").agg(
+    shapes = query_patterns(breadcrumbs, spans, keys).groupBy(*keys).agg(
         F.count("*").alias("unique_patterns"), F.count_if(flagged).alias("flagged_patterns"), F.count_if(flagged & (F.col("distinct_count") == 1)).alias("identical_patterns"),
         F.round(F.sum(F.when(flagged, F.col("total_time_ms")))).cast("long").alias("wasted_ms"))
     zero = {"unique_patterns": 0, "flagged_patterns": 0, "identical_patterns": 0}
-    return total.join(shapes, "transaction_id", "left").na.fill(zero)
+    return total.join(shapes, list(keys), "left").na.fill(zero)
 
 
 def flagged_patterns(patterns: Column) -> Column:

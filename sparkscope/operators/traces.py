@@ -51,3 +51,9 @@ def backfill_trace(rows: DataFrame, sources: DataFrame, key: str = "transaction_
     """Null trace ids from the first row of another table with the same key; ids that are there stay."""
     first = _traced(sources).groupBy(key).agg(F.min_by("trace_id", "sequence").alias("_trace"))
     return rows.join(first, key, "left").withColumn("trace_id", F.coalesce("trace_id", "_trace")).drop("_trace")
+
+
+def backfill_from_payload(rows: DataFrame, payload: str = "payload") -> DataFrame:
+    """Null trace ids from the row's own stored payload; what is no JSON tells nothing."""
+    told = F.try_variant_get(F.try_parse_json(payload), "$.contexts.trace.trace_id", "string")
+    return rows.withColumn("trace_id", F.coalesce("trace_id", told))

@@ -350,9 +350,11 @@ def search_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     return issues.search_issues(_issues(spark, sf_dir), "Error at 1", "open").select("project_id", "fingerprint", "title", "count", *seconds("last_seen"))
 
 
-@register("search_issues_escaped", query("SELECT fingerprint FROM status WHERE contains(title, '%')", "status"))
+@register("search_issues_escaped", query("SELECT project_id, fingerprint, replace(title, ' at ', ' %_ ') AS title FROM status WHERE contains(title, ' at 3') ORDER BY status.last_seen DESC, project_id, fingerprint LIMIT 20", "status"))
 def search_issues_escaped(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return issues.search_issues(_issues(spark, sf_dir), "%", "all").select("fingerprint")
+    """Titles hold a per cent sign and an underscore, which stand for themselves; as wildcards they would match all digits."""
+    titled = _issues(spark, sf_dir).withColumn("title", F.replace("title", F.lit(" at "), F.lit(" %_ ")))
+    return issues.search_issues(titled, "%_ 3", "all").select("project_id", "fingerprint", "title")
 
 
 @register("issues_by_frequency", query("SELECT project_id, fingerprint, count FROM issues ORDER BY count DESC, project_id, fingerprint LIMIT 20", "issues"))
@@ -483,26 +485,35 @@ def span_waterfall(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.with_waterfall(rows)
 
 
-@register("span_depth")
+@register("span_depth", query(
+    """SELECT transaction_id, CAST(0 AS INTEGER) AS sequence, 'root' AS span_id, CAST(0 AS INTEGER) AS depth FROM (SELECT DISTINCT transaction_id FROM placed)
+    UNION ALL SELECT transaction_id, CAST(place AS INTEGER), span_id, CAST(place - max(CASE WHEN below_root THEN place END) OVER (PARTITION BY transaction_id ORDER BY place) + 1 AS INTEGER) FROM placed""",
+    placed="""SELECT l_orderkey AS transaction_id, concat('s', CAST(l_linenumber AS VARCHAR)) AS span_id, row_number() OVER w AS place, l_partkey % 3 = 0 OR row_number() OVER w = 1 AS below_root
+    FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_returnflag)"""))
 def span_depth(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A fold whose result depends on the spans' order; tests hold it against a loop."""
+    """A span hangs below its predecessor or below the root: its depth counts from the last one below the root."""
     return spans.span_rows(views.span_trees(spark, sf_dir)).select("transaction_id", "sequence", "span_id", "depth")
 
 
-@register("query_patterns", query(
-    """SELECT transaction_id, pattern, count(*) AS count, count(DISTINCT sql) AS distinct_count FROM (SELECT *, CASE pos WHEN 5 THEN 'SELECT * FROM parts WHERE id IN (?)' ELSE 'SELECT * FROM parts WHERE name = ? AND id = ?' END AS pattern FROM crumbs WHERE pos < 6) GROUP BY 1, 2""", "crumbs"))
+_SHAPED = f"SELECT transaction_id, pos, sql, {oracle.pattern_sql('sql')} AS pattern FROM crumbs WHERE trim(sql) <> '' AND NOT contains(sql, 'solid_queue_jobs')"
+_SHAPES = "SELECT transaction_id, pattern, count(*) AS n, count(DISTINCT sql) AS distinct_n, arg_min(sql, (pos, sql)) AS example FROM shaped GROUP BY 1, 2"
+
+
+@register("query_patterns", query("SELECT transaction_id, pattern, n AS count, distinct_n AS distinct_count, example FROM shapes", "crumbs", shaped=_SHAPED, shapes=_SHAPES))
 def query_patterns(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.query_patterns(views.breadcrumbs(spark, sf_dir)).select("transaction_id", "pattern", "count", "distinct_count")
+    return spans.query_patterns(views.breadcrumbs(spark, sf_dir)).select("transaction_id", "pattern", "count", "distinct_count", "example")
 
 
 @register("repeated_queries", query(
-    """SELECT transaction_id, count(*) FILTER (pos <> 6) AS total_queries, count(DISTINCT CASE WHEN pos = 5 THEN 1 WHEN pos < 5 THEN 2 END) AS unique_patterns,
-    CAST(count(*) FILTER (pos < 5) > 3 AS BIGINT) + CAST(count(*) FILTER (pos = 5) > 3 AS BIGINT) AS flagged_patterns FROM crumbs GROUP BY 1 HAVING count(*) FILTER (pos <> 6) > 0""", "crumbs"))
+    """SELECT transaction_id, total_queries, coalesce(unique_patterns, 0) AS unique_patterns, coalesce(flagged_patterns, 0) AS flagged_patterns, coalesce(identical_patterns, 0) AS identical_patterns
+    FROM (SELECT transaction_id, count(*) AS total_queries FROM crumbs WHERE NOT contains(sql, 'solid_queue_jobs') GROUP BY 1)
+    LEFT JOIN (SELECT transaction_id, count(*) AS unique_patterns, count(*) FILTER (n > 3) AS flagged_patterns, count(*) FILTER (n > 3 AND distinct_n = 1) AS identical_patterns FROM shapes GROUP BY 1) USING (transaction_id)""",
+    "crumbs", shaped=_SHAPED, shapes=_SHAPES))
 def repeated_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.repeated_queries(views.breadcrumbs(spark, sf_dir)).select("transaction_id", "total_queries", "unique_patterns", "flagged_patterns")
+    return spans.repeated_queries(views.breadcrumbs(spark, sf_dir)).select("transaction_id", "total_queries", "unique_patterns", "flagged_patterns", "identical_patterns")
 
 
-@register("sql_normalize", query("SELECT transaction_id, pos, CASE pos WHEN 7 THEN '' WHEN 6 THEN 'SELECT * FROM solid_queue_jobs WHERE id = ?' WHEN 5 THEN 'SELECT * FROM parts WHERE id IN (?) /* app:x */' ELSE 'SELECT * FROM parts WHERE name = ? AND id = ?' END AS normal FROM crumbs", "crumbs"))
+@register("sql_normalize", query(f"SELECT transaction_id, pos, {oracle.normal_sql('sql')} AS normal FROM crumbs", "crumbs"))
 def sql_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ..functions.sql_text import sql_normalize as normal
 
@@ -589,10 +600,18 @@ def envelope_routing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _routed(spark, sf_dir).groupBy("sink", F.col("error").isNotNull().alias("error")).agg(F.count("*").alias("count"))
 
 
-@register("ingest_transactions", query("SELECT transaction_id, transaction_name, environment, release, trace_id, http_status, duration, db_time, view_time FROM txn WHERE id % 37 <> 0 AND id % 31 <> 0", "txn"))
+#: What the breadcrumbs and spans of the envelopes' transactions come to.
+_ANALYSED = """SELECT t.* REPLACE (
+      CASE WHEN id % 10 = 2 THEN CASE WHEN id % 7 > 0 THEN CAST(id % 7 * 250 AS INTEGER) END ELSE db_time END AS db_time, CASE WHEN id % 10 = 2 THEN 125 ELSE view_time END AS view_time,
+      CAST(id % 7 + CASE WHEN id % 3 = 0 THEN 5 ELSE 0 END AS INTEGER) AS query_count, id % 7 > 3 OR id % 3 = 0 AS has_n_plus_one,
+      CASE WHEN id % 2 = 0 AND id % 7 > 3 OR id % 6 = 0 THEN CAST(CASE WHEN id % 2 = 0 AND id % 7 > 3 THEN id % 7 * 250 ELSE 0 END + CASE WHEN id % 6 = 0 THEN 500 ELSE 0 END AS INTEGER) END AS n_plus_one_time,
+      timestamp + to_milliseconds(duration) AS timestamp) FROM txn t WHERE id % 37 <> 0 AND id % 31 <> 0"""
+
+
+@register("ingest_transactions", query("SELECT transaction_id, transaction_name, environment, release, trace_id, http_status, duration, db_time, view_time, query_count, has_n_plus_one, n_plus_one_time FROM analysed", "txn", analysed=_ANALYSED))
 def ingest_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = payloads.transaction_rows(_routed(spark, sf_dir).filter("sink = 'transactions'"))
-    return rows.select("transaction_id", "transaction_name", "environment", "release", "trace_id", "http_status", "duration", "db_time", "view_time")
+    rows = payloads.with_query_analysis(payloads.transaction_rows(_routed(spark, sf_dir).filter("sink = 'transactions'")))
+    return rows.select("transaction_id", "transaction_name", "environment", "release", "trace_id", "http_status", "duration", "db_time", "view_time", "query_count", "has_n_plus_one", "n_plus_one_time")
 
 
 @register("ingest_events", query(
@@ -622,3 +641,7 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = t.filter("id % 2 = 0")
     again = t.withColumn("duration", F.when(F.col("id") % 2 == 0, -1).otherwise(F.col("duration")))
     return stored.unionByName(sinks.new_rows(again.unionByName(again), stored, ["project_id", "transaction_id"])).select("transaction_id", "duration")
+
+
+# The other parts register theirs where they stand.
+from . import catalogue_ingest, catalogue_texts  # noqa: E402, F401

@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+from ..sources.views import STATEMENTS
+
+
+def quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
 _ENV = "CASE user_id % 4 WHEN 0 THEN 'staging' WHEN 1 THEN NULL ELSE 'production' END"
 _TRACE = "concat('t', CAST(user_id AS VARCHAR), '-', CAST(event_id // 10 AS VARCHAR))"
 
@@ -30,10 +37,9 @@ VIEWS = {
     "logs": """SELECT doc_id AS id, CAST(doc_id % 5 AS INTEGER) AS project_id, 1704067200 + doc_id * 60 AS at_s, CAST(doc_id % 6 AS INTEGER) AS level, text AS body, source AS service, lang AS environment, CAST(doc_id % 1000 AS DOUBLE) AS duration_ms,
       concat('status ', CAST(doc_id % 7 AS VARCHAR), ' user_id ', CAST(doc_id % 50 AS VARCHAR)) AS attrs_text, concat('t', CAST(doc_id % 200 AS VARCHAR), '-', CAST(doc_id // 10 AS VARCHAR)) AS trace_id FROM documents""",
     "newest": "SELECT project_id, trace_id, arg_max(transaction_id, (timestamp, id)) AS transaction_id, arg_max(transaction_name, (timestamp, id)) AS transaction_name, arg_max(duration, (timestamp, id)) AS duration FROM txn GROUP BY ALL",
-    "crumbs": """SELECT l_orderkey AS transaction_id, l_linenumber AS pos, l_partkey % 2 AS odd, CASE l_linenumber WHEN 7 THEN '  ' WHEN 6 THEN concat('SELECT * FROM solid_queue_jobs WHERE id = ', CAST(l_partkey AS VARCHAR))
-      WHEN 5 THEN concat('SELECT * FROM parts WHERE id IN (', CAST(l_partkey AS VARCHAR), ', 2, 3) /* app:x */') ELSE concat('SELECT * FROM parts WHERE name = ''p', CAST(l_partkey AS VARCHAR), ''' AND id = ', CAST(l_partkey % 2 AS VARCHAR)) END AS sql FROM lineitem""",
+    "crumbs": f"""SELECT l_orderkey AS transaction_id, l_linenumber AS pos, replace(replace([{", ".join(quoted(x) for x in STATEMENTS)}][l_linenumber], '{{part}}', CAST(l_partkey % 50 AS VARCHAR)), '{{qty}}', CAST(CAST(l_quantity AS INTEGER) AS VARCHAR)) AS sql FROM lineitem""",
     "monitors": """SELECT user_id AS monitor_id, CAST(user_id % 5 AS INTEGER) AS project_id, concat('job-', CAST(user_id AS VARCHAR)) AS slug, user_id % 6 + 1 AS n, CASE WHEN user_id % 2 = 0 THEN 3600 ELSE 86400 END AS unit,
-      greatest(user_id % 3 * 30, 1) * 60 AS margin, max(ts) AS last_at, arg_max(event_type, (ts, event_id)) AS last_event FROM events WHERE user_id < 40 GROUP BY user_id""",
+      greatest(user_id % 3 * 30, 1) * 60 AS margin, max(ts) AS last_at, arg_max(event_type, (ts, event_id)) AS last_event FROM events GROUP BY user_id""",
 }
 #: Views that a view reads.
 _NEEDS = {"hourly": ["txn"], "hist": ["txn"], "inside": ["hourly", "span_of_time"], "merged": ["hist", "span_of_time"], "issues": ["err"], "status": ["issues"], "issue_facets": ["err"], "newest": ["txn"]}
@@ -74,3 +80,24 @@ def mean(total: str, n: str) -> str:
 MERGE = """CAST(sum(count) AS BIGINT) AS count, CAST(sum(sum_duration) AS BIGINT) AS sum_duration, CAST(sum(sum_db_time) AS BIGINT) AS sum_db_time, CAST(sum(db_time_count) AS BIGINT) AS db_time_count,
   CAST(sum(sum_view_time) AS BIGINT) AS sum_view_time, CAST(sum(view_time_count) AS BIGINT) AS view_time_count, CAST(sum(sum_query_count) AS BIGINT) AS sum_query_count, CAST(sum(n_plus_one_count) AS BIGINT) AS n_plus_one_count,
   CAST(sum(sum_n_plus_one_time) AS BIGINT) AS sum_n_plus_one_time, CAST(sum(error_count) AS BIGINT) AS error_count, min(min_duration) AS min_duration, max(max_duration) AS max_duration, max(max_query_count) AS max_query_count"""
+
+
+_COMMENT, _NUMBER = r"/\*.*?\*/", r"(?:\B-|\b)\d+(?:\.\d+)?(?:[eE][+-]?\d+)?"
+_LITERAL = r"'[^'\\]*(?:(?:\\.|'')[^'\\]*)*'"
+
+
+def normal_sql(sql: str) -> str:
+    """The stored normal form of a statement, from patterns without look-around: comments and literals are cut out, numbers are
+    replaced between them, then blanks and lists between the comments."""
+    lexer, comment = quoted(f"(?s){_COMMENT}|{_LITERAL}"), quoted(f"(?s){_COMMENT}")
+    pieces = lambda text, pattern, rest, token: f"array_to_string(list_transform(range(1, len(regexp_split_to_array({text}, {pattern})) + 1), lambda i: {rest(f'regexp_split_to_array({text}, {pattern})[i]')} || CASE WHEN i > len(regexp_extract_all({text}, {pattern})) THEN '' ELSE {token(f'regexp_extract_all({text}, {pattern})[i]')} END), '')"
+    bare = pieces(sql, lexer, lambda x: f"regexp_replace({x}, {quoted(_NUMBER)}, '?', 'g')", lambda t: f"CASE WHEN starts_with({t}, '/*') THEN {t} ELSE '?' END")
+    listed = lambda x: rf"regexp_replace(regexp_replace({x}, '(?i)\bIN\s*\(\s*\?(?:\s*,\s*\?)+\s*\)', 'IN (?)', 'g'), '\s+', ' ', 'g')"
+    return f"(SELECT trim({pieces('b.t', comment, listed, lambda t: t)}) FROM (SELECT {bare} AS t) b)"
+
+
+def pattern_sql(sql: str) -> str:
+    """The shape of a query: comments go, then every value in one pass."""
+    values = "|".join((r"\b(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", r"(?i:\b(IN)\s*(\()[^)]+\))", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"https?://\S+", r"'[^']*'", r"\b(?i:TRUE|FALSE)\b", _NUMBER))
+    marked = f"regexp_replace(regexp_replace({sql}, {quoted('(?s)' + _COMMENT)}, '', 'g'), {quoted(values)}, '\\1\\2?', 'g')"
+    return rf"trim(regexp_replace(regexp_replace({marked}, '(?i)\bIN\(\?', 'IN (?)', 'g'), '\s+', ' ', 'g'))"

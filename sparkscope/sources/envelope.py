@@ -159,3 +159,25 @@ def otlp_chunks(payload: dict, limit: int = CHUNK_BYTES) -> Iterator[dict]:
                 size += n
             if held:
                 yield wrap(held)
+
+
+class ChunkOtlp:
+    """One row for each piece of a payload: its place, text, records, and whether a record alone exceeds the limit."""
+
+    def eval(self, payload: str, limit: int) -> Iterator[tuple]:
+        try:
+            parsed = json.loads(payload or "")
+        except ValueError:
+            return
+        if not isinstance(parsed, dict):
+            return
+        for i, chunk in enumerate(otlp_chunks(parsed, limit)):
+            records = chunk["resourceLogs"][0]["scopeLogs"][0]["logRecords"]
+            yield i, json.dumps(chunk), len(records), len(records) == 1 and len(json.dumps(records[0]).encode()) > limit
+
+
+def otlp_chunk_rows(items: DataFrame, limit: int = CHUNK_BYTES) -> DataFrame:
+    """Items (``payload``) with ``chunk_index, payload, record_count, rejected`` for each piece; what is no JSON gives
+    none. A record beyond the limit is a piece of its own and rejected."""
+    chunk = F.udtf(ChunkOtlp, returnType="chunk_index: int, chunk: string, record_count: int, rejected: boolean")
+    return items.lateralJoin(chunk(F.col("payload").outer(), F.lit(limit))).withColumn("payload", F.col("chunk")).drop("chunk")

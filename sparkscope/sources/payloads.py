@@ -7,10 +7,13 @@ from pyspark.sql import functions as F
 
 from ..functions.log_text import attrs_text, level_from_name, level_from_number, normalize_id, traceparent
 from ..operators.issues import fingerprint
-from ..operators.spans import SPAN_CAP, timing
+from ..operators.spans import SPAN_CAP, repeated_queries, timing
 
-SPANS = "struct<spans:array<struct<span_id:string,parent_span_id:string,trace_id:string,op:string,status:string,description:string,start_timestamp:double,timestamp:double>>>"
-BREADCRUMBS = "struct<breadcrumbs:struct<values:array<struct<category:string,message:string,level:string,data:struct<sql:string>>>>>"
+SPANS = "array<struct<span_id:string,parent_span_id:string,trace_id:string,op:string,status:string,description:string,start_timestamp:double,timestamp:double>>"
+CRUMBS = "array<struct<category:string,message:string,level:string,data:struct<sql:string>>>"
+TRANSACTION = f"struct<spans:{SPANS},breadcrumbs:struct<values:{CRUMBS}>,measurements:map<string,struct<value:double>>>"
+TRANSACTION_KEYS = ("project_id", "transaction_id")
+BREADCRUMBS = f"struct<breadcrumbs:struct<values:{CRUMBS}>>"
 FRAMES = "struct<exception:struct<values:array<struct<type:string,value:string,stacktrace:struct<frames:array<struct<filename:string,function:string,lineno:string,in_app:boolean>>>>>>,fingerprint:array<string>>"
 _VALUE = "struct<value:string,stringValue:string,intValue:string,boolValue:string,doubleValue:string>"
 
@@ -21,17 +24,22 @@ def parse_time(text: Column) -> Column:
 
 
 def _at(json: Column, path: str, kind: str = "string") -> Column:
-    return F.try_variant_get(F.try_parse_json(json), path, kind)
+    return F.try_variant_get(json, path, kind)
 
 
 def _fields(json: Column, paths: dict[str, str]) -> list[Column]:
     return [_at(json, p).alias(n) for n, p in paths.items()]
 
 
+def _parsed(items: DataFrame) -> DataFrame:
+    """Items with their payload as ``json``, parsed once for all fields."""
+    return items.withColumn("json", F.try_parse_json("payload"))
+
+
 def event_rows(items: DataFrame) -> DataFrame:
     """Routed event items (``project_id, event_id, payload, received_at``) to columns; a bad time is the arrival's."""
-    p = F.col("payload")
-    parsed = F.from_json(p, FRAMES)
+    p, items = F.col("json"), _parsed(items)
+    parsed = F.from_json("payload", FRAMES)
     first = F.get(parsed["exception"]["values"], F.lit(0))
     last = F.try_element_at(first["stacktrace"]["frames"], F.lit(-1))
     message = F.coalesce(_at(p, "$.message.formatted"), F.when(F.schema_of_variant(_at(p, "$.message", "variant")) == "STRING", _at(p, "$.message")))
@@ -39,7 +47,7 @@ def event_rows(items: DataFrame) -> DataFrame:
         "project_id", "event_id", F.coalesce(parse_time(_at(p, "$.timestamp")), F.col("received_at")).alias("timestamp"),
         *_fields(p, {"platform": "$.platform", "sdk_name": "$.sdk.name", "sdk_version": "$.sdk.version", "environment": "$.environment", "release": "$.release", "server_name": "$.server_name", "transaction_name": "$.transaction", "trace_id": "$.contexts.trace.trace_id"}),
         F.coalesce(_at(p, "$.level"), F.lit("error")).alias("level"), first["type"].alias("exception_type"), first["value"].alias("exception_value"), message.alias("message"),
-        parsed["fingerprint"].alias("_declared"), last["filename"].alias("_file"), last["lineno"].alias("_line"), p.alias("payload"))
+        parsed["fingerprint"].alias("_declared"), last["filename"].alias("_file"), last["lineno"].alias("_line"), "payload")
     return rows.withColumn("fingerprint", F.substring(fingerprint(F.col("_declared"), F.col("exception_type"), F.col("_file"), F.col("_line"), F.col("message")), 1, 1000)).drop("_declared", "_file", "_line")
 
 
@@ -56,23 +64,40 @@ def event_details(events: DataFrame) -> DataFrame:
 def transaction_rows(items: DataFrame) -> DataFrame:
     """Routed transaction items to columns with their ``spans`` and ``breadcrumbs``; an unreadable duration is 0.
 
-    Span timing stands in for measured times only where the payload has no measurements at all.
+    Span timing stands in for measured times only where the payload has no measurements at all. Fields are read from one
+    parsed value, what is nested by one schema. ``with_query_analysis`` adds what the breadcrumbs tell.
     """
-    p = F.col("payload")
+    p = F.col("json")
+    rows = _parsed(items).withColumn("n", F.from_json("payload", TRANSACTION))
     start, end = parse_time(_at(p, "$.start_timestamp")), parse_time(_at(p, "$.timestamp"))
-    spans = F.from_json(p, SPANS)["spans"]
-    measured = F.from_json(F.get_json_object(p, "$.measurements"), "map<string,struct<value:double>>")
+    spans, measured = F.col("n.spans"), F.col("n.measurements")
     bare = F.coalesce(F.size(measured), F.lit(0)) < 1
     db, view = F.try_element_at(measured, F.lit("db"))["value"], F.try_element_at(measured, F.lit("view"))["value"]
-    return items.select(
+    return rows.select(
         "project_id", F.col("event_id").alias("transaction_id"), F.coalesce(end, F.col("received_at")).alias("timestamp"),
         *_fields(p, {"transaction_name": "$.transaction", "op": "$.contexts.trace.op", "trace_id": "$.contexts.trace.trace_id", "environment": "$.environment", "release": "$.release", "server_name": "$.server_name", "http_method": "$.request.method", "http_status": "$.contexts.response.status_code", "http_url": "$.request.url", "root_span_id": "$.contexts.trace.span_id"}),
         F.coalesce(F.round((F.unix_micros(end) - F.unix_micros(start)) / 1000.0).cast("int"), F.lit(0)).alias("duration"),
         F.coalesce(db.cast("int"), F.when(bare, timing(spans, "db.sql.active_record").cast("int"))).alias("db_time"),
         F.coalesce(view.cast("int"), F.when(bare, timing(spans, "view.process_action.action_controller").cast("int"))).alias("view_time"),
-        F.coalesce(F.get_json_object(p, "$.tags"), F.lit("{}")).alias("tags"), F.map_filter(measured, lambda k, _: ~k.isin("db", "view")).alias("measurements"),
+        F.coalesce(F.get_json_object("payload", "$.tags"), F.lit("{}")).alias("tags"), F.map_filter(measured, lambda k, _: ~k.isin("db", "view")).alias("measurements"),
         (F.coalesce(F.size(spans), F.lit(0)) > SPAN_CAP).alias("spans_truncated"), (F.unix_micros(start) / 1e6).alias("start_timestamp"), (F.unix_micros(end) / 1e6).alias("end_timestamp"),
-        F.coalesce(spans, F.array().cast(SPANS[len("struct<spans:"):-1])).alias("spans"), F.from_json(p, BREADCRUMBS)["breadcrumbs"]["values"].alias("breadcrumbs"))
+        F.coalesce(spans, F.array().cast(SPANS)).alias("spans"), F.col("n.breadcrumbs.values").alias("breadcrumbs"))
+
+
+def span_times(transactions: DataFrame) -> DataFrame:
+    """One row per payload span, in the form that the query analysis takes; no time where either end is missing."""
+    rows = transactions.select(*TRANSACTION_KEYS, F.explode("spans").alias("s"))
+    return rows.select(*TRANSACTION_KEYS, "s.op", "s.description", ((F.col("s.timestamp") - F.col("s.start_timestamp")) * 1000).alias("duration_ms"))
+
+
+def with_query_analysis(transactions: DataFrame) -> DataFrame:
+    """Transactions (one row for each key) with ``query_count, has_n_plus_one, n_plus_one_time``.
+
+    The time is that of the flagged shapes' spans, null where none of them has any: unknown is not zero.
+    """
+    found = repeated_queries(breadcrumb_rows(transactions), span_times(transactions), TRANSACTION_KEYS)
+    told = found.select(*TRANSACTION_KEYS, F.col("total_queries").cast("int").alias("query_count"), (F.col("flagged_patterns") > 0).alias("has_n_plus_one"), F.col("wasted_ms").cast("int").alias("n_plus_one_time"))
+    return transactions.join(told, list(TRANSACTION_KEYS), "left").na.fill({"query_count": 0, "has_n_plus_one": False})
 
 
 def breadcrumb_rows(transactions: DataFrame) -> DataFrame:
@@ -145,10 +170,19 @@ def name_services(logs: DataFrame, projects: DataFrame) -> DataFrame:
     return named.withColumn("service", F.coalesce(F.nullif(F.trim("service"), F.lit("")), F.col("slug"))).drop("slug")
 
 
+def display_attributes(payload: Column) -> Column:
+    """A stored log's attributes as one flat map of scalars, whether they came as an object or as a list of pairs."""
+    raw = F.get_json_object(payload, "$.attributes")
+    listed = _attribute_map(F.from_json(raw, "array<struct<key:string,value:string>>"))
+    keyed = F.transform_values(F.from_json(raw, "map<string,string>"), lambda _, v: unwrap(v))
+    none = F.create_map().cast("map<string,string>")
+    return F.when(F.ltrim(raw).startswith("["), listed).when(F.ltrim(raw).startswith("{"), keyed).otherwise(none)
+
+
 def check_in_rows(items: DataFrame) -> DataFrame:
     """Check-in items to rows for the monitors' fold; a schedule counts only where the payload has a configuration."""
-    p = F.col("payload")
-    return items.select(
+    p = F.col("json")
+    return _parsed(items).select(
         "project_id", F.col("received_at").alias("arrived_at"), F.coalesce(F.col("item_index"), F.lit(0)).alias("sequence"),
         *_fields(p, {"slug": "$.monitor_slug", "status": "$.status", "environment": "$.environment", "schedule_type": "$.monitor_config.schedule.type", "schedule_value": "$.monitor_config.schedule.value", "schedule_unit": "$.monitor_config.schedule.unit", "timezone": "$.monitor_config.timezone"}),
         _at(p, "$.duration", "double").alias("duration"), _at(p, "$.monitor_config.checkin_margin", "int").alias("checkin_margin"), _at(p, "$.monitor_config.max_runtime", "int").alias("max_runtime"),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+SPAN_TYPE = "array<struct<op:string,description:string,start_timestamp:double,timestamp:double>>"
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -90,8 +93,8 @@ def projects(spark: SparkSession) -> DataFrame:
 
 
 def monitors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One interval monitor for each user id below 40, its check-ins being the user's events."""
-    rows = table(spark, sf_dir, "events").filter("user_id < 40").withColumn("ts", F.col("ts").cast("timestamp"))
+    """One interval monitor for each user id, its check-ins being the user's events."""
+    rows = table(spark, sf_dir, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return rows.groupBy(F.col("user_id").alias("monitor_id")).agg(F.max("ts").alias("last_checkin_at"), F.max_by("event_type", F.struct("ts", "event_id")).alias("last_event")).select(
         "monitor_id", (F.col("monitor_id") % 5).cast("int").alias("project_id"), F.concat(F.lit("job-"), F.col("monitor_id").cast("string")).alias("slug"),
         F.lit("interval").alias("schedule_type"), (F.col("monitor_id") % 6 + 1).cast("string").alias("schedule_value"),
@@ -105,17 +108,45 @@ def as_of(spark: SparkSession, sf_dir: str) -> datetime:
     return table(spark, sf_dir, "events").agg(F.max(F.col("ts").cast("timestamp")).alias("t")).first()["t"]
 
 
+def _queries() -> Column:
+    """Breadcrumbs of a transaction: up to six queries of one shape, for every third five times the same one, for every fourth
+    one of the infrastructure's, and one that is no query."""
+    each = lambda n, sql: F.transform(F.filter(F.sequence(F.lit(0), n), lambda j: j > 0), lambda j: F.struct(F.lit("sql.active_record").alias("category"), F.struct(sql(j).alias("sql")).alias("data")))
+    no_query = F.array(F.struct(F.lit("http").alias("category"), F.struct(F.lit("SELECT 1").alias("sql")).alias("data")))
+    event = F.col("id")
+    return F.concat(
+        no_query, each((event % 7).cast("int"), lambda j: F.concat(F.lit("SELECT * FROM parts WHERE id = "), (event + j).cast("string"))),
+        each(F.when(event % 3 == 0, 5).otherwise(0), lambda j: F.lit("SELECT name FROM users WHERE name = 'x'")), each(F.when(event % 4 == 0, 1).otherwise(0), lambda j: F.lit("SELECT * FROM solid_queue_jobs")))
+
+
+def _payload_spans() -> Column:
+    """Spans of every second transaction: a quarter of a second for each of its queries, for every sixth half a second for the
+    one that repeats, and the view's eighth."""
+    span = lambda op, text, begin, length: F.struct(F.lit(op).alias("op"), F.lit(text).alias("description"), begin.cast("double").alias("start_timestamp"), (begin + length).cast("double").alias("timestamp"))
+    event = F.col("id")
+    queries = F.transform(F.filter(F.sequence(F.lit(0), (event % 7).cast("int")), lambda j: j > 0), lambda j: span("db.sql.active_record", "SELECT * FROM parts WHERE id = 5", j.cast("double"), 0.25))
+    again = F.when(event % 6 == 0, F.array(span("db.query", "SELECT name FROM users WHERE name = 'q'", F.lit(1.0), 0.5))).otherwise(F.array())
+    view = F.array(span("view.process_action.action_controller", "show", F.lit(0.0), 0.125))
+    return F.when(event % 2 == 0, F.concat(queries, again.cast(SPAN_TYPE), view))
+
+
 def envelopes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One envelope for each event: its transaction, for every fourth an error beside it, and for some what is to be dropped."""
+    """One envelope for each event: its transaction, for every fourth an error beside it, and for some what is to be dropped.
+
+    Every tenth transaction has no measurements, so that its spans tell its times.
+    """
     t = transactions(spark, sf_dir).withColumn("begin", F.unix_micros("timestamp") / 1e6)
     trace = F.struct(F.col("trace_id"), F.concat(F.lit("s"), F.col("id").cast("string")).alias("span_id"), F.lit("http.server").alias("op"))
+    measured = F.when(F.col("id") % 10 != 2, F.struct(F.struct(F.col("db_time").alias("value")).alias("db"), F.struct(F.col("view_time").alias("value")).alias("view")))
     payload = F.to_json(F.struct(
         F.col("transaction_id").alias("event_id"), F.when(F.col("id") % 31 == 0, F.concat(F.lit("SolidCable::"), "transaction_name")).otherwise(F.col("transaction_name")).alias("transaction"),
         F.col("begin").alias("start_timestamp"), (F.col("begin") + F.col("duration") / 1000.0).alias("timestamp"), "environment", "release",
         F.struct(trace.alias("trace"), F.struct(F.col("http_status").alias("status_code")).alias("response")).alias("contexts"),
-        F.struct(F.struct(F.col("db_time").alias("value")).alias("db"), F.struct(F.col("view_time").alias("value")).alias("view")).alias("measurements")))
+        measured.alias("measurements"), F.struct(_queries().alias("values")).alias("breadcrumbs"), _payload_spans().alias("spans")))
     error = F.to_json(F.struct(
         F.concat(F.lit("e"), F.col("transaction_id")).alias("event_id"), F.col("begin").alias("timestamp"), "environment", "release",
+        F.when(F.col("id") % 3 == 0, F.struct(F.struct(F.col("trace_id")).alias("trace"), F.struct(F.lit("ruby").alias("name")).alias("runtime"))).alias("contexts"),
+        F.create_map(F.lit("k"), (F.col("id") % 100).cast("string")).alias("tags"), F.struct(F.transform(F.sequence(F.lit(1), (F.col("id") % 13 + 1).cast("int")), lambda j: F.struct(F.lit("log").alias("category"), F.concat(F.lit("m"), j.cast("string")).alias("message"))).alias("values")).alias("breadcrumbs"),
         F.struct(F.array(F.struct(F.col("transaction_name").alias("type"), F.concat(F.lit("value "), (F.col("id") % 9).cast("string")).alias("value"),
                                   F.struct(F.array(F.struct(F.concat(F.lit("f"), (F.col("id") % 7).cast("string"), F.lit(".rb")).alias("filename"), (F.col("id") % 3).alias("lineno"))).alias("frames")).alias("stacktrace"))).alias("values")).alias("exception")))
     newline = "\n"
@@ -156,13 +187,23 @@ def span_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.select(F.lit(0).alias("project_id"), F.col("l_orderkey").alias("transaction_id"), F.lit("root").alias("root_span_id"), F.lit("http.server").alias("op"), F.lit("order").alias("transaction_name"), F.lit(0.0).alias("start_timestamp"), F.lit(100.0).alias("end_timestamp"), F.transform("lines", span).alias("spans"))
 
 
+#: Statements of breadcrumbs by line number, ``{part}`` and ``{qty}`` being the line's own: what looks like a comment in a
+#: literal and like a literal in a comment, several comments, escapes, lists, identifiers with digits, an unfinished literal.
+STATEMENTS = (
+    "SELECT * FROM parts WHERE name = 'p{part}' AND id = {part}",
+    "SELECT 'a /* secret {part} */ b'  , col1 FROM\tt9 WHERE price > -{qty}.50 /* tag: it's {qty} */",
+    "/* a=1 */ SELECT 'it''s {part}' /*b=2*/ WHERE id IN ({part}, 2,  3) AND \u0001 < 1.5e3 /* c=3 */",
+    "INSERT INTO \"t1\" VALUES (TRUE, 'x\\'y {part}', \"q1\", 10.0.0.{qty}, me{part}@x.org, http://h/{part}?q=1 , 'open",
+    "SELECT * FROM parts WHERE id IN ({part}, 2, 3) /* app:x */",
+    "SELECT * FROM solid_queue_jobs WHERE id = {part}",
+    "  ",
+)
+
+
 def breadcrumbs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Order lines as the queries of their order: literals, lists, comments, blanks and tables of the infrastructure."""
-    line, part = F.col("l_linenumber"), F.col("l_partkey").cast("string")
-    sql = (
-        F.when(line == 7, "  ")
-        .when(line == 6, F.concat(F.lit("SELECT * FROM solid_queue_jobs WHERE id = "), part))
-        .when(line == 5, F.concat(F.lit("SELECT * FROM parts WHERE id IN ("), part, F.lit(", 2, 3) /* app:x */")))
-        .otherwise(F.concat(F.lit("SELECT * FROM parts WHERE name = 'p"), part, F.lit("' AND id = "), (F.col("l_partkey") % 2).cast("string")))
-    )
-    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("transaction_id"), line.alias("pos"), F.lit("sql.active_record").alias("category"), sql.alias("sql"))
+    """Order lines as the queries of their order."""
+    own = {"{part}": (F.col("l_partkey") % 50).cast("string"), "{qty}": F.col("l_quantity").cast("int").cast("string")}
+    sql = F.element_at(F.array(*[F.lit(x) for x in STATEMENTS]), F.col("l_linenumber"))
+    for mark, value in own.items():
+        sql = F.replace(sql, F.lit(mark), value)
+    return table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("transaction_id"), F.col("l_linenumber").alias("pos"), F.lit("sql.active_record").alias("category"), sql.alias("sql"))

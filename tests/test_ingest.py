@@ -159,12 +159,12 @@ def test_streaming_ingest_takes_everything_once(spark, tmp_path):
 
 
 def test_live_hours(spark, tmp_path):
-    t = views.transactions(spark, "/root/testdata/sf0.001").select("project_id", "transaction_name", "environment", "timestamp", "duration")
+    t = views.transactions(spark, "/root/testdata/sf0.001")
     t.repartition(3).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(t.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
     query = ingest.live_hourly(stream).writeStream.outputMode("complete").format("memory").queryName("live_hours").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination(300)
-    got = spark.table("live_hours").select("project_id", "transaction_name", "environment", "hour_bucket", "count", "sum_duration")
+    got = spark.table("live_hours")
     full = views.transactions(spark, "/root/testdata/sf0.001")
     assert sorted(map(str, got.collect())) == sorted(map(str, rollup.hourly_stats(full).select(*got.columns).collect()))
 
@@ -216,3 +216,48 @@ def test_engine_answers(engine, spark):
         engine.tables.changes = change(issue["project_id"], issue["fingerprint"])
         assert engine.get_issue(issue["project_id"], issue["fingerprint"]).collect()[0]["status"] == status
     engine.tables.changes = None
+
+
+def test_query_analysis_on_ingest(spark):
+    """Six queries of two shapes, one of them often enough; the infrastructure's do not count."""
+    crumb = lambda sql, category="sql.active_record": {"category": category, "data": {"sql": sql}}
+    crumbs = [crumb(f"SELECT * FROM a WHERE id = {i}") for i in range(5)] + [crumb("SELECT 1 FROM b"), crumb("SELECT * FROM solid_queue_jobs"), crumb("x", "http")]
+    span = lambda sql, begin, end, op="db.sql.active_record": {"op": op, "description": sql, "start_timestamp": begin, "timestamp": end}
+    spans = [span("SELECT * FROM a WHERE id = 9", 1.0, 1.5), span("SELECT * FROM a WHERE id = 8", 2.0, 2.25), span("SELECT 1 FROM b", 3.0, 3.5), span("SELECT * FROM a WHERE id = 7", None, 1.0)]
+    items = [
+        (1, "t1", {"breadcrumbs": {"values": crumbs}, "spans": spans}), (2, "t1", {"breadcrumbs": {"values": crumbs}}), (1, "t2", {"breadcrumbs": {"values": []}, "spans": spans}),
+        (1, "t3", {}), (1, "t4", {"breadcrumbs": "broken", "measurements": {"db": {"value": 7}}}),
+    ]
+    rows = spark.createDataFrame([(p, T, t, json.dumps(body)) for p, t, body in items], "project_id int, received_at timestamp, event_id string, payload string")
+    got = payloads.with_query_analysis(payloads.transaction_rows(rows)).select("project_id", "transaction_id", "query_count", "has_n_plus_one", "n_plus_one_time", "db_time").collect()
+    assert sorted(map(tuple, got), key=str) == [(1, "t1", 6, True, 750, 1250), (1, "t2", 0, False, None, 1250), (1, "t3", 0, False, None, None), (1, "t4", 0, False, None, 7), (2, "t1", 6, True, None, None)]
+
+
+def test_compaction_keeps_what_is_stored(spark, tmp_path):
+    pipeline, source = ingest.Ingest(spark, str(tmp_path / "t")), views.envelopes(spark, "/root/testdata/sf0.001")
+    first = source.filter("day(received_at) < 10")
+    pipeline.process(first, 0)
+    before = (sorted(map(str, pipeline.hourly().collect())), sorted(map(str, pipeline.histogram().collect())))
+    hour = pipeline.read("transactions").agg(F.max(F.date_trunc("hour", "timestamp"))).first()[0]
+    pipeline.compact(0, [hour])
+    assert before == (sorted(map(str, pipeline.hourly().collect())), sorted(map(str, pipeline.histogram().collect())))
+    pipeline.process(first, 1)  # all of it again, in a later batch, after the keys were compacted
+    assert before[0] == sorted(map(str, pipeline.hourly().collect())) and pipeline.read("logs").count() == 0
+    pipeline.process(source, 2)
+    pipeline.compact(2)
+    whole = ingest.Ingest(spark, str(tmp_path / "w"))
+    whole.process(source, 0)
+    assert sorted(map(str, pipeline.hourly().collect())) == sorted(map(str, whole.hourly().collect()))
+    assert sorted(map(str, whole.recounted(hour)[0].select(*whole.hourly().columns).collect())) == sorted(map(str, whole.hourly().collect()))
+    days = {r["day"] for r in whole.read("transactions").select("day").distinct().collect()}
+    assert len(days) > 5 and "PartitionFilters: [isnotnull(day" in whole.read("transactions").filter(F.col("day") == F.lit(min(days)))._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("simple"))
+
+
+def test_rejected_otlp_records_are_counted(spark, tmp_path):
+    record = lambda n: {"body": {"stringValue": "x" * n}}
+    payload = json.dumps({"resourceLogs": [{"resource": {}, "scopeLogs": [{"scope": {}, "logRecords": [record(5), record(500), record(6), record(700)]}]}]})
+    envelopes = spark.createDataFrame([(3, T, body(('{"type":"otel_log"}', payload))), (3, T, body(('{"type":"otel_log"}', "no json")))], "project_id int, received_at timestamp, body string")
+    pipeline = ingest.Ingest(spark, str(tmp_path / "t"), otlp_limit=200)
+    pipeline.process(envelopes, 0)
+    assert pipeline.read("logs_otlp").count() == 2
+    assert pipeline.read("rejected").select("project_id", "rejected_records").collect() == [(3, 2)]
