@@ -112,6 +112,7 @@ def test_top_k_cases(spark, monkeypatch):
 
     monkeypatch.setattr(vectors, "CELL_ROWS", 16)
     monkeypatch.setattr(vectors, "CELL_QUERIES", 2)
+    monkeypatch.setattr(vectors, "LANE_ROWS", 8)
     rng = np.random.default_rng(1)
     rows = [(i, rng.normal(size=4).astype(np.float32).tolist()) for i in range(150)]
     rows += [(i, [0.5, 0.25, -0.5, 0.125]) for i in range(200, 300)]
@@ -123,6 +124,28 @@ def test_top_k_cases(spark, monkeypatch):
     assert top_k(table.filter("false"), F.col("vec_id") % 20 == 0).count() == 0
 
 
+def test_bounds_hold_and_spare_reads(spark, monkeypatch):
+    from sparkscope.llm import vectors
+
+    rng = np.random.default_rng(6)
+    low, exact = np.array([-64, -50, 0, 7], np.int64), rng.integers(-50, 60, (500, 4)) + np.array([0, 0, 60, 60])
+    low, high = exact.min(axis=0), exact.max(axis=0)
+    step = (high - low) // vectors.LEVELS + 1
+    file = vectors.ApproximationFile(np.arange(500), (exact - low) // step, exact, low, step)
+    queries = rng.integers(-64, 64, (50, 4))
+    products, lows, highs = file.scores(queries)
+    scores = queries @ exact.T
+    assert (products + lows[:, None] <= scores).all() and (scores <= products + highs[:, None]).all()
+    centres = rng.normal(size=(40, 16))
+    rows = [(i, (centres[i % 40] + rng.normal(size=16) / 8).astype(np.float32).tolist()) for i in range(4000)]
+    monkeypatch.setattr(vectors, "CELL_ROWS", 500)
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    read = vectors.searched(table, F.col("vec_id") % 20 == 0, 20, "vec_id", "embedding", 64).agg(F.sum("n_read")).first()[0]
+    assert read < 0.2 * 4000 * 200
+    got = top_k(table, F.col("vec_id") % 20 == 0).select("query_id", "rank", "vec_id", "score").collect()
+    assert {tuple(r) for r in got} == _best(rows)
+
+
 def test_languages_of_held_out_documents(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     train, held = docs.filter("doc_id % 2 = 0"), docs.filter("doc_id % 2 = 1")
