@@ -9,11 +9,12 @@ response, the others are revisits that refer to it and hold only its HTTP head.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 import re
 import uuid
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -29,7 +30,10 @@ ARC_FIELDS = {
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
 ARC_BYTES = 4 << 20
-WARC_RECORDS = 4096
+#: Uncompressed bytes of a WARC file; a longer record has a file of its own.
+WARC_BYTES = 32 << 20
+#: Bytes that a reader inflates or gives out at once, and compressed ones that it takes for it.
+_CHUNK, _FED = 1 << 20, 1 << 16
 _KEY = re.compile(rb"(?im)^X-Record-Key: (-?\d+)\r?$")
 _LENGTH = re.compile(rb"(?im)^Content-Length: (\d+)\r?$")
 _UNSAFE = re.compile(r"[\x00-\x20\x7F]")
@@ -141,8 +145,30 @@ def _parse_archives(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatc
             yield pa.RecordBatch.from_pydict(rows)
 
 
-def arc_to_warc(archives: DataFrame, path: str, min_bytes: int = 0) -> None:
-    """Convert ARC files (``archive, content``) to gzipped WARC files under ``path``.
+def _warc_files(file_bytes: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """Records to whole files of at most ``file_bytes`` uncompressed, or one longer record, a gzip member for each record."""
+
+    def archive(members: list[bytes]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([b"".join(members)], pa.binary()).view(pa.string())], names=["value"])
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for record in batch.column("value").cast(pa.binary()).to_pylist():
+                if held and size + len(record) > file_bytes:
+                    yield archive(held)
+                    held, size = [], 0
+                press = zlib.compressobj(1, zlib.DEFLATED, 31)
+                held.append(press.compress(record) + press.flush())
+                size += len(record)
+        if held:
+            yield archive(held)
+
+    return write
+
+
+def arc_to_warc(archives: DataFrame, path: str, min_bytes: int = 0, file_bytes: int = WARC_BYTES) -> None:
+    """Convert ARC files (``archive, content``) to WARC files under ``path``, bounded by bytes, each record a gzip member.
 
     Of records with equal payloads of at least ``min_bytes`` bytes that with the largest key is a response (null keys come
     last); the others become revisits. Only one row for each digest is aggregated; the records themselves move once.
@@ -174,35 +200,70 @@ def arc_to_warc(archives: DataFrame, path: str, min_bytes: int = 0) -> None:
         F.lit("\r\n"),
         block,
     )
-    # A record ends with two line ends, which the text writer puts after each row.
-    joined.select(record.alias("value")).write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("zlib.compress.level", "BEST_SPEED").option("maxRecordsPerFile", WARC_RECORDS).text(path)
+    # A record ends with two line ends. The text writer puts a separator after each file's only row: a member without content,
+    # so that a reader sees nothing of it.
+    files = joined.select(F.concat(record, F.lit("\r\n\r\n")).alias("value")).mapInArrow(_warc_files(file_bytes), "value string")
+    nothing = gzip.compress(b"", mtime=0).decode("latin-1")
+    files.write.option("encoding", "ISO-8859-1").option("lineSep", nothing).option("maxRecordsPerFile", 1).text(path)
 
 
-def _inflated(content: bytes) -> bytes:
+def _inflated(content: bytes) -> Iterator[bytes]:
+    """A plain or gzipped file piece by piece, whatever its members are."""
     if content[:2] != b"\x1f\x8b":
-        return content
-    out = []
-    while content:
-        member = zlib.decompressobj(31)
-        out.append(member.decompress(content))
-        content = member.unused_data
-    return b"".join(out)
+        yield content
+        return
+    view, at, fed, member, begun = memoryview(content), 0, b"", zlib.decompressobj(31), False
+    while True:
+        if not len(fed):
+            fed, at = view[at : at + _FED], at + _FED
+            if not len(fed) and not begun:
+                return
+            ended = not len(fed)
+        piece, begun = member.decompress(fed, _CHUNK), True
+        if piece:
+            yield piece
+        if member.eof:
+            fed, member, begun = member.unused_data, zlib.decompressobj(31), False
+        elif ended and not piece:
+            raise ValueError("a gzip member ends early")
+        else:
+            fed = member.unconsumed_tail
 
 
 def warc_records(content: bytes) -> Iterator[tuple[int, dict[str, str], bytes]]:
-    """``(offset, headers, block)`` of each record of a WARC file, cut by the declared lengths."""
-    at = 0
-    while at < len(content):
-        end = content.index(b"\r\n\r\n", at)
-        first, *lines = content[at:end].decode("utf-8").split("\r\n")
+    """``(offset, headers, block)`` of each record of a WARC file, plain or gzipped, cut by the declared lengths. Of the
+    inflated file only the record at hand is held."""
+    chunks, held, at = _inflated(content), bytearray(), 0
+
+    def more(n: int, mark: bytes = b"") -> int:
+        """Read on until ``n`` bytes are held, or until the mark is; where it stands."""
+        start = 0
+        while (end := held.find(mark, start)) < 0 if mark else len(held) < n:
+            start = max(0, len(held) - len(mark))
+            piece = next(chunks, None)
+            if piece is None:
+                raise ValueError(f"record at {at} does not end where it declares")
+            held.extend(piece)
+        return end if mark else n
+
+    while True:
+        while not held:
+            piece = next(chunks, None)
+            if piece is None:
+                return
+            held.extend(piece)
+        end = more(0, b"\r\n\r\n")
+        first, *lines = bytes(held[:end]).decode("utf-8").split("\r\n")
         if not first.startswith("WARC/"):
             raise ValueError(f"no record at {at}")
         headers = {k.lower(): v for k, _, v in (x.partition(": ") for x in lines)}
         stop = end + 4 + int(headers["content-length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
+        more(stop + 4)
+        if held[stop : stop + 4] != b"\r\n\r\n":
             raise ValueError(f"record at {at} does not end where it declares")
-        yield at, headers, content[end + 4 : stop]
-        at = stop + 4
+        yield at, headers, bytes(held[end + 4 : stop])
+        at += stop + 4
+        del held[: stop + 4]
 
 
 _WARC = "file string, offset long, record_id string, record_type string, warc_date string, target_uri string, payload_digest string, refers_to string, key long, refers_to_key long, declared_bytes long, payload binary"
@@ -211,19 +272,27 @@ _WARC = "file string, offset long, record_id string, record_type string, warc_da
 def read_warc(spark: SparkSession, path: str) -> DataFrame:
     """Records of the WARC files under ``path``; ``payload`` is null for revisits, ``declared_bytes`` holds either's length."""
 
+    kinds = [x.split() for x in _WARC.split(", ")]
+    arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
+
+    def as_batch(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(v, arrow[k]) for v, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kinds = [x.split() for x in _WARC.split(", ")]
-        arrow = {"string": pa.string(), "long": pa.int64(), "binary": pa.binary()}
         for batch in batches:
             for path, content in zip(batch.column("path").to_pylist(), batch.column("content").to_pylist(), strict=True):
-                rows: list[tuple] = []
-                for at, h, block in warc_records(_inflated(content)):
+                rows, size = [], 0
+                for at, h, block in warc_records(content):
                     head, payload = _split_http(block)
                     key, length, refers = _KEY.search(head), _LENGTH.search(head), h.get("warc-refers-to")
                     rows.append((PurePosixPath(path).name, at, h["warc-record-id"], h["warc-type"], h["warc-date"], h["warc-target-uri"], h["warc-payload-digest"].removeprefix("sha1:"), refers,
                                  uuid_key(h["warc-record-id"]) if key else None, uuid_key(refers) if refers else None, int(length[1]) if length else None, payload if h["warc-type"] == "response" else None))
+                    size += len(block)
+                    if size > _CHUNK:
+                        yield as_batch(rows)
+                        rows, size = [], 0
                 if rows:
-                    yield pa.RecordBatch.from_arrays([pa.array(v, arrow[k]) for v, (_, k) in zip(zip(*rows, strict=True), kinds, strict=True)], names=[n for n, _ in kinds])
+                    yield as_batch(rows)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, _WARC)
 
@@ -238,7 +307,9 @@ def convert_pages(pages: DataFrame, min_bytes: int = 0) -> DataFrame:
 
     Null html is an empty payload, a null url ``about:blank``. A row with a null id keeps a null ``page_id`` and never
     wins over one that has an id. Of rows repeated with one id and payload, all but those with the winning record's
-    identifier are revisits; identical rows share an identifier and so their type. An empty table gives an empty result.
+    identifier are revisits; identical rows share an identifier and so their type. Of ties, records with one key, payload and
+    different urls, that with the largest identifier is the response. A very long page has an archive of its own. An empty
+    table gives an empty result. Other columns are ignored, whatever their names.
     """
     spark = pages.sparkSession
     path = archive_folder(spark)

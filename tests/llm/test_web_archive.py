@@ -61,3 +61,35 @@ def test_both_arc_versions():
 def test_keys_in_identifiers():
     for key in (0, 1, -1, 2**63 - 1, -(2**63), 2**62 + 12345):
         assert web_archive.uuid_key(f"<urn:uuid:{web_archive.record_uuid(key, 'http://a/')}>") == key
+
+
+def test_files_are_bounded_by_bytes_with_a_member_for_each_record(spark):
+    import gzip
+    import zlib
+    from pathlib import Path
+
+    rng = __import__("random").Random(3)
+    pages = spark.createDataFrame([(i, f"http://h/{i}", "".join(rng.choices("abcdefgh<> ", k=20_000))) for i in range(60)] + [(100, "http://h/long", "x" * 9_000_000)], "page_id long, url string, html string").coalesce(1)
+    path = web_archive.archive_folder(spark)
+    web_archive.arc_to_warc(web_archive.pages_to_arc(pages), path, file_bytes=100_000)
+    files = [f.read_bytes() for f in Path(path.removeprefix("file:")).glob("part-*")]
+    assert len(files) >= 12
+    for content in files:
+        assert len(gzip.decompress(content)) <= 100_000 or content.count(b"\x1f\x8b\x08") == 2
+        records = list(web_archive.warc_records(content))
+        assert records == list(web_archive.warc_records(gzip.decompress(content)))
+        member = zlib.decompressobj(31)
+        assert len(list(web_archive.warc_records(member.decompress(content)))) == 1 and member.eof
+    assert web_archive.read_warc(spark, path).count() == 61
+
+
+def test_broken_files_are_errors():
+    import gzip
+
+    import pytest
+
+    whole = gzip.compress(b"WARC/1.1\r\nContent-Length: 3\r\n\r\nabc\r\n\r\n")
+    assert [b for _, _, b in web_archive.warc_records(whole + gzip.compress(b"") + whole)] == [b"abc", b"abc"]
+    for bad in (whole[:-12], whole + whole[:9], gzip.compress(b"WARC/1.1\r\nContent-Length: 9\r\n\r\nabc\r\n\r\n"), gzip.compress(b"HTTP/1.1\r\n\r\n")):
+        with pytest.raises(ValueError):
+            list(web_archive.warc_records(bad))
