@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from .exact_dedup import exact_groups
 from .languages import fit, identify_documents, identify_pages
-from .licences import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, scan_licences
+from .licences import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, pieces, scan_licences
 from .mixing import mix
 from .packing import pack_documents
 from .secrets import BASE_KINDS, OPAQUE, WIDE_OWNERS, WIDE_REPOSITORIES, scan_secrets
@@ -116,16 +116,18 @@ def _licence_sql() -> str:
     """Phrases at every word, and every block against every template: what the join finds without its filters."""
     at = lambda phrase: " AND ".join(f"w[i + {k}] = {_quoted(x)}" for k, x in enumerate(phrase.split()))
     places = " UNION ALL ".join(f"SELECT doc_id, unnest(list_filter(range(1, len(w) + 1), lambda i: {at(k)})) - 1 AS at_word, {_quoted(v)} AS label FROM d" for k, v in PHRASES.items())
-    sets = ", ".join(f"({_quoted(k)}, [{', '.join(_quoted(x) for x in sorted(set(v.split())))}])" for k, v in TEMPLATES.items())
+    listed = lambda values: f"[{', '.join(_quoted(x) for x in sorted(values))}]::VARCHAR[]"
+    sets = ", ".join(f"({i}, {_quoted(p.label)}, {listed(p.tokens)}, {listed(p.needed)}, {sorted(p.within)}::INTEGER[])" for i, p in enumerate(pieces(TEMPLATES, THRESHOLD)))
     half = BLOCK_WORDS // 2
     return rf"""
 WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
 places AS ({places}),
 base AS (SELECT doc_id, count(*) AS n_base, min(at_word) AS first_word, max(at_word) AS last_word, list(DISTINCT label) AS labels FROM places GROUP BY doc_id),
-templates(label, tokens) AS (VALUES {sets}),
-blocks AS (SELECT doc_id, list_slice(w, b * {half} + 1, b * {half} + {BLOCK_WORDS}) AS held FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {half - 1}) // {half})) AS b FROM d)),
-shared AS (SELECT doc_id, label, len(list_filter(tokens, lambda x: list_contains(held, x))) / len(tokens) AS share FROM blocks, templates),
-found AS (SELECT doc_id, max(share) AS best, list(DISTINCT label) AS labels FROM shared WHERE share >= {THRESHOLD} - 1e-9 GROUP BY doc_id)
+templates(piece, label, tokens, needed, within) AS (VALUES {sets}),
+blocks AS (SELECT doc_id, b, list_slice(w, b * {half} + 1, b * {half} + {BLOCK_WORDS}) AS held FROM (SELECT doc_id, w, unnest(range(0, (len(w) + {half - 1}) // {half})) AS b FROM d)),
+shared AS (SELECT doc_id, b, piece, label, within, len(list_filter(tokens, lambda x: list_contains(held, x))) / len(tokens) AS share, list_has_all(held, needed) AS told FROM blocks, templates),
+matched AS (SELECT * FROM shared WHERE share >= {THRESHOLD} - 1e-9 AND told),
+found AS (SELECT doc_id, max(share) AS best, list(DISTINCT label) AS labels FROM matched m WHERE NOT EXISTS (SELECT 1 FROM matched o WHERE o.doc_id = m.doc_id AND o.b = m.b AND list_contains(m.within, o.piece)) GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_base, 0) AS n_base, first_word, last_word, array_to_string(list_sort(coalesce(base.labels, [])), ',') AS base_labels,
   array_to_string(list_sort(list_distinct(list_concat(coalesce(base.labels, []), coalesce(found.labels, [])))), ',') AS labels, coalesce(best, 0.0) AS score
 FROM d LEFT JOIN base USING (doc_id) LEFT JOIN found USING (doc_id)

@@ -164,22 +164,35 @@ def test_licences(table):
     got = licences.scan_licences(table).collect()
     expected = Counter()
     phrases = {tuple(k.split()): v for k, v in licences.PHRASES.items()}
-    sets = {k: set(v.split()) for k, v in licences.TEMPLATES.items()}
+    known = licences.pieces(licences.TEMPLATES, 0.8)
     for key, text in _pairs(table):
         words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", _low(text or ""))
         places = [(i, v) for i in range(len(words)) for k, v in phrases.items() if tuple(words[i : i + len(k)]) == k]
         best, labels = 0.0, {v for _, v in places}
         for b in range(0, len(words), 32):
             block = set(words[b : b + 64])
-            for label, s in sets.items():
-                share = len(s & block) / len(s)
-                if share >= 0.8:
-                    best, labels = max(best, share), labels | {label}
+            held = {i: len(p.tokens & block) / len(p.tokens) for i, p in enumerate(known) if p.needed <= block}
+            held = {i: share for i, share in held.items() if share >= 0.8}
+            for i, share in held.items():
+                if not any(known[i].tokens < known[j].tokens for j in held):
+                    best, labels = max(best, share), labels | {known[i].label}
         expected[key, len(words), len(places), places[0][0] if places else None, places[-1][0] if places else None, ",".join(sorted({v for _, v in places})), ",".join(sorted(labels)), round(best, 9)] += 1
     assert Counter((r["doc_id"], r["n_words"], r["n_base"], r["first_word"], r["last_word"], r["base_labels"], r["labels"], round(r["score"], 9)) for r in got) == expected
     assert any(r["score"] > 0 for r in got)
 
 
+@pytest.mark.parametrize(("text", "labels"), [
+    ("Licensed under CC BY 4.0.", "cc-by,cc-by-4.0"), ("Licensed under CC BY-SA 4.0.", "cc-by,cc-by-sa-4.0"), ("Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"), ("licensed under CC BY-NC-ND 4.0", "cc-by,cc-by-nc-nd-4.0"),
+    ("is licensed by us under terms 4 to 10 of the contract", ""), ("licensed under the apache license", "apache"), ("No license is granted. All rights reserved.", ""),
+    ("THE SOFTWARE IS SOLD TO ANY PERSON FOR A CHARGE, WITHOUT COPIES", ""), ("MIT License. " + licences.TEMPLATES["mit-text"], "mit,mit-text"), ("x " * 400 + licences.TEMPLATES["isc-text"] + " y" * 50, "isc-text"),
+    (licences.TEMPLATES["bsd-text"], "bsd-text"), (licences.TEMPLATES["bsd-conditions"], "bsd-conditions"), (licences.TEMPLATES["apache-notice"], "apache,apache-2.0,apache-notice"), (licences.TEMPLATES["gpl-notice"], "gpl,gpl-notice"),
+    ("this program is distributed in the hope that it will be useful but without any warranty", ""), ("word " * 50_000 + "Licensed under CC BY-NC 4.0", "cc-by,cc-by-nc-4.0"),
+])
+def test_licence_variants_are_told_apart(spark, text, labels):
+    got = licences.scan_licences(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert set(got["labels"].split(",")) - {"mit-grant", "bsd-conditions", "apache-2.0"} == set(labels.split(",")) - {"mit-grant", "bsd-conditions", "apache-2.0"}
+
+
 def _base_spans(text):
     found = []
     for m in re.finditer(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", text):
