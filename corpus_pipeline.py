@@ -34,13 +34,22 @@ def _only(docs: DataFrame, kept: DataFrame, *on: str) -> DataFrame:
 
 
 def identify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents whose language can't be told: no letters, or no language with half of the posterior."""
+    """Drop documents whose language can't be told: no letters, or no language with half of the posterior.
+
+    Null and empty texts go, as they hold no letters. Null ids, languages and sources are allowed. Very long texts are judged
+    whole. Rows with one id are judged each for itself, and all of them stay where one does; of tied languages the first by
+    code point counts. An empty table gives an empty result. All columns of ``docs`` are returned, further ones too.
+    """
     judged = identify_documents(docs, fit(docs))
     return _only(docs, judged.filter("accepted"), "doc_id")
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of each group of equal texts: that with the smallest id, and of rows repeated with it one."""
+    """Keep one row of each group of equal texts: that with the smallest id, and of rows repeated with it one.
+
+    A null text equals an empty one. Null ids come after all others. Of ties, rows with one id and text, any one stays. Very
+    long texts are compared whole. An empty table gives an empty result. All columns of ``docs`` are returned.
+    """
     kept = exact_groups(docs).filter("kept").select("doc_id", F.col("text_sha256").alias("sha"))
     marked = docs.withColumn("sha", F.sha2(normalised(), 256))
     rest = _only(marked, kept, "doc_id", "sha")
@@ -49,13 +58,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep of each group of linked fingerprints the document with the smallest id."""
+    """Keep of each group of similar texts the document with the smallest id.
+
+    Null and empty texts are one group. Rows repeated with the id that stays all stay, exact copies being the stage before's
+    matter; so do rows with a null id in a group without any id. Very long texts are compared whole. An empty table gives an
+    empty result. All columns of ``docs`` are returned.
+    """
     groups = similar_groups(docs, SHINGLE_WORDS, SIMILARITY)
     return _only(docs, groups.filter(F.col("doc_id").eqNullSafe(F.col("component_id"))), "doc_id")
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Repeat each document for its whole epochs; the one at a source's cut ends with the last word of the budget."""
+    """Repeat each document for its whole epochs; the one at a source's cut ends with the last word of the budget.
+
+    Null and empty texts have no words and are not in the mix. A null source is one of its own, null ids are allowed. Rows
+    repeated with one id, source and size share what was taken of one of them. A very long text is cut like any other. An
+    empty table gives an empty result. All columns of ``docs`` are returned, ``n_chars`` being that of the cut text.
+    """
     taken = mix(docs).filter("taken > 0").select(F.col("doc_id").alias("_id"), F.col("size").alias("_size"), F.col("source").alias("_source"), F.col("taken").alias("_taken")).dropDuplicates(["_id", "_source", "_size"])
     words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
     sized = docs.withColumn("_words", F.regexp_count("text", F.lit(r"[^\x20\x09-\x0D]+")).cast("long"))
@@ -69,7 +88,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the mix into sequences of 4096 tokens: one row per piece."""
+    """Pack the mix into sequences of 4096 tokens: one row per piece.
+
+    Null and empty texts are one token, the end mark. Null ids and repeated rows are packed each for itself; a very long text
+    gives many pieces. Pieces of one length are interchangeable, so ties only number sequences differently. An empty table
+    gives an empty result.
+    """
     return pack_documents(docs, tokenizer_path())
 
 

@@ -68,7 +68,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
     Texts are equal when they are identical after normalisation; the row with the smallest id stays. A null text counts as
     empty. Null ids sort last, so such a row stays only if its whole group has none. Of rows repeated with the same id and
-    text exactly one stays. An empty table gives an empty result. Other columns of ``docs`` are ignored.
+    text exactly one stays. Very long texts are sorted by Spark like any others, by their head and digest, and compared whole:
+    a task holds two of them. Ties in head and digest go by the id. An empty table gives an empty result. Other columns of
+    ``docs`` are ignored, whatever their names.
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     norm = normalised(text_col)

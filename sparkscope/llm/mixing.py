@@ -51,7 +51,9 @@ def mix(docs: DataFrame, id_col: str = "doc_id", source_col: str = "source", tex
     ``taken`` is the number of words that the mix takes of the document: its size for each whole epoch, and in the last,
     partial one its size, nothing, or at the cut the rest of the budget. Taken words add up to the target, rounded. Null
     texts have size 0; null sources form one source, the last; rows repeated with one id and size share its place in
-    either order. The keys are a digest of seed, epoch and id, so reruns agree. An empty table gives an empty result.
+    either order. Very long texts count all of their words; where one stands at the cut, it gives the rest of the budget. The
+    keys are a digest of seed, epoch and id, so reruns agree; ties go by id, then size. An empty table gives an empty result.
+    Other columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     sized = cut_lineage(docs.select(F.col(id_col).cast("long").alias("id"), F.col(source_col).alias("source"), word_count(text_col).alias("size")))

@@ -228,7 +228,8 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACIT
     """Tokenise, cut and pack ``docs``: one row per piece, ids as their digest.
 
     Every row of ``docs`` is a document of its own, repeated or not; ties between pieces of one length go by id and piece.
-    An empty table gives an empty result.
+    Null and empty texts are the end mark alone. A null id is allowed. A very long text is tokenised by one task and cut into
+    as many pieces as it takes. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     pieces = token_pieces(docs, tokenizer_path, capacity, id_col, text_col)
     return pack(cut_lineage(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids")), capacity, id_col)

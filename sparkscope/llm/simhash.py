@@ -212,8 +212,9 @@ def near_groups(docs: DataFrame, shingle_words: int = 3, max_bits: int = 2, id_c
     """One row per row of ``docs``: ``id_col, fingerprint`` (hex), ``component_id``, the smallest id reachable over links.
 
     Fingerprints link at ``max_bits`` or fewer differing bits. Null and empty texts have fingerprint zero and link like any
-    other. Rows with a null id take part; where a whole component has none, its ``component_id`` is null. Repeated rows get
-    the same component. An empty table gives an empty result.
+    other. Rows with a null id take part; where a whole component has none, its ``component_id`` is null. Repeated rows and
+    ties, texts with one fingerprint, get the same component. Very long texts are read whole, each alone in its step. An
+    empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     printed = cut_lineage(fingerprints(docs, shingle_words, id_col, text_col))
     fps = cut_lineage(printed.groupBy("fp").agg(F.min(id_col).alias("least_id")))
@@ -499,8 +500,9 @@ def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float =
 
     Texts link when the Jaccard similarity of their shingles is at least ``similarity``; of the pairs with this similarity
     at least the share ``found`` is proposed by their fingerprints. Null and empty texts are one group. Ids lie below 2^62.
-    Rows with a null id take part; a component of them alone has a null ``component_id``. Repeated rows get the same
-    component. An empty table gives an empty result.
+    Rows with a null id take part; a component of them alone has a null ``component_id``. Repeated rows, and rows with one id
+    and text, get the same component; ties go to the smaller id. Very long texts are read whole, their shingles' hashes held
+    by one task. An empty table gives an empty result. Other columns are ignored, whatever their names.
     """
     rows = docs.count()
     plan = table_plan(rows, similarity, found)

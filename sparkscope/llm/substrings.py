@@ -430,8 +430,10 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
 
     A word goes when a window of ``min_words`` words of its document covers it whose words also start in a document with a
     smaller id. ``kept`` joins the other words by single spaces, ``spans`` lists the runs of removed words. A null or empty
-    text has no words. Rows with the same id are no smaller than each other, so rows repeated with one id stay whole; null
-    ids come after all others. An empty table gives an empty result.
+    text has no words. Rows with the same id are no smaller than each other, so rows repeated with one id stay whole (ties
+    remove nothing); null ids come after all others. A very long text is read whole: it lies in one block, whose words that
+    block's task holds, and its suffixes travel like any others. An empty table gives an empty result. Other columns are
+    ignored, whatever their names.
     """
     spark = docs.sparkSession
     parts = shuffle_partitions(spark)

@@ -187,3 +187,38 @@ def test_the_whole_pipeline(spark):
         ends[r["sequence_id"]] += r["length"]
     assert max(ends.values()) <= 4096
     assert [name for name, _ in corpus_pipeline.STAGES] == ["language_id", "exact_dedup", "near_dedup", "mix_sources", "pack"]
+
+
+def test_found_by_similarity_on_the_given_documents(spark):
+    """Every pair by brute force, in bands of similarity: all of 0.8 and more are in one group, and nothing else links."""
+    rows = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    sets = {}
+    for r in rows:
+        sets.setdefault(frozenset(_shingles(r["text"] or "")), r["doc_id"])
+    held, keys, holders = list(sets), list(sets.values()), defaultdict(list)
+    for i, s in enumerate(held):
+        for x in s:
+            holders[x].append(i)
+    common = Counter((i, j) for own in holders.values() for k, j in enumerate(own) for i in own[:k])
+    near = {(i, j): n / (len(held[i]) + len(held[j]) - n) for (i, j), n in common.items()}
+    near = {pair: share for pair, share in near.items() if share >= 0.45}
+    docs = spark.createDataFrame([(keys[i], r) for i, r in enumerate({k: r["text"] or "" for k in keys for r in rows if r["doc_id"] == k}.values())], "doc_id long, text string")
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_groups(docs).collect()}
+    bands, top = defaultdict(Counter), {i: i for i in range(len(held))}
+    for (i, j), share in sorted(near.items()):
+        bands[min(int(share * 20) / 20, 0.95)][got[keys[i]] == got[keys[j]]] += 1
+    for _ in held:
+        before = dict(top)
+        for (i, j), share in near.items():
+            if share >= 0.8:
+                top[i] = top[j] = min(top[i], top[j])
+        if before == top:
+            break
+    for band, n in sorted(bands.items()):
+        print(f"similarity {band:.2f} and up: {n[True]} of {sum(n.values())} pairs in one group")
+    together = defaultdict(set)
+    for i, root in top.items():
+        together[root].add(keys[i])
+    assert sum(share >= 0.8 for share in near.values()) > 10
+    assert all(len({got[k] for k in group}) == 1 for group in together.values())
+    assert len(set(got.values())) == len(together)
