@@ -11,6 +11,7 @@ Texts are dealt into blocks by a hash of their id. A suffix starts at each word;
  3. A group cuts the suffixes out again and sorts them, neighbours share their path in the tree, and the nodes at least
     ``min_words`` deep are the repeats. Each gives its smallest document back to the blocks below it.
  4. The blocks remove the words under repeats that a smaller document holds.
+Digests only propose what may be equal: wherever suffixes are taken for one, in a group or in a block, their words are compared.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from .common import cut_lineage, shuffle_partitions, text_bytes, text_slices
 
 MIN_WORDS = 13
 ANCHOR_WORDS = 5
+#: Bytes of text in a block, and so of suffixes in a group, that a task should hold at most.
+BLOCK_BYTES = 256 << 20
 #: A prefix is frequent when more than one in so many suffixes for each group starts with it; and at most one in 65,536.
 GROUP_SHARE = 16
 MOST_PREFIXES = 1 << 16
@@ -58,7 +61,7 @@ class Words:
 
     def __init__(self, texts: list[bytes], min_words: int) -> None:
         self.data = b"\n".join(texts) + b"\n" if texts else b""
-        buf = np.frombuffer(self.data, np.uint8)
+        self.buf = buf = np.frombuffer(self.data, np.uint8)
         # Places of words, bytes and texts: half the memory where four bytes hold them.
         place = np.int32 if len(buf) < 2**31 else np.int64
         self.ends = np.flatnonzero((buf == 32) | (buf == 10)).astype(place)
@@ -95,6 +98,35 @@ class Words:
             out[i : i + _PLACES] = _mixed(h)
         return out
 
+    def differ(self, a: np.ndarray, b: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Whether the ``sizes`` words from places ``a`` and ``b`` differ, byte by byte."""
+        length = self.ends[a + sizes - 1].astype(np.int64) - self.starts[a]
+        out = length != self.ends[b + sizes - 1].astype(np.int64) - self.starts[b]
+        for i in range(0, len(a), _PLACES >> 4):
+            own = i + np.flatnonzero(~out[i : i + (_PLACES >> 4)])
+            if len(own):
+                n = length[own]
+                first = np.cumsum(n) - n
+                along = np.arange(int(n.sum())) - np.repeat(first, n)
+                apart = self.buf[np.repeat(self.starts[a[own]].astype(np.int64), n) + along] != self.buf[np.repeat(self.starts[b[own]].astype(np.int64), n) + along]
+                out[own] = np.logical_or.reduceat(apart, first)
+        return out
+
+    def equals(self, digests: np.ndarray, at: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The first of each set of equal runs of words, and the number of each run's set: digests propose, words decide."""
+        _, one, number = np.unique(digests, return_index=True, return_inverse=True)
+        other = np.flatnonzero(one[number] != np.arange(len(at)))
+        odd = other[self.differ(at[other], at[one[number[other]]], sizes[other]) | (sizes[other] != sizes[one[number[other]]])]
+        if len(odd):
+            # Digests that coincide by chance: such runs are told apart by their words themselves.
+            known: dict[bytes, int] = {}
+            for i, text in zip(odd.tolist(), self.texts_at(at[odd], sizes[odd]), strict=True):
+                if text not in known:
+                    known[text] = len(one)
+                    one = np.append(one, i)
+                number[i] = known[text]
+        return one, number
+
     def texts_at(self, at: np.ndarray, sizes: np.ndarray | int) -> list[bytes]:
         """The bytes of the ``sizes`` words from each place."""
         return [self.data[a:b] for a, b in zip(self.starts[at].tolist(), self.ends[at + sizes - 1].tolist(), strict=True)]
@@ -113,8 +145,11 @@ class Block(Words):
             ids.append(np.where(head[n : 2 * n] > 0, head[:n], _LAST_ID))
             body = raw[8 + 24 * n :]
             texts += [body[e - k : e] for e, k in zip(ends.tolist(), head[2 * n :].tolist(), strict=True)]
-        self.ids = np.concatenate(ids) if ids else np.zeros(0, np.int64)
-        self.texts = texts
+        whole = np.concatenate(ids) if ids else np.zeros(0, np.int64)
+        # In an order of their own, so that a place means the same whenever and from whichever rows' order the block is built.
+        order = sorted(range(len(texts)), key=lambda i: (whole[i], texts[i]))
+        self.ids, self.texts = whole[order], [texts[i] for i in order]
+        texts = self.texts
         self.full = np.array([i for i, t in enumerate(texts) if t], np.int64)
         super().__init__([texts[i] for i in self.full], min_words)
 
@@ -155,17 +190,18 @@ class Block(Words):
         return out
 
     def smallest(self, told: np.ndarray, by: np.ndarray) -> np.ndarray:
-        """For each window the smallest id that holds it: in this block, or by what is ``told`` (digests, and their ids)."""
+        """For each window the smallest id that holds its words: in this block, or by what is ``told`` (places, and their ids)."""
         digest, out = self.runs(self.min_words, self.at), np.full(len(self.at), _LAST_ID)
         slices = 1 + len(digest) // _PLACES
         share = (digest >> _U(33)) % _U(slices)
+        told = np.searchsorted(self.at, told)
         for k in range(slices):
             own = np.flatnonzero(share == k)
-            distinct, number = np.unique(digest[own], return_inverse=True)
-            least = np.full(len(distinct), _LAST_ID)
+            one, number = self.equals(digest[own], self.at[own], np.full(len(own), self.min_words))
+            least = np.full(len(one), _LAST_ID)
             np.minimum.at(least, number, self.ids[self.full[self.doc[self.at[own]]]])
-            here = (told >> _U(33)) % _U(slices) == k
-            np.minimum.at(least, np.searchsorted(distinct, told[here]), by[here])
+            here = share[told] == k
+            np.minimum.at(least, number[np.searchsorted(own, told[here])], by[here])
             out[own] = least[number]
         return out
 
@@ -306,7 +342,7 @@ def _suffixes(packed: DataFrame, shared: DataFrame, frequent: dict[int, np.ndarr
             windows = np.diff(np.append(first, len(at)))
             begin, place = at[first], place[first]
             ends = block.runs(min_words, begin) * _STEP + block.runs(min_words, begin + windows - 1)
-            _, one, number = np.unique(_mixed(ends * _STEP + windows.astype(np.uint64)), return_index=True, return_inverse=True)
+            one, number = block.equals(_mixed(ends * _STEP + windows.astype(np.uint64)), begin, windows.astype(np.int64) + min_words - 1)
             least = np.full(len(one), _LAST_ID)
             np.minimum.at(least, number, block.ids[block.full[block.doc[begin]]])
             begin, place, windows = begin[one], place[one], windows[one]
@@ -323,7 +359,7 @@ def _suffixes(packed: DataFrame, shared: DataFrame, frequent: dict[int, np.ndarr
                 n = windows[open_]
                 single = np.repeat(begin[open_], n) + (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(begin.dtype)
                 anchored, holder = np.repeat(place[open_], n), np.repeat(least[open_], n)
-                _, one, number = np.unique(block.runs(min_words, single), return_index=True, return_inverse=True)
+                one, number = block.equals(block.runs(min_words, single), single, np.full(len(single), min_words))
                 lowest = np.full(len(one), _LAST_ID)
                 np.minimum.at(lowest, number, holder)
                 single, anchored, own, left_ = single[one], anchored[one], np.zeros(len(one), np.int64), np.arange(len(one))
@@ -344,7 +380,7 @@ def _suffixes(packed: DataFrame, shared: DataFrame, frequent: dict[int, np.ndarr
                     text = b"\n".join(block.texts_at(begin[p], windows[p] + min_words - 1))
                     rows["part"].append(k)
                     rows["block"].append(left.column("block")[0].as_py())
-                    rows["data"].append(press.compress(len(p).to_bytes(8, "little") + np.diff(least[p], prepend=0).tobytes() + text))
+                    rows["data"].append(press.compress(len(p).to_bytes(8, "little") + np.diff(least[p], prepend=0).tobytes() + begin[p].astype(np.int64).tobytes() + text))
         return pa.table({"part": pa.array(rows["part"], pa.int32()), "block": pa.array(rows["block"], pa.int32()), "data": pa.array(rows["data"], pa.binary())})
 
     return packed.groupBy("block").cogroup(shared.groupBy("block")).applyInArrow(send, "part int, block int, data binary")
@@ -360,20 +396,23 @@ def _deep_nodes(suffixes: list[bytes]) -> Iterator[list[int]]:
 
 
 def _repeats(sent: DataFrame, min_words: int) -> DataFrame:
-    """``block, data``: digests of repeats and their smallest document, for blocks that do not hold it."""
+    """``block, data``: places of repeats in blocks and their smallest document, for blocks that do not hold it."""
 
     def grow(table: pa.Table) -> pa.Table:
-        unpack, texts, ids, of = zstandard.ZstdDecompressor(), [], [], []
+        unpack, texts, ids, of, begin = zstandard.ZstdDecompressor(), [], [], [], []
         blocks = table.column("block").to_pylist()
         for k, packed in enumerate(table.column("data").to_pylist()):
             raw = unpack.decompress(packed)
             n = int.from_bytes(raw[:8], "little")
             ids.append(np.cumsum(np.frombuffer(raw, np.int64, n, 8)))
-            texts += raw[8 + 8 * n :].split(b"\n")
+            begin.append(np.frombuffer(raw, np.int64, n, 8 + 8 * n))
+            texts += raw[8 + 16 * n :].split(b"\n")
             of.append(np.full(n, k))
         words = Words(texts, min_words)
         text_of = words.doc[words.at]
         doc, of = np.concatenate(ids)[text_of], np.concatenate(of)[text_of]
+        first = np.flatnonzero(np.concatenate([[True], words.doc[1:] != words.doc[:-1]])) if len(words.doc) else np.zeros(0, np.int64)
+        place = np.concatenate(begin)[text_of] + words.at - first[text_of]
         ids = doc.tolist()
         told, least = [], []
         for below in _deep_nodes(words.texts_at(words.at, min_words)):
@@ -382,13 +421,11 @@ def _repeats(sent: DataFrame, min_words: int) -> DataFrame:
             told += more
             least += [smallest] * len(more)
         told, least = np.array(told, np.int64), np.array(least, np.int64)
-        digest, of = words.runs(min_words, words.at[told]), of[told]
-        order = np.lexsort((digest, of))
-        digest, least, of = digest[order], least[order], of[order]
-        once = np.concatenate([[True], (digest[1:] != digest[:-1]) | (of[1:] != of[:-1])]) if len(of) else np.zeros(0, bool)
-        digest, least, of = digest[once], least[once], of[once]
+        place, of = place[told], of[told]
+        order = np.argsort(of, kind="stable")
+        place, least, of = place[order], least[order], of[order]
         parts = np.split(np.arange(len(of)), np.searchsorted(of, np.arange(1, len(blocks))))
-        data = [digest[p].tobytes() + least[p].tobytes() for p in parts]
+        data = [place[p].tobytes() + least[p].tobytes() for p in parts]
         return pa.table({"block": pa.array(blocks, pa.int32()), "data": pa.array(data, pa.binary())})
 
     return sent.groupBy("part").applyInArrow(grow, "block int, data binary")
@@ -402,7 +439,7 @@ def _removed(packed: DataFrame, repeats: DataFrame, min_words: int) -> DataFrame
             return schema.empty_table()
         block = Block(_blobs(left), min_words)
         replies = [(raw, len(raw) // 16) for raw in right.column("data").to_pylist()]
-        told = np.concatenate([np.zeros(0, np.uint64), *(np.frombuffer(raw, np.uint64, n) for raw, n in replies)])
+        told = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(raw, np.int64, n) for raw, n in replies)])
         by = np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(raw, np.int64, n, 8 * n) for raw, n in replies)])
         starts = block.at[block.smallest(told, by) < block.ids[block.full[block.doc[block.at]]]]
         step = np.zeros(len(block.words) + 1, np.int32)
@@ -435,10 +472,11 @@ def remove_repeats(docs: DataFrame, min_words: int = MIN_WORDS, id_col: str = "d
     block's task holds, and its suffixes travel like any others. An empty table gives an empty result. Other columns are
     ignored, whatever their names.
     """
-    spark = docs.sparkSession
-    parts = shuffle_partitions(spark)
-    share = 1 / min(MOST_PREFIXES, GROUP_SHARE * parts)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    # As many blocks and groups as keep each within a task's memory, and no fewer than the session's partitions.
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    parts = max(shuffle_partitions(docs.sparkSession), math.ceil(size / BLOCK_BYTES))
+    share = 1 / min(MOST_PREFIXES, GROUP_SHARE * parts)
     packed = _packed(rows, parts)
     survey = _survey(packed, parts, share, min_words)
     # About 1 / share slots for each prefix length, 65,536 whatever the input: a bounded list for the tasks.

@@ -196,3 +196,15 @@ def test_page_markup(spark):
     got = {r["page_id"]: r for r in languages.identify_pages(pages, languages.fit(docs)).collect()}
     assert (got[3]["declared"], got[3]["host"], got[3]["suffix"], got[3]["language"]) == ("de", "www.example.de", "de", "de")
     assert not got[1]["accepted"] and not got[2]["accepted"]
+
+
+def test_words_decide_where_digests_coincide():
+    from sparkscope.llm.substrings import Words
+
+    words = Words([b"a b c d", b"a b c e", b"a b c d", b"x y z w", b"a b c e"], 4)
+    at, sizes = words.at, np.full(5, 4)
+    one, number = words.equals(np.zeros(5, np.uint64), at, sizes)
+    assert [number[i] == number[j] for i, j in ((0, 2), (1, 4), (0, 1), (0, 3), (1, 3))] == [True, True, False, False, False]
+    assert [words.texts_at(at[one], sizes[one])[n] for n in number] == [b"a b c d", b"a b c e", b"a b c d", b"x y z w", b"a b c e"]
+    one, number = words.equals(words.runs(4, at), at, sizes)
+    assert number[0] == number[2] and number[1] == number[4] and len(one) == 3
