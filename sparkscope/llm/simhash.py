@@ -186,25 +186,27 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
     return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
 
 
+def _all_stars(edges: DataFrame) -> bool:
+    """Whether each ``u`` of the distinct links ``u > v`` has one ``v`` only, and no ``v`` is a ``u``: nothing is left to connect."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
+    held = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
+    return held.filter((F.col("below") > 0) & (F.col("below") + F.col("above") > 1)).isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``), the root being the component's least node.
 
-    Large stars and small stars in turn until nothing changes: a logarithmic number of rounds, each a few joins and
-    aggregates that combine before they shuffle. The driver sees only a count and a checksum.
+    Large stars and small stars in turn until all components are stars: a logarithmic number of rounds, each a few joins
+    and aggregates that combine before they shuffle. The driver sees only whether a node is left that belongs to no star.
     """
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
-    state = None
-    while True:
+    while not _all_stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
-        now = edges.agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("u", "v")).alias("x")).first()
-        if now == state:
-            break
-        state = now
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(edges.select("v", "v").distinct())
 
 
