@@ -644,4 +644,4 @@ def insert_if_absent(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 # The other parts register theirs where they stand.
-from . import catalogue_ingest, catalogue_texts  # noqa: E402, F401
+from . import catalogue_ingest, catalogue_streams, catalogue_texts  # noqa: E402, F401
