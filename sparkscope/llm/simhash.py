@@ -143,7 +143,7 @@ def _forest(fp: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
 
 
 def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
-    """Links ``a, b`` between the distinct fingerprints ``fps.fp`` that connect all pairs at most ``max_bits`` apart."""
+    """Links ``a, b``, some of them repeated, that connect all pairs at most ``max_bits`` apart of the distinct fingerprints ``fps.fp``."""
     excess = (max_bits + 1) // 2
 
     def replicate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -183,27 +183,28 @@ def links(fps: DataFrame, max_bits: int = 2) -> DataFrame:
             yield linked(rest_a, rest_f)
 
     spread = fps.select("fp").repartition(shuffle_partitions(fps.sparkSession)).mapInArrow(replicate, "anchor long, fp long")
-    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long").distinct()
+    return spread.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(compare, "a long, b long")
 
 
 def _all_stars(edges: DataFrame) -> bool:
     """Whether each ``u`` of the distinct links ``u > v`` has one ``v`` only, and no ``v`` is a ``u``: nothing is left to connect."""
     ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("below"), F.lit(0).alias("above")).union(edges.select("v", F.lit(0), F.lit(1)))
     held = ends.groupBy("node").agg(F.sum("below").alias("below"), F.max("above").alias("above"))
-    return held.filter((F.col("below") > 0) & (F.col("below") + F.col("above") > 1)).isEmpty()
+    return not held.agg(F.max((F.col("below") > 0) & (F.col("below") + F.col("above") > 1)).alias("open")).first().open
 
 
 def components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of ``edges`` (``a, b``), the root being the component's least node.
 
     Large stars and small stars in turn until all components are stars: a logarithmic number of rounds, each a few joins
-    and aggregates that combine before they shuffle. The driver sees only whether a node is left that belongs to no star.
+    and aggregates that combine before they shuffle; repeated links are dropped once a round, as neither step makes more
+    links than it was given. The driver sees only whether a node is left that belongs to no star.
     """
     edges = cut_lineage(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).filter("u != v").distinct())
     while not _all_stars(edges):
         both = edges.union(edges.select("v", "u"))
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         edges = cut_lineage(small.union(least.select("u", F.col("m").alias("v"))).distinct())
@@ -389,7 +390,7 @@ def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> Dat
 
     A part is a table and the first code words of its anchors: a fingerprint goes once to each part that has an anchor of
     its own, as the table's blocks and the compared words, and the part finds the rest of the anchors. A part gives out one
-    link for each of its nodes at most.
+    link for each of its nodes at most; links of several parts may repeat.
     """
     lead, blocks, words = 1, plan.shape[1], plan_words(plan)
     while lead < blocks and rows * (1 + 2.625 * lead) / 16**lead > PART_ROWS:
@@ -423,7 +424,7 @@ def similar_links(fps: DataFrame, plan: np.ndarray, most: int, rows: int) -> Dat
         linked = np.flatnonzero(star != np.arange(len(node)))
         return pa.table({"a": pa.array(node[star[linked]]), "b": pa.array(node[linked])})
 
-    return fps.select("node", "fp").mapInArrow(deal, "part long, data binary").groupBy("part").applyInArrow(find, "a long, b long").distinct()
+    return fps.select("node", "fp").mapInArrow(deal, "part long, data binary").groupBy("part").applyInArrow(find, "a long, b long")
 
 
 def _exact_links(sets: list[np.ndarray], similarity: float) -> np.ndarray:
@@ -484,17 +485,19 @@ def exact_links(sets: DataFrame, similarity: float) -> DataFrame:
     first = cut_lineage(_compared(tagged.withColumn("cells", where), similarity))
     if large.isEmpty():
         return first
+    # What is joined so far goes on as stars, so that it is connected once only.
     roots = components(first)
+    stars = roots.filter("node != root").select(F.col("root").alias("a"), F.col("node").alias("b"))
     placed = tagged.filter(F.col("n").isNotNull()).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     sizes = placed.groupBy("group", "root").agg(F.count("*").alias("k"))
     most = cut_lineage(sizes.groupBy("group").agg(F.max(F.struct("k", "root")).alias("main"), F.sum("k").alias("all")).filter(F.col("all") > F.col("main.k")))
     if most.isEmpty():
-        return first
+        return stars
     parts = cut(F.col("all") - F.col("main.k"))
     among = F.transform(each(parts), lambda j: own(cells, 0) * parts + j)
     against = F.when(F.col("root") != F.col("main.root"), F.transform(each(cells), lambda i: i * parts + own(parts, 2))).otherwise(F.array().cast("array<bigint>"))
     rest = placed.join(F.broadcast(most), "group").withColumn("cells", F.array_union(among, against))
-    return first.union(_compared(rest, similarity))
+    return stars.union(_compared(rest, similarity))
 
 
 def similar_groups(docs: DataFrame, shingle_words: int = 5, similarity: float = 0.8, found: float = FOUND, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
