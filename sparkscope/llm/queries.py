@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .exact_dedup import exact_groups
 from .languages import fit, identify_documents, identify_pages
 from .licences import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, pieces, scan_licences
+from .manifest import COLUMNS, folded, leaf_digest, lower_ascii, manifest, proof
 from .mixing import mix
 from .packing import pack_documents
 from .secrets import BASE_KINDS, OPAQUE, WIDE_OWNERS, WIDE_REPOSITORIES, scan_secrets
@@ -78,8 +79,17 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every third row by the checksum of its id is judged with its text in lower case, as if someone had changed it."""
+    docs = _table(spark, sf_dir, "documents")
+    struck = F.crc32(F.col("doc_id").cast("string")) % 3 == 0
+    changed = [F.when(struck, lower_ascii(F.col(c))).otherwise(F.col(c)) if c == "text" else F.col(c) for c in COLUMNS]
+    found = manifest(docs, also={"seen": leaf_digest(*changed)}).withColumn("folded_root", folded(F.col("seen"), F.col("path")))
+    return found.select("doc_id", "leaf", "subroot", "root", F.sha2(proof(F.col("path")), 256).alias("proof_sha256"), "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_exact_top_k, op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op7_language_id, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup)
+    found = (op1_substring_dedup, op2_exact_top_k, op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op7_language_id, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
@@ -202,6 +212,31 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+#: DuckDB has no crc32: its table comes from the polynomial. Runs of both trees, the top one named apart, are a row's path.
+OP13_SQL = r"""
+WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
+texts AS (SELECT doc_id, lang, CAST(doc_id AS VARCHAR) AS id, source, CAST(n_chars AS VARCHAR) AS n, text,
+  xor(4294967295, list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: CAST(ascii(x) AS BIGINT))), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]))) AS crc FROM documents, crc),
+seen AS (SELECT *, CASE WHEN crc % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') ELSE text END AS text2 FROM texts),
+told AS (SELECT doc_id, lang, concat(coalesce(strlen(id) || ':' || id, '-'), coalesce(strlen(source) || ':' || source, '-'), coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(n) || ':' || n, '-')) AS head, text, text2 FROM seen),
+hashed AS (SELECT doc_id, coalesce('=' || lang, '') AS g, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf, sha256(head || coalesce(strlen(text2) || ':' || text2, '-')) AS seen FROM told),
+leaves AS (SELECT *, row_number() OVER () AS rid, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, leaf) - 1 AS i, count(*) OVER (PARTITION BY g) AS n FROM hashed),
+nodes AS (SELECT 0 AS k, g, i, n, leaf AS h FROM leaves UNION ALL SELECT k + 1, g, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM nodes WHERE n > 1 GROUP BY k, g, i // 8, (n + 7) // 8),
+subroots AS (SELECT g, h, row_number() OVER (ORDER BY g) - 1 AS i, count(*) OVER () AS n FROM nodes WHERE n = 1),
+highs AS (SELECT 0 AS k, i, n, h FROM subroots UNION ALL SELECT k + 1, i // 8, (n + 7) // 8, sha256(string_agg(h, '' ORDER BY i)) FROM highs WHERE n > 1 GROUP BY k, i // 8, (n + 7) // 8),
+runs AS (SELECT k, g, i // 8 AS p, list(h ORDER BY i) AS run FROM nodes WHERE n > 1 GROUP BY k, g, i // 8),
+high_runs AS (SELECT k, i // 8 AS p, list(h ORDER BY i) AS run FROM highs WHERE n > 1 GROUP BY k, i // 8),
+steps AS (
+  SELECT rid, 0 AS tree, k, (i >> (3 * k)) % 8 AS place, run FROM leaves l JOIN runs r ON l.g = r.g AND l.i >> (3 * k + 3) = r.p
+  UNION ALL SELECT rid, 1, k, (s.i >> (3 * k)) % 8, run FROM leaves l JOIN subroots s ON l.g = s.g JOIN high_runs r ON s.i >> (3 * k + 3) = r.p),
+paths AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY tree, k) - 1 AS step FROM steps),
+proofs AS (SELECT rid, string_agg(array_to_string(run[1:place], '') || array_to_string(run[place + 2:8], ''), '' ORDER BY step) AS siblings, count(*) AS depth FROM paths GROUP BY rid),
+folds AS (SELECT rid, CAST(0 AS BIGINT) AS step, seen AS h FROM leaves UNION ALL
+  SELECT f.rid, f.step + 1, sha256(concat(array_to_string(run[1:place], ''), h, array_to_string(run[place + 2:8], ''))) FROM folds f JOIN paths p ON f.rid = p.rid AND f.step = p.step)
+SELECT doc_id, leaf, s.h AS subroot, r.h AS root, sha256(coalesce(siblings, '')) AS proof_sha256, f.h AS folded_root, f.h = r.h AS verified
+FROM leaves l JOIN subroots s USING (g) JOIN highs r ON r.n = 1 LEFT JOIN proofs p ON l.rid = p.rid JOIN folds f ON f.rid = l.rid AND f.step = coalesce(depth, 0)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_license_scan": _licence_sql(), "op5_secret_scan": _secret_sql(), "op6_exact_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op9_arc_to_warc": OP9_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_license_scan": _licence_sql(), "op5_secret_scan": _secret_sql(), "op6_exact_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op9_arc_to_warc": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
