@@ -13,9 +13,12 @@ from .licences import BLOCK_WORDS, PHRASES, TEMPLATES, THRESHOLD, pieces, scan_l
 from .manifest import COLUMNS, folded, leaf_digest, lower_ascii, manifest, proof
 from .mixing import mix
 from .packing import pack_documents
+from .phrases import LEAST, MOST_WORDS, TOP, UNKNOWN, collocations
 from .secrets import BASE_KINDS, OPAQUE, WIDE_OWNERS, WIDE_REPOSITORIES, scan_secrets
 from .simhash import near_groups
 from .substrings import remove_repeats
+from .toxicity import fit as fit_toxicity
+from .toxicity import score as score_toxicity
 from .vectors import top_k
 from .web_archive import convert_pages
 
@@ -79,6 +82,15 @@ def op10_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_groups(_table(spark, sf_dir, "documents"))
 
 
+def op11_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    return score_toxicity(docs, fit_toxicity(docs, _table(spark, sf_dir, "labels"))).drop("features")
+
+
+def op12_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations(_table(spark, sf_dir, "documents"))
+
+
 def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every third row by the checksum of its id is judged with its text in lower case, as if someone had changed it."""
     docs = _table(spark, sf_dir, "documents")
@@ -89,7 +101,7 @@ def op13_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_substring_dedup, op2_exact_top_k, op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op7_language_id, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup, op13_merkle_manifest)
+    found = (op1_substring_dedup, op2_exact_top_k, op3_license_scan, op4_best_fit_packing, op5_secret_scan, op6_exact_dedup, op7_language_id, op8_source_mix, op9_arc_to_warc, op10_simhash_dedup, op11_toxicity, op12_phrase_collocations, op13_merkle_manifest)
     return {f.__name__: f for f in found}
 
 
@@ -212,6 +224,21 @@ SELECT doc_id, size, source_size, target,
 FROM placed
 """
 
+_GRAMS = " UNION ALL ".join(f"SELECT lang, {k} AS k, array_to_string(list_slice(w, i, i + {k - 1}), ' ') AS p FROM (SELECT lang, w, unnest(range(1, len(w) + 1 - {k - 1})) AS i FROM pieces)" for k in range(1, MOST_WORDS + 1))
+OP12_SQL = rf"""
+WITH cut AS (SELECT coalesce(lang, '{UNKNOWN}') AS lang, unnest(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+pieces AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM cut),
+totals AS (SELECT lang, sum(len(w)) AS n FROM pieces GROUP BY lang),
+counts AS (SELECT lang, k, p, count(*) AS a FROM ({_GRAMS}) GROUP BY lang, k, p HAVING count(*) >= {LEAST}),
+inside AS (SELECT DISTINCT s.lang, s.p FROM counts s JOIN counts q ON s.lang = q.lang AND q.k > s.k AND q.a >= s.a AND contains(concat(' ', q.p, ' '), concat(' ', s.p, ' '))),
+cuts AS (SELECT lang, p, a, k, string_split(p, ' ') AS w, unnest(range(1, k)) AS c FROM counts WHERE k > 1 AND (lang, p) NOT IN (SELECT (lang, p) FROM inside)),
+parts AS (SELECT lang, p, a, c, array_to_string(w[1:c], ' ') AS x, array_to_string(w[c + 1:k], ' ') AS y FROM cuts),
+scored AS (SELECT q.lang, q.p, q.a, c, l.a AS l, r.a AS r, n, CAST(CAST(1000 AS HUGEINT) * q.a * n // (CAST(l.a AS HUGEINT) * r.a) AS BIGINT) AS score
+  FROM parts q JOIN counts l ON q.lang = l.lang AND q.x = l.p JOIN counts r ON q.lang = r.lang AND q.y = r.p JOIN totals t ON q.lang = t.lang),
+lowest AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, p ORDER BY score, c) = 1)
+SELECT lang, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, p) AS rank, p AS phrase, a, l, r, CAST(n AS BIGINT) AS n, score FROM lowest QUALIFY rank <= {TOP}
+"""
+
 #: DuckDB has no crc32: its table comes from the polynomial. Runs of both trees, the top one named apart, are a row's path.
 OP13_SQL = r"""
 WITH RECURSIVE crc AS (SELECT list_transform(range(256), lambda i: list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END)) AS t),
@@ -239,4 +266,4 @@ FROM leaves l JOIN subroots s USING (g) JOIN highs r ON r.n = 1 LEFT JOIN proofs
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_substring_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_license_scan": _licence_sql(), "op5_secret_scan": _secret_sql(), "op6_exact_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op9_arc_to_warc": OP9_SQL, "op13_merkle_manifest": OP13_SQL}
+    return {"op1_substring_dedup": OP1_SQL, "op2_exact_top_k": OP2_SQL, "op3_license_scan": _licence_sql(), "op5_secret_scan": _secret_sql(), "op6_exact_dedup": OP6_SQL, "op8_source_mix": OP8_SQL, "op9_arc_to_warc": OP9_SQL, "op12_phrase_collocations": OP12_SQL, "op13_merkle_manifest": OP13_SQL}
