@@ -12,7 +12,7 @@ from .functions import scalars
 from .operators import analytics, issues, log_search, monitors, retention, rollup, series, spans, traces
 from .operators.filters import Scope, SlowFilter, inclusive
 from .plans.window import TimeWindow, bucketing_for, resolve_window
-from .sources.payloads import event_details
+from .sources.payloads import display_attributes, event_details
 
 
 class ProjectError(ValueError):
@@ -21,7 +21,8 @@ class ProjectError(ValueError):
 
 @dataclass
 class Tables:
-    """What the engine reads. The rollups are rebuilt from raw rows where none are given."""
+    """What the engine reads. Rollups, issues (without status) and their facets are rebuilt from raw rows where none are given;
+    ``Ingest`` stores them."""
 
     transactions: DataFrame
     events: DataFrame
@@ -32,6 +33,8 @@ class Tables:
     changes: DataFrame | None = None
     hourly: DataFrame | None = None
     histogram: DataFrame | None = None
+    issues: DataFrame | None = None
+    issue_facets: DataFrame | None = None
 
 
 class Engine:
@@ -62,7 +65,7 @@ class Engine:
         return Scope(project_id=self.project_id(project), **more)
 
     def _issues(self) -> DataFrame:
-        found = issues.group_issues(self.tables.events)
+        found = issues.group_issues(self.tables.events) if self.tables.issues is None else self.tables.issues
         return found.withColumn("status", F.lit(issues.OPEN)) if self.tables.changes is None else issues.current_status(found, self.tables.changes)
 
     def _named(self, rows: DataFrame) -> DataFrame:
@@ -85,7 +88,7 @@ class Engine:
         rows = rows if project is None else rows.filter(F.col("project_id") == self.project_id(project))
         wanted = {k: v for k, v in (("environment", environment), ("release", release)) if v}
         if wanted:
-            rows = issues.seen_in(rows, issues.issue_facets(self.tables.events), **wanted)
+            rows = issues.seen_in(rows, issues.issue_facets(self.tables.events) if self.tables.issue_facets is None else self.tables.issue_facets, **wanted)
         return self._named(issues.search_issues(rows, query, status, limit))
 
     def get_issue(self, project_id: int, fingerprint: str) -> DataFrame:
@@ -103,8 +106,15 @@ class Engine:
         return rows.join(event_details(rows.select("project_id", "event_id", "payload")), ["project_id", "event_id"]) if "payload" in rows.columns else rows
 
     def get_transaction_stats(self, hours: float = 24, project: str | int | None = None, endpoint: str | None = None, environment: str | None = None, limit: int = 10) -> DataFrame:
-        """The ranking; an endpoint never narrows it, but has its own block in ``get_endpoint_summary``."""
-        return analytics.endpoint_impact(self.hourly, self.histogram, self.tables.transactions, self.window(hours), self._scope(project, environment=environment), max(1, min(limit, 50)))
+        """One row: ``total_count`` with averages, percentiles and extremes, of one endpoint where it is named, and the ranking as
+        ``top_endpoints``, which an endpoint never narrows. Both are of the same hours of the rollups."""
+        window, scope = self.window(hours), self._scope(project, environment=environment)
+        block = analytics.percentiles_block(self.hourly, self.histogram, self.tables.transactions, window, scope if endpoint is None else self._scope(project, name=endpoint, environment=environment))
+        ranking = analytics.endpoint_impact(self.hourly, self.histogram, self.tables.transactions, window, scope, max(1, min(limit, 50)))
+        # At most fifty structs, by time spent and name.
+        top = ranking.agg(F.array_sort(F.collect_list(F.struct((-F.col("time_spent")).alias("place"), *ranking.columns))).alias("top_endpoints"))
+        listed = top.select(F.transform("top_endpoints", lambda x: x.dropFields("place")).alias("top_endpoints"))
+        return block.withColumnRenamed("count", "total_count").join(F.broadcast(listed), F.lit(True), "left")
 
     def find_n_plus_one_endpoints(self, hours: float = 24, project: str | int | None = None, limit: int = 20) -> DataFrame:
         return analytics.n_plus_one_worklist(self.hourly, self.window(hours), self._scope(project), max(1, min(limit, 100)))
@@ -170,7 +180,9 @@ class Engine:
         return self._named(found)
 
     def get_log(self, log_id: object) -> DataFrame:
-        return self.tables.logs.filter(F.col("id") == log_id)
+        """The log, with its attributes as a flat map where its payload is stored."""
+        rows = self.tables.logs.filter(F.col("id") == log_id)
+        return rows.withColumn("attributes", display_attributes(F.col("payload"))) if "payload" in rows.columns else rows
 
     def get_trace_logs(self, trace_id: str, limit: int = 100, project: str | int | None = None) -> DataFrame:
         return traces.trace_logs(self.tables.logs, trace_id, self.project_id(project), limit)

@@ -35,6 +35,23 @@ def group_issues(events: DataFrame, arrival: str = "id") -> DataFrame:
     return named.groupBy("project_id", "fingerprint").agg(F.count("*").alias("count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), first("title"), first("exception_type"))
 
 
+def issue_partials(events: DataFrame, arrived: str = "received_at") -> DataFrame:
+    """E25 as a partial that merges: counts, extremes, and of the event that arrived first what names the issue (``first``)."""
+    message = F.col("message") if "message" in events.columns else F.lit(None).cast("string")
+    first = F.struct(F.col(arrived).alias("arrived_at"), "event_id", title(F.col("exception_value"), message, F.col("exception_type")).alias("title"), "exception_type")
+    return events.groupBy("project_id", "fingerprint").agg(F.count("*").alias("count"), F.min("timestamp").alias("first_seen"), F.max("timestamp").alias("last_seen"), F.min(first).alias("first"))
+
+
+def merge_issues(parts: DataFrame) -> DataFrame:
+    """Partials of several batches, or of merges of them, as one: counts add, extremes take the extreme."""
+    return parts.groupBy("project_id", "fingerprint").agg(F.sum("count").alias("count"), F.min("first_seen").alias("first_seen"), F.max("last_seen").alias("last_seen"), F.min("first").alias("first"))
+
+
+def named_issues(merged: DataFrame) -> DataFrame:
+    """Merged partials in the form of ``group_issues``."""
+    return merged.select("project_id", "fingerprint", "count", "first_seen", "last_seen", F.col("first.title").alias("title"), F.col("first.exception_type").alias("exception_type"))
+
+
 def current_status(issues: DataFrame, changes: DataFrame) -> DataFrame:
     """The last change of each issue wins; none is open. Changes are an append-only log."""
     last = changes.groupBy("project_id", "fingerprint").agg(F.max_by("status", F.struct("changed_at", "status")).alias("status"))
@@ -105,6 +122,11 @@ def release_sightings(rows: DataFrame) -> DataFrame:
     return rows.filter("trim(release) != ''").groupBy("project_id", F.col("release").alias("version")).agg(F.min("timestamp").alias("first_seen_at"), F.max("timestamp").alias("last_seen_at"), F.count("*").alias("transaction_count"))
 
 
+def merge_releases(parts: DataFrame) -> DataFrame:
+    """Sightings of several batches as one."""
+    return parts.groupBy("project_id", "version").agg(F.min("first_seen_at").alias("first_seen_at"), F.max("last_seen_at").alias("last_seen_at"), F.sum("transaction_count").alias("transaction_count"))
+
+
 def burst_rates(events: DataFrame, issues: DataFrame, as_of: datetime, threshold: int = 1000) -> DataFrame:
     """Open issues with at least ``threshold`` events in the hour up to ``as_of``."""
     rows = events.filter((F.col("timestamp") > F.lit(as_of - timedelta(hours=1))) & (F.col("timestamp") <= F.lit(as_of)))

@@ -12,6 +12,8 @@ from ..functions.scalars import waterfall
 from ..functions.sql_text import REPEAT_THRESHOLD, is_infrastructure, sql_pattern, truncate_sql
 
 SPAN_CAP = 1000
+#: The category of breadcrumbs that are queries.
+QUERY_CATEGORY = "sql.active_record"
 
 
 def ordered_children(spans: Column) -> Column:
@@ -92,7 +94,7 @@ def query_patterns(breadcrumbs: DataFrame, spans: DataFrame | None = None, keys:
 
     Each distinct text of a transaction is counted before its shape is taken, so repeats are neither parsed nor moved again.
     """
-    queries = breadcrumbs.filter((F.col("category") == "sql.active_record") & ~is_infrastructure(F.col("sql"))).filter("trim(sql) != ''")
+    queries = breadcrumbs.filter((F.col("category") == QUERY_CATEGORY) & ~is_infrastructure(F.col("sql"))).filter("trim(sql) != ''")
     texts = queries.groupBy(*keys, "sql").agg(F.count("*").alias("n"), F.min("pos").alias("first"))
     found = texts.withColumn("pattern", sql_pattern(F.col("sql"))).groupBy(*keys, "pattern").agg(
         F.sum("n").alias("count"), F.count("*").alias("distinct_count"), F.min_by("sql", F.struct("first", "sql")).alias("example")).withColumn("example", truncate_sql(F.col("example")))
@@ -107,7 +109,7 @@ def query_patterns(breadcrumbs: DataFrame, spans: DataFrame | None = None, keys:
 def repeated_queries(breadcrumbs: DataFrame, spans: DataFrame | None = None, keys: Sequence[str] = ("transaction_id",)) -> DataFrame:
     """Per transaction all queries (blank ones too), shapes, flagged shapes, those of them that are one text again and
     again, and the time that flagged ones took (null where untimed)."""
-    total = breadcrumbs.filter((F.col("category") == "sql.active_record") & ~is_infrastructure(F.col("sql"))).groupBy(*keys).agg(F.count("*").alias("total_queries"))
+    total = breadcrumbs.filter((F.col("category") == QUERY_CATEGORY) & ~is_infrastructure(F.col("sql"))).groupBy(*keys).agg(F.count("*").alias("total_queries"))
     flagged = F.col("count") > REPEAT_THRESHOLD
     shapes = query_patterns(breadcrumbs, spans, keys).groupBy(*keys).agg(
         F.count("*").alias("unique_patterns"), F.count_if(flagged).alias("flagged_patterns"), F.count_if(flagged & (F.col("distinct_count") == 1)).alias("identical_patterns"),

@@ -9,8 +9,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..api import Engine, Tables
-from ..operators import analytics, issues, monitors, retention, rollup, spans, traces
+from ..operators import analytics, issues, log_index, log_search, monitors, retention, rollup, spans, traces
 from ..sources import envelope, payloads, sinks, views
+from ..streaming import keys
 from ..streaming.ingest import Ingest
 from .catalogue import _ANALYSED, _routed, register, sec
 from .oracle import VIEWS, query
@@ -50,6 +51,102 @@ def ingest_recount(spark: SparkSession, sf_dir: str) -> DataFrame:
     return histogram.withColumn("hour_bucket", F.unix_timestamp("hour_bucket"))
 
 
+#: Stores that queries of one session only read, by session and tables.
+_STORES: dict[tuple[str, str], Ingest] = {}
+
+
+def _stored(spark: SparkSession, sf_dir: str) -> Ingest:
+    key = spark.sparkContext.applicationId, sf_dir
+    if key not in _STORES:
+        _STORES[key] = _delivered_twice(spark, sf_dir)
+    return _STORES[key]
+
+
+def _delivered_twice(spark: SparkSession, sf_dir: str) -> Ingest:
+    """Two batches of envelopes with logs among them, a compaction between them, and in the second a part of the first again."""
+    pipeline, logs = Ingest(spark, f"{sinks.shared_folder(spark)}/ingest-{uuid.uuid4().hex}"), views.log_items(spark, sf_dir)
+    body = F.concat_ws("\n", F.lit("{}"), F.lit('{"type":"log"}'), "payload")
+    early = F.col("received_at") < F.lit(views.as_of(spark, sf_dir) - timedelta(days=15))
+    source = views.envelopes(spark, sf_dir)
+    pipeline.process(source.filter(early).unionByName(logs.select("project_id", "received_at", body.alias("body"))), 0)
+    pipeline.compact(0)
+    pipeline.process(source.filter(~early | (F.second("received_at") < 30)), 1)
+    return pipeline
+
+
+_THROWN = f"""SELECT project_id, concat(transaction_name, '::f', CAST(id % 7 AS VARCHAR), '.rb::', CAST(id % 3 AS VARCHAR)) AS fingerprint, {sec('timestamp')} AS at_s, timestamp, concat('e', transaction_id) AS event_id,
+  concat('value ', CAST(id % 9 AS VARCHAR)) AS title, transaction_name AS exception_type, environment, release FROM txn WHERE id % 37 <> 0 AND id % 4 = 0"""
+
+
+@register("ingest_issues", query(
+    """SELECT project_id, fingerprint, count(*) AS count, min(at_s) AS first_seen, max(at_s) AS last_seen, arg_min(title, (timestamp, event_id)) AS title, arg_min(exception_type, (timestamp, event_id)) AS exception_type
+    FROM thrown GROUP BY ALL""", "txn", thrown=_THROWN))
+def ingest_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """E25 at ingest: stored issues after a compaction and a redelivery."""
+    return _stored(spark, sf_dir).issues().withColumns({c: F.unix_timestamp(c) for c in ("first_seen", "last_seen")})
+
+
+@register("ingest_facets", query(
+    f"""SELECT stream, project_id, name, value, max(at_s) AS last_seen_at FROM (
+      SELECT 'transactions' AS stream, project_id, 'environment' AS name, environment AS value, {sec('timestamp')} AS at_s FROM analysed UNION ALL
+      SELECT 'logs', 0, 'environment', environment, at_s FROM logs UNION ALL SELECT 'logs', 0, 'service', service, at_s FROM logs UNION ALL SELECT 'logs', 0, 'source', 'sentry', at_s FROM logs UNION ALL
+      SELECT concat('issue ', fingerprint), project_id, 'environment', environment, at_s FROM thrown UNION ALL SELECT concat('issue ', fingerprint), project_id, 'release', release, at_s FROM thrown)
+    WHERE trim(value) <> '' GROUP BY ALL""", "txn", "logs", analysed=_ANALYSED, thrown=_THROWN))
+def ingest_facets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B7, B8 at ingest: stored facets of requests, logs and issues after a compaction and a redelivery."""
+    pipeline = _stored(spark, sf_dir)
+    of_issues = pipeline.partial("issue_facets").select(F.concat(F.lit("issue "), "fingerprint").alias("stream"), "project_id", "name", "value", "last_seen_at")
+    # An issue's releases and environments may be shared by issues of one fingerprint in several projects, which the key tells apart.
+    return pipeline.facets().select(*of_issues.columns).unionByName(of_issues).withColumn("last_seen_at", F.unix_timestamp("last_seen_at"))
+
+
+@register("ingest_releases", query(
+    f"SELECT project_id, release AS version, {sec('min(timestamp)')} AS first_seen_at, {sec('max(timestamp)')} AS last_seen_at, count(*) AS transaction_count FROM analysed GROUP BY ALL", "txn", analysed=_ANALYSED))
+def ingest_releases(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B9 at ingest: stored sightings after a compaction and a redelivery."""
+    return _stored(spark, sf_dir).partial("releases").withColumns({c: F.unix_timestamp(c) for c in ("first_seen_at", "last_seen_at")})
+
+
+@register("retention_at_rest", query(
+    f"""SELECT 'transactions' AS kind, CAST(project_id AS VARCHAR) AS name, count(*) AS rows FROM analysed, days WHERE CAST(timestamp AS DATE) >= t GROUP BY ALL
+    UNION ALL SELECT 'spans', CAST(project_id AS VARCHAR), sum(id % 7 + (id % 6 = 0)::INTEGER + 1) FROM analysed, days WHERE CAST(timestamp AS DATE) >= s AND id % 2 = 0 GROUP BY ALL
+    UNION ALL SELECT 'issue', concat(CAST(project_id AS VARCHAR), ' ', fingerprint), count(*) FILTER (CAST(timestamp AS DATE) >= e) FROM thrown, days GROUP BY ALL
+    UNION ALL SELECT 'facet', concat(CAST(project_id AS VARCHAR), ' ', fingerprint, ' ', environment), 1 FROM thrown, days WHERE environment IS NOT NULL GROUP BY project_id, fingerprint, environment, e HAVING CAST(max(timestamp) AS DATE) >= e
+    UNION ALL SELECT 'hourly', CAST(project_id AS VARCHAR), count(*) FROM analysed, days WHERE CAST(timestamp AS DATE) >= h GROUP BY ALL""",
+    "txn", "span_of_time", analysed=_ANALYSED, thrown=_THROWN,
+    days="SELECT CAST(as_of - INTERVAL 9 DAY AS DATE) AS t, CAST(as_of - INTERVAL 5 DAY AS DATE) AS s, CAST(as_of - INTERVAL 12 DAY AS DATE) AS e, CAST(as_of - INTERVAL 15 DAY AS DATE) AS h FROM span_of_time"))
+def retention_at_rest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two retirements, the second by shorter clocks, with a compaction and the removal of files between and after."""
+    pipeline, as_of = _delivered_twice(spark, sf_dir), views.as_of(spark, sf_dir)
+    pipeline.retire(as_of, 0, {"transactions": 11, "spans": 10, "events": 14, "histograms": 15})
+    pipeline.compact(1)
+    pipeline.vacuum()
+    pipeline.retire(as_of, 1, {"transactions": 9, "spans": 5, "events": 12, "histograms": 15})
+    pipeline.vacuum()
+    t, name = pipeline.read("transactions"), F.col("project_id").cast("string")
+    total = lambda kind, rows, label, n: rows.groupBy(F.lit(kind).alias("kind"), label.alias("name")).agg(n.alias("rows"))
+    seen = F.concat_ws(" ", name, "fingerprint", "value")
+    parts = [
+        total("transactions", t, name, F.count("*")), total("spans", t.filter(F.size("spans") > 0), name, F.sum(F.size("spans")).cast("long")), total("issue", pipeline.issues(), F.concat_ws(" ", name, "fingerprint"), F.sum("count")),
+        total("facet", pipeline.partial("issue_facets").filter("name = 'environment'"), seen, F.count("*")), total("hourly", pipeline.hourly(), name, F.sum("count"))]
+    whole = parts[0]
+    for part in parts[1:]:
+        whole = whole.unionByName(part)
+    return whole
+
+
+@register("keys_among_stored", query("SELECT transaction_id, id % 3 = 0 AS stored FROM txn", "txn"))
+def keys_among_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which keys three parts of a key table hold, by way of their filters."""
+    folder, wanted = f"{sinks.shared_folder(spark)}/keys-{uuid.uuid4().hex}", ["project_id", "transaction_id"]
+    t = views.transactions(spark, sf_dir).select("id", *wanted)
+    parts = {f"part_{k}": f"{folder}/{k}" for k in range(3)}
+    for k, path in enumerate(parts.values()):
+        keys.write(t.filter((F.col("id") % 3 == 0) & (F.col("id") % 9 == 3 * k)), wanted, path)
+    held, _ = keys.stored_among(t, wanted, parts)
+    return t.join(held.select(*wanted, F.lit(True).alias("stored")), wanted, "left").select("transaction_id", F.coalesce("stored", F.lit(False)).alias("stored"))
+
+
 @register("otlp_chunking", query(
     """SELECT count(*) AS records, count(DISTINCT (id // 100, service, environment)) AS chunks, count(*) AS small_chunks, count(*) AS rejected, 0 AS rejected_whole FROM logs""", "logs"))
 def otlp_chunking(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -195,3 +292,15 @@ def payload_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = payloads.event_rows(_routed(spark, sf_dir).filter("sink = 'events'"))
     holes = rows.withColumn("trace_id", F.lit(None).cast("string"))
     return traces.backfill_from_payload(holes).select("event_id", "trace_id")
+
+
+@register("log_search_indexed", query(
+    """(SELECT 'words' AS asked, id FROM logs WHERE environment = 'en' AND regexp_matches(lower(body), '(^|[^a-z0-9])the([^a-z0-9]|$)') AND regexp_matches(lower(body), '(^|[^a-z0-9])and([^a-z0-9]|$)') ORDER BY at_s DESC, id DESC LIMIT 200)
+    UNION ALL (SELECT 'phrase', id FROM logs WHERE contains(concat(' ', attrs_text, ' '), ' status 3 ') ORDER BY at_s DESC, id DESC LIMIT 200)""", "logs"))
+def log_search_indexed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words in any column and a phrase in one, by postings instead of a scan of the bodies."""
+    path, logs = f"{sinks.shared_folder(spark)}/postings-{uuid.uuid4().hex}", views.logs(spark, sf_dir)
+    log_index.write(logs, path)
+    words = log_index.search(logs, path, "the And", wanted=log_search.LogFilter(environment="en"), limit=200)
+    phrase = log_index.search(logs, path, "STATUS:3", limit=200)
+    return words.select(F.lit("words").alias("asked"), "id").unionByName(phrase.select(F.lit("phrase").alias("asked"), "id"))

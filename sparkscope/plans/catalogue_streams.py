@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rollup
 from ..sources import envelope, sinks, views
-from ..streaming import bursts, ingest
+from ..streaming import bursts, delivery, ingest
 from .catalogue import register, sec
 from .oracle import query
 
@@ -41,6 +41,39 @@ def burst_alert_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("project_id", "fingerprint", F.unix_timestamp("alert_at").alias("alert_at"), "rate")
 
 
+@register("retry_and_bury", query(
+    f"""SELECT state, count(*) AS items, CAST(sum(attempts) AS BIGINT) AS attempts FROM (SELECT CASE WHEN id % 2500 = 7 THEN CASE WHEN tries > {delivery.RETRIES} THEN 'buried' ELSE 'waiting' END WHEN id % 2500 = 8 AND tries < 3 THEN 'waiting' ELSE 'stored' END AS state,
+    CASE WHEN id % 2500 = 7 THEN least(tries, {delivery.RETRIES} + 1) WHEN id % 2500 = 8 THEN least(tries, 3) ELSE 1 END AS attempts FROM (SELECT id, 8 - id % 8 AS tries FROM txn)) GROUP BY state""", "txn"))
+def retry_and_bury(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of eight files in which some items fail for good and some at their first two attempts."""
+    folder, rows = _folder(spark, "delivery"), views.transactions(spark, sf_dir).select("id", "duration")
+    for part in range(8):
+        rows.filter(F.col("id") % 8 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+
+    def through(batch: DataFrame, at: int) -> DataFrame:
+        # An item of file n meets its third attempt in batch n + 2.
+        bad = (F.col("id") % 2500 == 7) | ((F.col("id") % 2500 == 8) & (F.lit(at) < F.col("id") % 8 + 2))
+        return batch.withColumn("read", F.when(bad, F.raise_error(F.lit("unreadable"))).otherwise(F.lit(True)))
+
+    running = {"at": 0}
+
+    def process(batch: DataFrame, batch_id: int) -> None:
+        through(batch, batch_id).write.mode("overwrite").parquet(f"{folder}/out/batch_id={batch_id}")
+
+    deliver = delivery.Delivery(spark, f"{folder}/ledger", process, lambda batch: through(batch, running["at"]).write.format("noop").mode("overwrite").save())
+
+    def each(batch: DataFrame, batch_id: int) -> None:
+        running["at"] = batch_id
+        deliver(batch, batch_id)
+
+    stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+    ingest.each_batch(stream, each, f"{folder}/state").awaitTermination()
+    stored = spark.read.parquet(f"{folder}/out")
+    # What was stored took the batches from its own to the one it was stored in.
+    parts = [stored.select(F.lit("stored").alias("state"), (F.col("batch_id") - F.col("id") % 8 + 1).alias("attempts")), *[deliver.table(s).select(F.lit(s).alias("state"), "attempts") for s in ("waiting", "buried")]]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]).groupBy("state").agg(F.count("*").alias("items"), F.sum("attempts").alias("attempts"))
+
+
 @register("live_hours", query(f"SELECT * REPLACE ({sec('hour_bucket')} AS hour_bucket) FROM hourly", "hourly"))
 def live_hours(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The hourly measures as an updating aggregate, file after file."""

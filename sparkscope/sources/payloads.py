@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.log_text import attrs_text, level_from_name, level_from_number, normalize_id, traceparent
+from ..functions.sql_text import REPEAT_THRESHOLD, is_infrastructure, sql_pattern
 from ..operators.issues import fingerprint
-from ..operators.spans import SPAN_CAP, repeated_queries, timing
+from ..operators.spans import QUERY_CATEGORY, SPAN_CAP, timing
 
 SPANS = "array<struct<span_id:string,parent_span_id:string,trace_id:string,op:string,status:string,description:string,start_timestamp:double,timestamp:double>>"
 CRUMBS = "array<struct<category:string,message:string,level:string,data:struct<sql:string>>>"
@@ -47,7 +48,7 @@ def event_rows(items: DataFrame) -> DataFrame:
         "project_id", "event_id", F.coalesce(parse_time(_at(p, "$.timestamp")), F.col("received_at")).alias("timestamp"),
         *_fields(p, {"platform": "$.platform", "sdk_name": "$.sdk.name", "sdk_version": "$.sdk.version", "environment": "$.environment", "release": "$.release", "server_name": "$.server_name", "transaction_name": "$.transaction", "trace_id": "$.contexts.trace.trace_id"}),
         F.coalesce(_at(p, "$.level"), F.lit("error")).alias("level"), first["type"].alias("exception_type"), first["value"].alias("exception_value"), message.alias("message"),
-        parsed["fingerprint"].alias("_declared"), last["filename"].alias("_file"), last["lineno"].alias("_line"), "payload")
+        parsed["fingerprint"].alias("_declared"), last["filename"].alias("_file"), last["lineno"].alias("_line"), "payload", "received_at")
     return rows.withColumn("fingerprint", F.substring(fingerprint(F.col("_declared"), F.col("exception_type"), F.col("_file"), F.col("_line"), F.col("message")), 1, 1000)).drop("_declared", "_file", "_line")
 
 
@@ -91,13 +92,26 @@ def span_times(transactions: DataFrame) -> DataFrame:
 
 
 def with_query_analysis(transactions: DataFrame) -> DataFrame:
-    """Transactions (one row for each key) with ``query_count, has_n_plus_one, n_plus_one_time``.
+    """Transactions with ``query_count, has_n_plus_one, n_plus_one_time``.
 
-    The time is that of the flagged shapes' spans, null where none of them has any: unknown is not zero.
+    The time is that of the flagged shapes' spans, null where none of them has any: unknown is not zero. All of it is told by
+    the arrays of the row, so nothing moves: sorted, the shapes that repeat too often are those that stand a threshold apart from
+    themselves, and only these are looked up among the spans.
     """
-    found = repeated_queries(breadcrumb_rows(transactions), span_times(transactions), TRANSACTION_KEYS)
-    told = found.select(*TRANSACTION_KEYS, F.col("total_queries").cast("int").alias("query_count"), (F.col("flagged_patterns") > 0).alias("has_n_plus_one"), F.col("wasted_ms").cast("int").alias("n_plus_one_time"))
-    return transactions.join(told, list(TRANSACTION_KEYS), "left").na.fill({"query_count": 0, "has_n_plus_one": False})
+    none = F.array().cast("array<string>")
+    asked = F.filter("breadcrumbs", lambda b: (b["category"] == QUERY_CATEGORY) & ~is_infrastructure(b["data"]["sql"]))
+    rows = transactions.withColumn("_asked", F.transform(asked, lambda b: b["data"]["sql"]))
+    rows = rows.withColumn("_shapes", F.array_sort(F.transform(F.filter("_asked", lambda q: F.trim(q) != ""), sql_pattern)))
+    apart = F.transform("_shapes", lambda p, i: F.when(F.get("_shapes", i + REPEAT_THRESHOLD) == p, p))
+    rows = rows.withColumn("_flagged", F.coalesce(F.array_distinct(F.array_compact(apart)), none))
+    timed = F.filter("spans", lambda s: s["op"].startswith("db") & (F.trim(s["description"]) != "") & (s["timestamp"] - s["start_timestamp"]).isNotNull())
+    shaped = F.transform(timed, lambda s: F.struct(sql_pattern(s["description"]).alias("p"), ((s["timestamp"] - s["start_timestamp"]) * 1000).alias("ms")))
+    rows = rows.withColumn("_timed", F.when(F.size("_flagged") > 0, F.filter(shaped, lambda s: F.array_contains("_flagged", s["p"]))))
+    total = lambda values: F.when(F.size(values) > 0, F.aggregate(values, F.lit(0.0), lambda a, x: a + x))
+    each = F.transform("_flagged", lambda p: F.round(total(F.transform(F.filter("_timed", lambda s: s["p"] == p), lambda s: s["ms"])), 1))
+    return rows.withColumns({
+        "query_count": F.coalesce(F.size("_asked"), F.lit(0)), "has_n_plus_one": F.size("_flagged") > 0,
+        "n_plus_one_time": F.round(total(F.array_compact(each))).cast("int")}).drop("_asked", "_shapes", "_flagged", "_timed")
 
 
 def breadcrumb_rows(transactions: DataFrame) -> DataFrame:

@@ -188,14 +188,14 @@ def span_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Statements of breadcrumbs by line number, ``{part}`` and ``{qty}`` being the line's own: what looks like a comment in a
-#: literal and like a literal in a comment, several comments, escapes, lists, identifiers with digits, an unfinished literal.
+#: literal and like a literal in a comment, several comments, escapes, lists, identifiers with digits, unfinished literals, one of them with a doubled quote.
 STATEMENTS = (
     "SELECT * FROM parts WHERE name = 'p{part}' AND id = {part}",
     "SELECT 'a /* secret {part} */ b'  , col1 FROM\tt9 WHERE price > -{qty}.50 /* tag: it's {qty} */",
     "/* a=1 */ SELECT 'it''s {part}' /*b=2*/ WHERE id IN ({part}, 2,  3) AND \u0001 < 1.5e3 /* c=3 */",
-    "INSERT INTO \"t1\" VALUES (TRUE, 'x\\'y {part}', \"q1\", 10.0.0.{qty}, me{part}@x.org, http://h/{part}?q=1 , 'open",
+    "INSERT INTO \"t1\" VALUES (TRUE, 'x\\'y {part}', \"q1\", 10.0.0.{qty}, me{part}@x.org, http://h/{part}?q=1 , 'o''pen {part}",
     "SELECT * FROM parts WHERE id IN ({part}, 2, 3) /* app:x */",
-    "SELECT * FROM solid_queue_jobs WHERE id = {part}",
+    "SELECT * FROM solid_queue_jobs WHERE id = {part} AND note = 'cut",
     "  ",
 )
 

@@ -115,7 +115,7 @@ def test_cron():
 @pytest.mark.parametrize(("sql", "normal"), [
     ("SELECT 'a /* secret */ b' /* tag */", "SELECT ? /* tag */"), ("SELECT 1 \u0001 2 /* t */", "SELECT ? \u0001 ? /* t */"), ("/* it's */ SELECT 'x' /* isn't */", "/* it's */ SELECT ? /* isn't */"),
     ("a IN (1, 2) AND b IN ( 'x' , 'y', 3 )", "a IN (?) AND b IN (?)"), ("/*a=1*/ SELECT 'x'  /*b  2*/ WHERE id = 7 /*c=3*/", "/*a=1*/ SELECT ? /*b  2*/ WHERE id = ? /*c=3*/"), ("SELECT 'it''s', 'q\\'z' , col1 FROM t2", "SELECT ?, ? , col1 FROM t2"),
-    ("  SELECT -1.5e-3  ", "SELECT ?"), ("SELECT 'open", "SELECT 'open"), ("", ""), (None, None), ("/* open 5", "/* open ?"),
+    ("  SELECT -1.5e-3  ", "SELECT ?"), ("SELECT 'open", "SELECT 'open"), ("WHERE a = 'secret''x AND b", "WHERE a = ?'x AND b"), ("'''", "?'"), ("'a''b''c 5", "?'c ?"), ("'a''b' AND 'c''", "? AND ?'"), ("'a\\''b", "?b"), ("'a''b\\", "?'b\\"), ("", ""), (None, None), ("/* open 5", "/* open ?"),
 ])
 def test_one_scan_normalises(spark, sql, normal):
     from sparkscope.functions.sql_text import sql_normalize
@@ -126,5 +126,7 @@ def test_one_scan_normalises(spark, sql, normal):
 def test_a_long_literal_is_scanned(spark):
     from sparkscope.functions.sql_text import sql_normalize
 
+    cut = "SELECT '" + "it''s \\' /* " * 200_000
+    assert spark.createDataFrame([(cut,)], "s string").select(sql_normalize(F.col("s"))).first()[0].startswith("SELECT ?'s")
     sql = "SELECT '" + "it''s \\' /* " * 200_000 + "' /* t */"
     assert spark.createDataFrame([(sql,)], "s string").select(sql_normalize(F.col("s"))).first()[0] == "SELECT ? /* t */"
