@@ -13,13 +13,9 @@ import string
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from multiprocessing.pool import ThreadPool
 
 import numpy as np
 import pyarrow as pa
-from pyspark.ml.classification import GBTClassificationModel, GBTClassifier
-from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import IsotonicRegression, IsotonicRegressionModel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,6 +24,8 @@ from .common import cut_lineage, text_bytes, text_slices
 #: Labelled rows of each label that the model is fitted on, and entries of the lexicon.
 FIT_ROWS, LEXICON = 2000, 4000
 SPLIT, HELD_OUT, FOLDS, LEAST_SCORE = 3, 1, 4, 0.7
+#: Trees, their depth and rate, cuts of a feature, rows of a leaf, and what is added to a leaf's curvature.
+ROUNDS, DEPTH, RATE, BINS, LEAST_ROWS, SMOOTH = 60, 3, 0.1, 32, 5, 1.0
 #: Characters of a word's beginning that count as a stem.
 STEMS = range(4, 8)
 #: An entry's least deviation, its least ratio of frequencies (natural logarithm), and the texts that must hold it.
@@ -48,13 +46,82 @@ FEATURES = (
 )
 
 
+@dataclass
+class Trees:
+    """Complete binary trees: a row goes right where its feature exceeds the cut; ``base`` and the leaves add up to the log odds."""
+
+    base: float
+    feature: np.ndarray
+    cut: np.ndarray
+    leaf: np.ndarray
+
+    def probability(self, x: np.ndarray) -> np.ndarray:
+        odds, rows = np.full(len(x), self.base), np.arange(len(x))
+        for feature, cut, leaf in zip(self.feature, self.cut, self.leaf, strict=True):
+            at = np.zeros(len(x), np.int64)
+            for _ in range(DEPTH):
+                at = 2 * at + 1 + (x[rows, feature[at]] > cut[at])
+            odds += leaf[at - (2**DEPTH - 1)]
+        return 1 / (1 + np.exp(-odds))
+
+
 @dataclass
 class Model:
+    """``steps`` are the calibration's probabilities (first row) and what they stand for (second row)."""
+
     lexicon: dict[str, float]
-    trees: GBTClassificationModel | None
-    calibration: IsotonicRegressionModel | None
+    trees: Trees | None
+    steps: np.ndarray | None
     prior: float
 
+    def scores(self, x: np.ndarray) -> np.ndarray:
+        if self.trees is None:
+            return np.full(len(x), self.prior)
+        p = self.trees.probability(x)
+        return np.clip((1 - TIE) * np.interp(p, *self.steps) + TIE * p, 0.0, 1.0)
+
+
+def grow(x: np.ndarray, y: np.ndarray, rounds: int = ROUNDS, rate: float = RATE) -> Trees:
+    """Boost trees on the logistic loss: cuts at quantiles, those of the largest gain, leaves by one Newton step each."""
+    cuts = [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1], method="lower")) for c in x.T]
+    bins = [np.searchsorted(c, v, "left") for c, v in zip(cuts, x.T, strict=True)]
+    base = float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+    inner, odds = 2**DEPTH - 1, np.full(len(y), base)
+    trees = Trees(base, np.zeros((rounds, inner), np.int64), np.full((rounds, inner), np.inf), np.zeros((rounds, inner + 1)))
+    for k in range(rounds):
+        p = 1 / (1 + np.exp(-odds))
+        slope, bend, at = y - p, p * (1 - p), np.zeros(len(y), np.int64)
+        for level in range(DEPTH):
+            first, nodes = 2**level - 1, 2**level
+            best = np.full(nodes, 1e-9)
+            for f, (own, c) in enumerate(zip(bins, cuts, strict=True)):
+                sums = lambda v: np.cumsum(np.bincount((at - first) * (len(c) + 1) + own, v, nodes * (len(c) + 1)).reshape(nodes, -1), axis=1)  # noqa: B023, E731
+                g, h, n = sums(slope), sums(bend), sums(None)
+                gain = lambda g, h: g * g / (h + SMOOTH)
+                won = gain(g[:, :-1], h[:, :-1]) + gain(g[:, -1:] - g[:, :-1], h[:, -1:] - h[:, :-1]) - gain(g[:, -1:], h[:, -1:])
+                won[(n[:, :-1] < LEAST_ROWS) | (n[:, -1:] - n[:, :-1] < LEAST_ROWS)] = 0
+                for node in np.flatnonzero(won.max(axis=1, initial=0) > best):
+                    best[node] = won[node].max()
+                    trees.feature[k, first + node], trees.cut[k, first + node] = f, c[won[node].argmax()]
+            at = 2 * at + 1 + (x[np.arange(len(x)), trees.feature[k][at]] > trees.cut[k][at])
+        leaves = at - inner
+        trees.leaf[k] = rate * np.bincount(leaves, slope, inner + 1) / (np.bincount(leaves, bend, inner + 1) + SMOOTH)
+        odds += trees.leaf[k][leaves]
+    return trees
+
+
+def isotonic(p: np.ndarray, y: np.ndarray, weight: np.ndarray) -> np.ndarray:
+    """The non-decreasing steps of least squares: neighbours that fall are pooled. Probabilities above, values below."""
+    blocks: list[list[float]] = []
+    values, place = np.unique(p, return_inverse=True)
+    for v, total, n in zip(values.tolist(), np.bincount(place, y * weight).tolist(), np.bincount(place, weight).tolist(), strict=True):
+        blocks.append([v, v, total, n])
+        while len(blocks) > 1 and blocks[-2][2] * blocks[-1][3] >= blocks[-1][2] * blocks[-2][3]:
+            _, high, total, n = blocks.pop()
+            blocks[-1][1:] = [high, blocks[-1][2] + total, blocks[-1][3] + n]
+    ends = [(x, t / n) for low, high, t, n in blocks for x in ([low, high] if high > low else [low])]
+    return np.array(ends).T
+
 
 def entries(word: str) -> list[str]:
     """A word as itself, and its beginnings, each followed by a dash."""
@@ -246,32 +313,16 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     if len(counts) < 2:
         return Model({}, None, None, prior)
     by_fold = lexicons(sample)
-    # One part, as the order of sums would decide between splits of equal gain; its size is bounded by ``rows``.
-    seen = _read(sample, by_fold).select(array_to_vector("features").alias("features"), F.col("y").cast("double").alias("y"), "weight", "fold", F.sum("y").over(Window.partitionBy("fold")).alias("toxic"), F.count("*").over(Window.partitionBy("fold")).alias("all"))
-    seen = cut_lineage(seen.repartition(1).sortWithinPartitions("fold", "y", F.hash(vector_to_array("features"))))
-    toxic = {r["fold"]: (r["toxic"], r["all"]) for r in seen.select("fold", "toxic", "all").distinct().collect()}
-    # A fold is judged by trees of the others where those have both labels, else by the trees of all.
-    whole = [sum(x) for x in zip(*toxic.values(), strict=True)]
-    parted = [k for k, (t, n) in sorted(toxic.items()) if 0 < whole[0] - t < whole[1] - n]
-
-    def grow(fold: int | None) -> GBTClassificationModel:
-        rows = seen if fold is None else seen.filter(F.col("fold") != fold)
-        return GBTClassifier(featuresCol="features", labelCol="y", maxDepth=3, maxIter=30, stepSize=0.2, maxBins=32, minInstancesPerNode=5, seed=7).fit(rows)
-
-    with ThreadPool(FOLDS + 1) as pool:
-        trees, *others = pool.map(grow, [None, *parted])
-    judged = [seen.filter(~F.col("fold").isin(parted))] if len(parted) < len(toxic) else []
-    raw = [m.transform(seen.filter(F.col("fold") == k)) for k, m in zip(parted, others, strict=True)] + [trees.transform(x) for x in judged]
-    raw = [x.select(_probability().alias("p"), "y", "weight") for x in raw]
-    all_raw = raw[0]
-    for x in raw[1:]:
-        all_raw = all_raw.unionByName(x)
-    calibration = IsotonicRegression(featuresCol="p", labelCol="y", weightCol="weight", predictionCol="calibrated").fit(all_raw)
-    return Model(by_fold[-1], trees, calibration, prior)
-
-
-def _probability() -> Column:
-    return vector_to_array("probability")[1]
+    # At most ``rows`` short rows for each label, in an order of their own, so that sums don't depend on how they came.
+    seen = sorted((r["fold"], r["y"], r["weight"], r["features"]) for r in _read(sample, by_fold).collect())
+    fold, y, weight = (np.array([r[k] for r in seen], float) for k in range(3))
+    x = np.array([r[3] for r in seen])
+    trees, p = grow(x, y), np.zeros(len(y))
+    for k in np.unique(fold):
+        own, others = fold == k, y[fold != k]
+        # A fold is judged by trees of the others where those have both labels, else by the trees of all.
+        p[own] = (grow(x[~own], others) if 0 < others.sum() < len(others) else trees).probability(x[own])
+    return Model(by_fold[-1], trees, isotonic(p, y, weight), prior)
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text", least_score: float = LEAST_SCORE) -> DataFrame:
@@ -281,11 +332,14 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     whole, in one task each. A null id is not held out. Repeated rows and equal texts get equal scores. An empty table gives an
     empty result. Other columns are ignored, whatever their names.
     """
-    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.lit(-1).alias("fold"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    seen = _read(rows, {-1: model.lexicon}).drop("fold").withColumnRenamed("features", "list")
-    if model.trees is None:
-        judged = seen.withColumn("score", F.lit(float(model.prior)))
-    else:
-        grown = model.trees.transform(seen.withColumn("features", array_to_vector("list"))).withColumn("p", _probability())
-        judged = model.calibration.transform(grown).withColumn("score", F.least(F.greatest(F.col("calibrated") * (1 - TIE) + F.col("p") * TIE, F.lit(0.0)), F.lit(1.0)))
-    return judged.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= least_score).cast("int").alias("predicted"), F.col("list").alias("features"))
+    rows = docs.select(F.col(id_col).alias("id"), held_out(F.col(id_col)).alias("held_out"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+
+    def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        reader = Reader(model.lexicon)
+        for batch in text_slices(batches, "text"):
+            found = [reader.features(t) for t in text_bytes(batch, "text")]
+            yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("held_out"), pa.array(model.scores(np.array(found))), pa.array(found, pa.list_(pa.float64()))], names=["id", "held_out", "score", "features"])
+
+    judged = rows.mapInArrow(judge, f"id {kind}, held_out boolean, score double, features array<double>")
+    return judged.select(F.col("id").alias(id_col), "held_out", "score", (F.col("score") >= least_score).cast("int").alias("predicted"), "features")

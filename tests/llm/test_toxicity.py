@@ -3,6 +3,7 @@
 import random
 import zlib
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,6 +83,30 @@ def test_nulls_empty_long_and_repeated_texts(spark, fitted):
     assert score(spark.createDataFrame([], DOCS), model).count() == 0
 
 
+def test_isotonic_steps_are_the_least_squares():
+    rng = np.random.default_rng(1)
+    p, y, w = rng.random(60).round(1), (rng.random(60) < 0.4).astype(float), rng.integers(1, 4, 60).astype(float)
+    steps = toxicity.isotonic(p, y, w)
+    found = np.interp(p, *steps)
+    assert (np.diff(steps[1]) >= 0).all() and (np.diff(steps[0]) > 0).all()
+    # The mean of every block is that of its rows, and no block could be split at a gain.
+    values = np.unique(p)
+    mean = lambda lo, hi: np.average(y[(p >= lo) & (p <= hi)], weights=w[(p >= lo) & (p <= hi)])
+    for v in values:
+        wanted = max(min(mean(lo, hi) for hi in values if hi >= v) for lo in values if lo <= v)
+        assert found[p == v] == pytest.approx(wanted)
+
+
+def test_trees_learn_what_a_sum_does_not_tell():
+    rng = np.random.default_rng(2)
+    x = rng.random((800, 3))
+    y = ((x[:, 0] > 0.5) != (x[:, 1] > 0.3)).astype(float)
+    p = toxicity.grow(x, y).probability(x)
+    assert ((p > 0.5) == (y > 0)).mean() > 0.97 and (toxicity.grow(x, y).probability(x) == p).all()
+    flat = toxicity.grow(np.zeros((20, 2)), np.arange(20) % 2)
+    assert flat.probability(np.ones((3, 2))) == pytest.approx([0.5] * 3, abs=0.01)
+
+
 @pytest.mark.parametrize(("labels", "share"), [([], 0.0), ([(i, 0) for i in range(9)], 0.0), ([(i, 1) for i in range(9)], 1.0), ([(None, 1), (3, None)], 0.0)])
 def test_nothing_to_learn(spark, labels, share):
     docs = spark.createDataFrame([(i, "a b c", None, None) for i in range(9)], DOCS)
