@@ -23,10 +23,11 @@ def with_transaction(rows: DataFrame, transactions: DataFrame) -> DataFrame:
 
 
 def events_of_transactions(transactions: DataFrame, events: DataFrame, limit: int = 25) -> DataFrame:
-    """Each transaction's newest events."""
-    pairs = _traced(transactions).select(*KEYS, "transaction_id").join(_traced(events).select(*KEYS, F.col("id").alias("event_row"), F.col("timestamp").alias("event_at")), KEYS)
-    span = Window.partitionBy("project_id", "transaction_id").orderBy(F.desc("event_at"), F.desc("event_row"))
-    return pairs.withColumn("position", F.row_number().over(span)).filter(F.col("position") <= limit)
+    """Each transaction's newest events. They are those of its trace, so each trace is cut to its newest ones first, in its
+    tasks before they meet, and a busy trace never joins as a whole."""
+    newest = Window.partitionBy(*KEYS).orderBy(F.desc("event_at"), F.desc("event_row"))
+    few = _traced(events).select(*KEYS, F.col("id").alias("event_row"), F.col("timestamp").alias("event_at")).withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= limit)
+    return _traced(transactions).select(*KEYS, "transaction_id").join(few, KEYS)
 
 
 def log_counts(rows: DataFrame, logs: DataFrame) -> DataFrame:
@@ -47,6 +48,19 @@ def with_project(rows: DataFrame, projects: DataFrame) -> DataFrame:
     return rows.join(projects.select(F.col("id").alias("project_id"), F.col("name").alias("project_name"), F.col("slug").alias("project_slug")), "project_id", "left")
 
 
+def resolve_projects(rows: DataFrame, projects: DataFrame, asked: str = "asked") -> DataFrame:
+    """C14: rows with the ``project_id`` that a text names: by slug, then by name, both case folded, then by id; null where it names
+    none or several. Each of the three is a look-up of its own in a table with a row for each project."""
+    found = rows.withColumn("_asked", F.lower(F.trim(asked)))
+    for n, key in enumerate((F.lower("slug"), F.lower("name"), F.col("id").cast("string"))):
+        named = projects.groupBy(key.alias("_asked")).agg(F.count("*").alias(f"_many{n}"), F.min("id").alias(f"_id{n}"))
+        found = found.join(named, "_asked", "left")
+    told = F.lit(None).cast("int")
+    for n in (2, 1, 0):
+        told = F.when(F.col(f"_many{n}") == 1, F.col(f"_id{n}")).when(F.col(f"_many{n}") > 1, F.lit(None)).otherwise(told)
+    return found.withColumn("project_id", F.when(F.col("_asked") != "", told).cast("int")).drop("_asked", *[f"_{c}{n}" for n in range(3) for c in ("many", "id")])
+
+
 def backfill_trace(rows: DataFrame, sources: DataFrame, key: str = "transaction_id") -> DataFrame:
     """Null trace ids from the first row of another table with the same key; ids that are there stay."""
     first = _traced(sources).groupBy(key).agg(F.min_by("trace_id", "sequence").alias("_trace"))

@@ -571,14 +571,23 @@ def monitor_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("slug", has("missed"), has("error"), has("overrun"), "next_state")
 
 
+_HELD = "CASE (monitor_id + place) % 4 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 2 END"
+
+
 @register("monitor_issues", query(
-    f"""SELECT project_id, concat('monitor:', slug, ':', kind) AS fingerprint, 0 AS status FROM (
-    SELECT *, unnest(['missed', 'error', 'overrun']) AS kind, as_of > last_at + {_DUE} + to_seconds(margin) AS missed FROM monitors, span_of_time)
-    WHERE (kind = 'missed' AND missed) OR (kind = 'error' AND last_event = 'error') OR (kind = 'overrun' AND last_event = 'view' AND as_of > last_at + INTERVAL 30 MINUTE)""", "monitors", "span_of_time"))
+    f"""SELECT project_id, concat('monitor:', slug, ':', kind) AS fingerprint, CASE WHEN fails THEN 0 ELSE 1 END AS status FROM (
+    SELECT *, {_HELD} AS held, bool_or(fails) OVER (PARTITION BY monitor_id) AS failing FROM (
+    SELECT *, unnest([0, 1, 2]) AS place, unnest(['missed', 'error', 'overrun']) AS kind, unnest([missed, last_event = 'error', last_event = 'view' AND as_of > last_at + INTERVAL 30 MINUTE]) AS fails
+    FROM (SELECT *, as_of > last_at + {_DUE} + to_seconds(margin) AS missed FROM monitors, span_of_time)))
+    WHERE (fails AND (held IS NULL OR held = 1)) OR (NOT failing AND monitor_id % 3 < 2 AND held = 0)""", "monitors", "span_of_time"))
 def monitor_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    as_of = views.as_of(spark, sf_dir)
-    none = spark.createDataFrame([], "project_id int, fingerprint string, status int")
-    return monitors.issue_transitions(monitors.verdicts(views.monitors(spark, sf_dir), as_of), none, as_of).select("project_id", "fingerprint", "status")
+    """Issues are held open, resolved, ignored or not at all, and two in three monitors failed when they were last judged."""
+    as_of, m = views.as_of(spark, sf_dir), views.monitors(spark, sf_dir)
+    m = m.withColumn("state", F.when(F.col("monitor_id") % 3 == 0, "missed").when(F.col("monitor_id") % 3 == 1, "error").otherwise("ok"))
+    kinds = F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(k).alias("kind")) for i, k in enumerate(monitors.FAILURES)]))
+    held = (F.col("monitor_id") + F.col("k.place")) % 4
+    stored = m.select("project_id", "slug", "monitor_id", kinds.alias("k")).filter(held > 0).select("project_id", F.concat(F.lit("monitor:"), "slug", F.lit(":"), "k.kind").alias("fingerprint"), (held - 1).cast("int").alias("status"))
+    return monitors.issue_transitions(monitors.verdicts(m, as_of), stored, as_of).select("project_id", "fingerprint", "status")
 
 
 # Ingest

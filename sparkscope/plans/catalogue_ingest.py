@@ -8,14 +8,13 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..api import Engine, Tables
 from ..operators import analytics, issues, log_index, log_search, monitors, retention, rollup, spans, traces
 from ..sources import envelope, payloads, sinks, views
 from ..streaming import keys
 from ..streaming.ingest import Ingest
 from .catalogue import _ANALYSED, _routed, register, sec
 from .oracle import VIEWS, query
-from .window import resolve_window
+from .window import expired
 
 _HOURLY = VIEWS["hourly"].replace("FROM txn", "FROM analysed")
 
@@ -250,20 +249,24 @@ def rows_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
     return analytics.by(views.transactions(spark, sf_dir), environment=None, http_status="404", transaction_name="view").select("id")
 
 
-@register("project_resolution", "SELECT * FROM (VALUES ('PROJECT-2', 2), ('project 3', 3), ('4', 4)) v(asked, project_id)")
+@register("project_resolution", query(
+    "SELECT transaction_id, CASE WHEN id % 7 < 5 THEN project_id END AS project_id FROM txn", "txn"))
 def project_resolution(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C14: a slug, a name and an id."""
-    t = views.transactions(spark, sf_dir)
-    engine = Engine(Tables(t, views.errors(spark, sf_dir), views.logs(spark, sf_dir), views.projects(spark), views.spans(spark, sf_dir), views.monitors(spark, sf_dir)), views.as_of(spark, sf_dir))
-    return spark.createDataFrame([(x, engine.project_id(x)) for x in ("PROJECT-2", "project 3", "4")], "asked string, project_id int")
+    """C14: each request's project by its slug, its name or its id, as someone may write them; some name none."""
+    n, t = F.col("project_id").cast("string"), views.transactions(spark, sf_dir)
+    k = F.col("id") % 7
+    asked = F.when(k == 0, F.concat(F.lit(" PROJECT-"), n)).when(k == 1, F.concat(F.lit("project "), n)).when(k == 2, n).when(k < 5, F.concat(F.lit("Project-"), n)).when(k == 5, " ")
+    rows = t.select("transaction_id", F.when(k == 6, F.concat(F.lit("other-"), n)).otherwise(asked).alias("asked"))
+    return traces.resolve_projects(rows, views.projects(spark)).select("transaction_id", "project_id")
 
 
-@register("raw_expiry", "SELECT hours, hours > 90 * 24 AS expired, hours > 14 * 24 AS logs_expired FROM (VALUES (24), (168), (720), (2400), (9000)) v(hours)")
+@register("raw_expiry", query(
+    "SELECT id, begun_at < as_of - INTERVAL 90 DAY AS expired, begun_at < as_of - INTERVAL 14 DAY AS logs_expired FROM (SELECT id, timestamp - to_days(CAST(id % 120 AS INTEGER)) AS begun_at FROM txn), span_of_time", "txn", "span_of_time"))
 def raw_expiry(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """C20: whether a window begins before raw rows do."""
+    """C20: whether a window of up to 120 days before each request begins before raw rows and logs do."""
     as_of = views.as_of(spark, sf_dir)
-    asked = [(h, resolve_window(as_of, hours=h)) for h in (24, 168, 720, 2400, 9000)]
-    return spark.createDataFrame([(h, w.raw_expired(as_of), w.raw_expired(as_of, "logs")) for h, w in asked], "hours int, expired boolean, logs_expired boolean")
+    begun = views.transactions(spark, sf_dir).select("id", (F.col("timestamp") - F.make_dt_interval((F.col("id") % 120).cast("int"))).alias("begin"))
+    return begun.select("id", expired(F.col("begin"), as_of).alias("expired"), expired(F.col("begin"), as_of, "logs").alias("logs_expired"))
 
 
 @register("log_transactions", query("SELECT logs.id, transaction_id, duration FROM logs LEFT JOIN newest USING (project_id, trace_id)", "logs", "newest"))

@@ -5,6 +5,9 @@ from __future__ import annotations
 from dataclasses import dataclass
 from datetime import datetime, timedelta
 
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
 #: Days that each stream's rows are kept.
 RETENTION_DAYS = {"events": 30, "transactions": 90, "spans": 30, "logs": 14, "histograms": 540}
 HOUR = 3600
@@ -14,6 +17,11 @@ class WindowError(ValueError):
     """A window that can't be answered: inverted, in the future, or wholly expired."""
 
 
+def expired(begin: Column, as_of: datetime, stream: str = "transactions") -> Column:
+    """C20 for a column of windows: whether each begins before the stream's raw rows do."""
+    return begin < F.lit(as_of - timedelta(days=RETENTION_DAYS[stream]))
+
+
 @dataclass(frozen=True)
 class TimeWindow:
     begin: datetime

@@ -13,14 +13,19 @@ _OUT = "project_id int, fingerprint string, alert_at timestamp, rate long"
 _STATE = "minutes array<long>, counts array<long>, alerted_at long"
 
 
-def burst_alerts(events: DataFrame, threshold: int = 1000) -> DataFrame:
+def burst_alerts(events: DataFrame, threshold: int = 1000, delay: str = "1 hour") -> DataFrame:
     """A stream of ``project_id, fingerprint, alert_at, rate`` from events with ``project_id, fingerprint, timestamp``.
 
     The state of an issue is a count for each of the last sixty-one minutes and the time of its last alert: bounded, however
-    many events an issue has. Events are taken in the order of their times within a batch.
+    many events an issue has. It goes once no event for that long is older than the watermark, so that there is state for the
+    issues that are live alone; events more than ``delay`` behind the newest of all then count no more. Events are taken in the
+    order of their times within a batch.
     """
 
     def judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         counts: dict[int, int] = {}
         alerted = -HOUR
         if state.exists:
@@ -41,6 +46,7 @@ def burst_alerts(events: DataFrame, threshold: int = 1000) -> DataFrame:
         newest = max(counts)
         kept = {m: n for m, n in counts.items() if m > newest - 61}
         state.update((list(kept), list(kept.values()), alerted))
+        state.setTimeoutTimestamp((newest + 61) * 60_000)
         yield pd.DataFrame(alerts, columns=["project_id", "fingerprint", "alert_at", "rate"])
 
-    return events.groupBy("project_id", "fingerprint").applyInPandasWithState(judge, _OUT, _STATE, "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("timestamp", delay).groupBy("project_id", "fingerprint").applyInPandasWithState(judge, _OUT, _STATE, "append", GroupStateTimeout.EventTimeTimeout)

@@ -172,3 +172,22 @@ def test_index_gives_what_a_scan_gives(spark, tmp_path):
             assert log_index.search(logs, path, query, within, wanted, 40).select("id").collect() == scan, (query, wanted)
     asked, all_ = log_index.read_bytes(spark, path, "status:3")
     assert 0 < asked < all_ / 5
+
+
+def test_quiet_issues_leave_no_state(spark, tmp_path):
+    from datetime import datetime
+
+    from sparkscope.streaming import bursts
+
+    start = datetime(2024, 1, 1)
+    schema = "project_id int, fingerprint string, timestamp timestamp"
+    batches = [[(1, "a", 0), (1, "a", 1), (1, "b", 2)], [(1, "c", 300)], [(1, "c", 301), (1, "a", 302), (1, "a", 303)], [(1, "c", 900)]]
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(p, f, start + timedelta(minutes=m)) for p, f, m in rows], schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    query = bursts.burst_alerts(stream, 2).writeStream.format("memory").queryName("quiet").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    query.awaitTermination(300)
+    assert sorted((r["fingerprint"], r["alert_at"]) for r in spark.table("quiet").collect()) == [("a", start + timedelta(minutes=1)), ("a", start + timedelta(minutes=303)), ("c", start + timedelta(minutes=301))]
+    held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    # Two of three issues were quiet for too long.
+    assert max(held) == 3 and held[-1] == 1, held
