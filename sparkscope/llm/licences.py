@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -92,14 +93,17 @@ def folded_words(text: bytes) -> list[bytes]:
 
 
 def _phrase_places(words: list[bytes], phrases: dict[bytes, str]) -> list[tuple[int, str]]:
+    """Each place's first word and label, in order; the blanks before a place are counted once for all places of a text."""
     joined = b" " + b" ".join(words) + b" "
-    found = []
+    found, labels = [], []
     for phrase, label in phrases.items():
         at = joined.find(phrase)
         while at >= 0:
-            found.append((joined.count(b" ", 0, at), label))
+            found.append(at)
+            labels.append(label)
             at = joined.find(phrase, at + 1)
-    return sorted(found)
+    blanks = np.flatnonzero(np.frombuffer(joined, np.uint8) == 32) if found else ()
+    return sorted(zip(np.searchsorted(blanks, found).tolist(), labels, strict=True))
 
 
 def token_frequencies(docs: DataFrame, tokens: set[bytes]) -> dict[str, int]:
