@@ -174,10 +174,11 @@ def arc_to_warc(archives: DataFrame, path: str, min_bytes: int = 0, file_bytes:
     last); the others become revisits. Only one row for each digest is aggregated; the records themselves move once.
     """
     records = archives.mapInArrow(_parse_archives, _PARSED)
-    # The digest is the group's key, salted by nothing: a hot payload's partial rows meet as one row for each task, and the
-    # join below lets Spark split a hot digest's records.
-    keep = archives.mapInArrow(_parse_archives, _PARSED).filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.max(F.struct("key", "record_id", "url", "warc_date")).alias("kept"))
-    joined = records.join(keep, "digest", "left")
+    # A hot payload's partial rows meet as one row for each task. What is kept of the digests that occur twice is written, as an
+    # aggregate between shuffle and join would bar Spark from splitting a hot digest's records over tasks.
+    kept = F.max(F.struct("key", "record_id", "url", "warc_date")).alias("kept")
+    keep = archives.mapInArrow(_parse_archives, _PARSED).filter(F.col("payload_bytes") >= min_bytes).groupBy("digest").agg(F.count("*").alias("n"), kept).filter("n > 1").drop("n")
+    joined = records.join(cut_lineage(keep), "digest", "left")
     revisit = (F.col("payload_bytes") >= min_bytes) & F.col("kept.record_id").isNotNull() & (F.col("kept.record_id") != F.col("record_id"))
     line = lambda name, value: F.concat(F.lit(f"{name}: "), value, F.lit("\r\n"))
     block = F.when(revisit, F.col("head")).otherwise(F.concat("head", "payload"))
