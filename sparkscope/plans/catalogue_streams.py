@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gzip
+import time
 import uuid
 import zlib
 
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..operators import rollup
 from ..sources import envelope, sinks, views
-from ..streaming import bursts, delivery, ingest
+from ..streaming import bursts, delivery, ingest, metrics
 from .catalogue import register, sec
 from .oracle import query
 
@@ -97,6 +98,27 @@ def stream_progress(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.createDataFrame([(int(told["rows"]), int(told["behind"]))], "rows long, behind int")
 
 
+@register("stream_metrics", "SELECT CAST(event_id % 3 AS BIGINT) AS batch_id, count(*) AS rows FROM events GROUP BY ALL")
+def stream_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a listener kept of a stream of three files: the rows of each batch."""
+    folder, rows = _folder(spark, "metrics"), views.table(spark, sf_dir, "events").select("event_id")
+    for part in range(3):
+        rows.filter(F.col("event_id") % 3 == part).coalesce(1).write.mode("append").parquet(f"{folder}/in")
+    table, name = metrics.ProgressTable(spark, f"{folder}/progress"), f"metrics_{uuid.uuid4().hex}"
+    spark.streams.addListener(table)
+    try:
+        stream = spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/in")
+        stream.writeStream.queryName(name).format("noop").option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start().awaitTermination()
+        # Spark tells listeners some time after the batch.
+        for _ in range(120):
+            if table.read().count() == 3:
+                break
+            time.sleep(0.5)
+    finally:
+        spark.streams.removeListener(table)
+    return table.read().filter(F.col("name") == name).select("batch_id", "rows")
+
+
 @register("decompressed_bodies", "SELECT doc_id, CASE WHEN doc_id % 5 < 4 THEN sha256(coalesce(text, '')) END AS text_sha256 FROM documents")
 def decompressed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A5: bodies as gzip, zlib, zstd and plain text, and broken ones, which are null."""

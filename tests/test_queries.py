@@ -13,7 +13,7 @@ NAMES = (
     "burst_alert_stream", "live_hours", "stream_progress", "decompressed_bodies", "ingest_rollup", "transaction_export", "check_in_fold", "monitor_crontabs",
     "facet_retirement", "pattern_times", "p95_by_bucket", "endpoint_stats", "span_depth", "sql_normalize", "query_patterns", "event_details",
     "ingest_transactions", "ingest_issues", "ingest_facets", "ingest_releases", "retention_at_rest", "keys_among_stored", "retry_and_bury", "log_search_indexed",
-    "project_resolution", "raw_expiry", "monitor_issues", "transaction_events",
+    "project_resolution", "raw_expiry", "monitor_issues", "transaction_events", "stream_metrics",
 )
 
 

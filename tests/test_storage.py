@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from sparkscope import api
 from sparkscope.operators import issues, log_index, log_search
 from sparkscope.sources import views
-from sparkscope.streaming import delivery, keys
+from sparkscope.streaming import delivery, keys, metrics
 from sparkscope.streaming.ingest import Ingest
 
 SF = "/root/testdata/sf0.001"
@@ -131,6 +131,7 @@ def test_poison_is_found_retried_buried_and_replayed(spark, tmp_path):
     deliver(batch(50, 51), 2)  # the same batch again
     assert sorted((r["v"], r["attempts"]) for r in deliver.table("buried").collect()) == [(3, 3)]
     assert sorted((r["v"], r["attempts"]) for r in deliver.table("waiting").collect()) == [(40, 2)]
+    assert sorted(map(tuple, metrics.ledger(deliver).collect())) == [(0, 2, 2, 0), (1, 3, 3, 0), (2, 2, 1, 1)]
     flaky.bad.clear()
     assert deliver.replay(2) == 1 and deliver.table("buried").count() == 0
     deliver(batch(51, 52), 3)
