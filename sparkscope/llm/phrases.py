@@ -5,15 +5,16 @@ lead to it, and each state gives out its words' sequences of two to five words w
 Whether a sequence can be part of a longer one that occurs as often is told by the same links: it is open to the left where no
 state that links to its own has all of its occurrences. What no shard calls open is compared with the counts of all.
 
-A sequence that is frequent has frequent parts. So words are counted first, then pairs and triples of what was frequent, these
-in a fixed number of buckets by hash: a bucket below the threshold holds nothing frequent, and texts are cut there before they
-enter an automaton. Words that share a bucket cost time and never change a count.
+A sequence that is frequent has frequent parts. So words are counted first, then pairs of what was frequent, in buckets by hash:
+a bucket below the threshold holds nothing frequent. Only the runs of texts that frequent pairs link are kept, and counted in the
+same way by three words and more; the runs are cut by that before they enter an automaton. Sequences that share a bucket cost
+time and never change a count.
 """
 
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,9 +27,9 @@ from .common import cut_lineage, shuffle_partitions, text_bytes, text_slices
 LEAST, MOST_WORDS, TOP, UNKNOWN = 100, 5, 2000, "und"
 #: Words of different segments that one automaton takes, and of one segment that it takes at once.
 SHARD_WORDS, BLOCK_WORDS = 1 << 17, 1 << 12
-#: Buckets of pairs and triples, as powers of two: half as many as words, within these bounds. The bitmap that goes to every
-#: task holds a bit for each, 128 MB at most.
-LEAST_BITS, MOST_BITS = 20, 30
+#: Buckets of sequences, as powers of two: as many as hold half of the threshold each or less, within these bounds. The
+#: bitmaps that go to every task hold a bit for each, 128 MB at most.
+LEAST_BITS, MOST_BITS = 18, 30
 _PART_BITS = 18
 #: Languages up to which their word counts are broadcast.
 SMALL = 100_000
@@ -41,14 +42,19 @@ def words(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).replace(_MARK, b" \xff ").split()
 
 
-def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes]]]:
-    """Words of the texts of one language in a slice of a batch, a mark after each text."""
+def _by_language(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[bytes], np.ndarray | None]]:
+    """Words of the texts of one language in a slice of a batch, a mark after each text; how often each word counts, where the
+    batch says it by ``n``."""
     for batch in text_slices(batches, "text"):
-        texts: dict[str, list[bytes]] = {}
-        for name, text in zip(batch.column("lang").to_pylist(), text_bytes(batch, "text"), strict=True):
-            texts.setdefault(name, []).append(text)
+        texts: dict[str, list[int]] = {}
+        all_ = text_bytes(batch, "text")
+        times = batch.column("n").to_numpy() if "n" in batch.schema.names else None
+        for i, name in enumerate(batch.column("lang").to_pylist()):
+            texts.setdefault(name, []).append(i)
         for name, own in texts.items():
-            yield name, words(b"\n".join(own) + b"\n")
+            found = words(b"\n".join([all_[i] for i in own]) + b"\n")
+            # Texts that come with a number have words between single blanks and no marks.
+            yield name, found, None if times is None else np.repeat(times[own], [all_[i].count(b" ") + 2 for i in own])
 
 
 def _rows(docs: DataFrame, text_col: str, group_col: str) -> DataFrame:
@@ -69,7 +75,7 @@ def word_counts(rows: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([pa.array([name] * len(n), pa.string()), found, pa.array(n, pa.int64())], names=["lang", "word", "n"])
             held.clear()
 
-        for name, found in _by_language(batches):
+        for name, found, _ in _by_language(batches):
             held.setdefault(name, Counter()).update(found)
             if sum(map(len, held.values())) > 200_000:
                 yield from told()
@@ -79,18 +85,18 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
 
 class _Ids(dict):
-    """Hashes of a language's words, 0 for the mark and for words whose bucket is not set."""
+    """Hashes of a language's words, 0 for the mark and, where ``bits`` are given, for words whose bucket is not set."""
 
-    def __init__(self, lang: str, bits: np.ndarray) -> None:
+    def __init__(self, lang: str, bits: np.ndarray | None) -> None:
         super().__init__()
-        self.seed, self.bits, self.last = xxhash.xxh32_intdigest(lang.encode()), bits.tobytes(), len(bits) * 8 - 1
+        self.seed, self.bits, self.last = xxhash.xxh32_intdigest(lang.encode()), bits if bits is None else bits.tobytes(), 0 if bits is None else len(bits) * 8 - 1
 
     def __missing__(self, word: bytes) -> int:
         if len(self) > 500_000:
             self.clear()
         own = xxhash.xxh64_intdigest(word, self.seed) or 1
         at = (own ^ own >> 31) & self.last
-        if word == _MARK or not self.bits[at >> 3] >> (at & 7) & 1:
+        if word == _MARK or (self.bits is not None and not self.bits[at >> 3] >> (at & 7) & 1):
             own = 0
         self[word] = own
         return own
@@ -113,16 +119,19 @@ def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (x ^ (x >> np.uint64(32))) * np.uint64(0xBF58476D1CE4E5B9)
 
 
-def _linked(ids: np.ndarray, pairs: np.ndarray | None, triples: np.ndarray | None) -> tuple[np.ndarray, ...]:
-    """Hashes of neighbouring pairs and triples, and which of them may be frequent by the bitmaps that are there."""
-    two = _mixed(ids[:-1], ids[1:])
-    ok2 = (ids[:-1] != 0) & (ids[1:] != 0)
-    if pairs is not None:
-        ok2 &= _set(pairs, two)
-    three, ok3 = _mixed(two[:-1], ids[2:]), ok2[:-1] & ok2[1:]
-    if triples is not None:
-        ok3 &= _set(triples, three)
-    return two, ok2, three, ok3
+def _linked(ids: np.ndarray, size: int, bits: dict[int, np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the sequences of ``size`` words by their first word, which of them have frequent parts by the bitmaps of shorter
+    ones, and for each word how many words end with it that are frequent, ``size`` at most."""
+    known, mixed = ids != 0, ids
+    reach = known.astype(np.int8)
+    for n in range(2, size + 1):
+        if len(mixed) < 2:
+            return mixed[:0], known[:0], reach
+        mixed, known = _mixed(mixed[:-1], ids[n - 1 :]), known[:-1] & known[1:]
+        if n in bits:
+            known = known & _set(bits[n], mixed)
+        reach[n - 1 :][known] = n
+    return mixed, known, reach
 
 
 def _bitmap(spark: SparkSession, counts: DataFrame, buckets: int) -> np.ndarray:
@@ -150,25 +159,32 @@ def _word_bits(spark: SparkSession, frequent: DataFrame, buckets: int) -> np.nda
     return _bitmap(spark, frequent.select("lang", "word").mapInArrow(place, "bucket long"), buckets)
 
 
-def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, size: int, held: Sequence[np.ndarray]) -> np.ndarray:
-    """The bitmap of pairs (``size`` 2) or triples (3) that may occur ``least`` times, from those of what they consist of."""
-    sent = spark.sparkContext.broadcast(list(held))
+def _ids(held: dict[str, _Ids], name: str, bits: np.ndarray | None) -> _Ids:
+    """A language's hashes, remembered for some languages."""
+    return held.setdefault(name, _Ids(name, bits)) if name in held or len(held) < 64 else _Ids(name, bits)
+
+
+def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, size: int, bits: dict[int, np.ndarray]) -> np.ndarray:
+    """The bitmap of sequences of ``size`` words that may occur ``least`` times, from those of what they consist of."""
+    sent = spark.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, ids, found, waiting = sent.value, {}, [], 0
+        held, found, times, waiting = {}, [], [], 0
 
         def told() -> pa.RecordBatch:
-            at, n = np.unique(np.concatenate(found), return_counts=True)
+            at, place = np.unique(np.concatenate(found), return_inverse=True)
+            n = np.bincount(place, np.concatenate(times) if times else None)
             return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
 
-        for name, own in _by_language(batches):
-            seen = ids.setdefault(name, _Ids(name, bits[0])) if len(ids) < 64 else _Ids(name, bits[0])
-            two, ok2, three, ok3 = _linked(seen.of(own), bits[1] if size > 2 else None, None)
-            found.append(_bucket(two[ok2] if size == 2 else three[ok3], buckets))
+        for name, own, weights in _by_language(batches):
+            mixed, known, _ = _linked(_ids(held, name, sent.value.get(1)).of(own), size, {n: b for n, b in sent.value.items() if 1 < n < size})
+            found.append(_bucket(mixed[known], buckets))
+            if weights is not None:
+                times.append(weights[: len(known)][known])
             waiting += len(found[-1])
-            if waiting > 4_000_000:
+            if waiting > 2_000_000:
                 yield told()
-                found, waiting = [], 0
+                found, times, waiting = [], [], 0
         if waiting:
             yield told()
 
@@ -176,26 +192,59 @@ def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, s
     return _bitmap(spark, counts, buckets)
 
 
-def segments(found: list[bytes], ids: np.ndarray, pairs: np.ndarray | None = None, triples: np.ndarray | None = None, block: int = BLOCK_WORDS, context: int = MOST_WORDS - 1) -> Iterator[tuple[tuple[bytes, ...], int, bool]]:
-    """Runs of words that frequent triples link, how many words at their start are there for what follows only, and whether
-    more of the run follows.
+def segments(found: list[bytes], ids: np.ndarray, most: int, bits: dict[int, np.ndarray], block: int = BLOCK_WORDS) -> Iterator[tuple[tuple[bytes, ...], int, bool, int]]:
+    """Word sequences that hold each frequent one of up to ``most`` words once: their words, how many at their start are there
+    for what follows only, whether more of the run follows, and the place of the first.
 
-    Where a pair is frequent and the triple is not, the pair's second word ends one run and begins the next: each pair is in one.
-    Runs longer than ``block`` are cut, the words before a cut standing once more before what comes after it.
+    A sequence goes on as long as all that ends with its next word, up to ``most`` words, is frequent; else the next one begins
+    with the frequent words before that word. Long ones are cut at ``block`` words, the words before a cut standing once more
+    before what comes after it.
     """
     if len(ids) < 2:
         return
-    _, ok2, _, ok3 = _linked(ids, pairs, triples)
-    joined = np.zeros(len(ok2) + 1, bool)
-    joined[1:-1] = ok3
-    starts, ends = np.flatnonzero(ok2 & ~joined[:-1]), np.flatnonzero(ok2 & ~joined[1:]) + 2
-    for start, end in zip(starts.tolist(), ends.tolist(), strict=True):
-        if end - start <= block:
-            yield tuple(found[start:end]), 0, False
+    reach = _linked(ids, most, bits)[2].astype(np.int64)
+    full = np.minimum(np.concatenate([[0], reach[:-1]]) + 1, most)
+    cuts = np.flatnonzero((reach < full) | (np.arange(len(reach)) == 0))
+    ends = np.append(cuts[1:], len(reach))
+    goes_on = np.append(reach[cuts[1:]] > 1, False)
+    contexts = np.maximum(reach[cuts] - 1, 0)
+    starts = cuts - contexts + (reach[cuts] == 0)
+    some = ends - starts > 1
+    for start, end, context, more in zip(starts[some].tolist(), ends[some].tolist(), contexts[some].tolist(), goes_on[some].tolist(), strict=True):
+        if end - start <= block + context:
+            yield tuple(found[start:end]), context, more, start
             continue
-        for at in range(start, end, block):
-            before = min(context, at - start)
-            yield tuple(found[at - before : min(at + block, end)]), before, at + block < end
+        for at in range(start + context, end, block):
+            before = min(most - 1, at - start)
+            yield tuple(found[at - before : min(at + block, end)]), before, more or at + block < end, at - before
+
+
+def _runs(spark: SparkSession, rows: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
+    """``lang, text, words, n``: the different runs of words that frequent pairs link, and how often each is met."""
+    sent = spark.sparkContext.broadcast(bits)
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Ids] = {}
+        waiting: dict[tuple[str, bytes], int] = {}
+
+        def told() -> pa.RecordBatch:
+            texts = [t for _, t in waiting]
+            return pa.RecordBatch.from_arrays(
+                [pa.array([n for n, _ in waiting], pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([t.count(b" ") + 1 for t in texts], pa.int32()), pa.array(list(waiting.values()), pa.int64())],
+                names=["lang", "text", "words", "n"])
+
+        for name, own, _ in _by_language(batches):
+            for piece, *_ in segments(own, _ids(held, name, sent.value[1]).of(own), 2, {2: sent.value[2]}, len(own)):
+                key = name, b" ".join(piece)
+                waiting[key] = waiting.get(key, 0) + 1
+            if len(waiting) > 200_000:
+                yield told()
+                waiting.clear()
+        if waiting:
+            yield told()
+
+    met = rows.mapInArrow(cut, "lang string, text string, words int, n long")
+    return cut_lineage(met.groupBy("lang", "text", "words").agg(F.sum("n").alias("n")))
 
 
 class Automaton:
@@ -267,11 +316,11 @@ class Automaton:
                 yield words_[end + 1 - size : end + 1], n, size == length[state] and longest[state] < n, right
 
 
-def _phrase_counts(spark: SparkSession, rows: DataFrame, most: int, held: Sequence[np.ndarray], shard_words: int, block: int) -> DataFrame:
-    sent = spark.sparkContext.broadcast(list(held))
+def _phrase_counts(spark: SparkSession, runs: DataFrame, most: int, bits: dict[int, np.ndarray], shard_words: int, block: int) -> DataFrame:
+    sent = spark.sparkContext.broadcast(bits)
 
     def enumerate_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits, ids, size = sent.value, {}, 0
+        held, size = {}, 0
         waiting: dict[str, Counter] = {}
 
         def told() -> Iterator[pa.RecordBatch]:
@@ -286,19 +335,19 @@ def _phrase_counts(spark: SparkSession, rows: DataFrame, most: int, held: Sequen
                     names=["lang", "phrase", "size", "n", "left_open", "right_open"])
             waiting.clear()
 
-        for name, own in _by_language(batches):
-            seen = ids.setdefault(name, _Ids(name, bits[0])) if len(ids) < 64 else _Ids(name, bits[0])
+        for name, own, weights in _by_language(batches):
             counts = waiting.setdefault(name, Counter())
-            for piece in segments(own, seen.of(own), bits[1], bits[2], block, most - 1):
-                counts[piece] += 1
-                if counts[piece] == 1:
-                    size += len(piece[0])
+            for sequence, context, more, at in segments(own, _ids(held, name, None).of(own), most, sent.value, block):
+                before = len(counts)
+                counts[sequence, context, more] += int(weights[at])
+                if len(counts) > before:
+                    size += len(sequence)
                     if size >= shard_words:
                         yield from told()
                         counts, size = waiting.setdefault(name, Counter()), 0
         yield from told()
 
-    shards = rows.mapInArrow(enumerate_shards, "lang string, phrase string, size int, n long, left_open boolean, right_open boolean")
+    shards = runs.select("lang", "text", "n").mapInArrow(enumerate_shards, "lang string, phrase string, size int, n long, left_open boolean, right_open boolean")
     return shards.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"), F.max("left_open").alias("left_open"), F.max("right_open").alias("right_open"))
 
 
@@ -311,6 +360,10 @@ def _part(first: Callable[[Column], Column], size: Callable[[Column], Column]) -
     return F.array_join(F.slice("w", first(F.col("cut")), size(F.col("cut"))), " ")
 
 
+def _buckets(n: int, least: int) -> int:
+    return 1 << min(max((2 * int(n) // least).bit_length(), LEAST_BITS), MOST_BITS)
+
+
 def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang", least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, shard_words: int = SHARD_WORDS, block: int = BLOCK_WORDS) -> DataFrame:
     """``lang, rank, phrase, a, l, r, n, score``: the ``top`` phrases of each language by score.
 
@@ -328,11 +381,15 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     counted = cut_lineage(word_counts(rows).filter((F.col("n") >= least) | F.col("word").isNull()))
     totals, frequent = counted.filter("word IS NULL").select("lang", "n"), counted.filter("word IS NOT NULL")
     whole = totals.agg(F.sum("n")).first()[0] or 0
-    buckets = 1 << min(max(int(whole).bit_length() - 1, LEAST_BITS), MOST_BITS)
-    held = [_word_bits(spark, frequent, buckets)]
-    for size in (2, 3):
-        held.append(_link_bits(spark, rows, least, buckets, size, held))
-    candidates = cut_lineage(_phrase_counts(spark, rows, most, held, shard_words, block).filter(F.col("a") >= least))
+    buckets = _buckets(whole, least)
+    bits = {1: _word_bits(spark, frequent, buckets)}
+    bits[2] = _link_bits(spark, rows, least, buckets, 2, bits)
+    runs = _runs(spark, rows, bits)
+    buckets = _buckets(runs.agg(F.sum(F.col("words") * F.col("n"))).first()[0] or 0, least)
+    bits = {}
+    for size in range(3, most + 1):
+        bits[size] = _link_bits(spark, runs.filter(F.col("words") >= size), least, buckets, size, bits)
+    candidates = cut_lineage(_phrase_counts(spark, runs, most, bits, shard_words, block).filter(F.col("a") >= least))
     known = cut_lineage(frequent.select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(candidates.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))))
 
     # What a shard calls open is part of no longer phrase that occurs as often; the rest meets the longer ones by a word.

@@ -72,13 +72,14 @@ def test_cut_segments_count_each_sequence_once(letters, block):
     found = words(" ".join(letters).encode())
     ids = np.array([0 if w == b"\xff" else w[0] for w in found], np.uint64)
     whole, cut, counts = Automaton(), Automaton(), Counter()
-    for piece in segments(found, ids):
-        whole.add(piece[0], 1, *piece[1:])
+    for sequence, context, more, _ in segments(found, ids, 5, {}):
+        whole.add(sequence, 1, context, more)
     apart: dict[tuple, list] = {}
-    for s, context, more in segments(found, ids, block=block):
-        cut.add(s, 1, context, more)
+    for sequence, context, more, at in segments(found, ids, 5, {}, block):
+        assert tuple(found[at : at + len(sequence)]) == sequence
+        cut.add(sequence, 1, context, more)
         alone = Automaton()
-        alone.add(s, 1, context, more)
+        alone.add(sequence, 1, context, more)
         for p, n, left, right in alone.phrases():
             counts[p] += n
             apart.setdefault(p, []).append((left, right))
@@ -91,6 +92,39 @@ def test_cut_segments_count_each_sequence_once(letters, block):
             assert right or not any(x for _, x in apart[p])
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.sampled_from("abcd,"), min_size=1, max_size=60), st.integers(1, 4), st.integers(1, 20))
+def test_segments_hold_each_frequent_sequence_once(letters, least, block):
+    """With a bitmap for each size that holds just the frequent ones, counts of these are those of all places."""
+    import numpy as np
+
+    from sparkscope.llm import phrases
+
+    found = words(" ".join(letters).encode())
+    ids = np.array([0 if w == b"\xff" else w[0] for w in found], np.uint64)
+    places = {k: [tuple(found[i : i + k]) if b"\xff" not in found[i : i + k] else None for i in range(len(found) - k + 1)] for k in range(2, 6)}
+    frequent = {k: {p for p, n in Counter(places[k]).items() if p and n >= least} for k in places}
+    bits = {}
+    for k in places:
+        mixed, known, _ = phrases._linked(ids, k, dict(bits))
+        flags = np.zeros(1 << 12, np.uint8)
+        flags[[int(phrases._bucket(mixed[i : i + 1], 1 << 12)[0]) for i in range(len(mixed)) if places[k][i] in frequent[k]]] = 1
+        bits[k] = np.packbits(flags, bitorder="little")
+    automaton, apart = Automaton(), {}
+    for sequence, context, more, _ in segments(found, ids, 5, bits, block):
+        automaton.add(sequence, 1, context, more)
+        alone = Automaton()
+        alone.add(sequence, 1, context, more)
+        for p, _, left, right in alone.phrases():
+            apart.setdefault(p, []).append((left, right))
+    for p in [p for k in range(2, 5) for p in frequent[k]]:
+        n = Counter(places[len(p)])[p]
+        assert not any(left for left, _ in apart[p]) or not any(q[1:] == p and Counter(places[len(q)])[q] == n for q in frequent[len(p) + 1])
+        assert not any(right for _, right in apart[p]) or not any(q[:-1] == p and Counter(places[len(q)])[q] == n for q in frequent[len(p) + 1])
+    counts = {p: n for p, n, *_ in automaton.phrases()}
+    assert {p: counts.get(p) for k in frequent for p in frequent[k]} == {p: n for k in places for p, n in Counter(places[k]).items() if p in frequent[k]}
+
+
 @pytest.mark.parametrize(("least", "shard", "block"), [(3, 1 << 17, 1 << 12), (2, 40, 7), (5, 200, 3)])
 def test_as_by_plain_counts(spark, least, shard, block):
     rng = random.Random(least)
