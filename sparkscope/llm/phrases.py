@@ -27,7 +27,7 @@ from .common import cut_lineage, shuffle_partitions, text_bytes, text_slices
 LEAST, MOST_WORDS, TOP, UNKNOWN = 100, 5, 2000, "und"
 #: Words of different segments that one automaton takes, and of one segment that it takes at once.
 SHARD_WORDS, BLOCK_WORDS = 1 << 17, 1 << 12
-#: Buckets of sequences, as powers of two: as many as hold half of the threshold each or less, within these bounds. The
+#: Buckets of sequences, as powers of two: as many as hold an eighth of the threshold each or less, within these bounds. The
 #: bitmaps that go to every task hold a bit for each, 128 MB at most.
 LEAST_BITS, MOST_BITS = 18, 30
 _PART_BITS = 18
@@ -361,7 +361,7 @@ def _part(first: Callable[[Column], Column], size: Callable[[Column], Column]) -
 
 
 def _buckets(n: int, least: int) -> int:
-    return 1 << min(max((2 * int(n) // least).bit_length(), LEAST_BITS), MOST_BITS)
+    return 1 << min(max((8 * int(n) // least).bit_length(), LEAST_BITS), MOST_BITS)
 
 
 def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang", least: int = LEAST, most: int = MOST_WORDS, top: int = TOP, shard_words: int = SHARD_WORDS, block: int = BLOCK_WORDS) -> DataFrame:
