@@ -96,6 +96,7 @@ def fts_match(columns: list[Column], query: str | None) -> Column:
 
 def body_structure(body: Column) -> Column:
     """``duration_ms, statement, tags, message`` of a log body with a database's duration line or trailing comment tags."""
+    # Fixed values of the log format: the trailing comment, its pairs, the duration's line, and the words before a statement.
     text = F.coalesce(body, F.lit(""))
     comment = F.regexp_extract(text, r"(?s)\s*/\*\s*(.+?)\s*\*/\s*$", 1)
     keys, values = (F.regexp_extract_all(comment, F.lit(r"(\w+)='([^']*)'"), F.lit(g)) for g in (1, 2))

@@ -97,7 +97,8 @@ def normal_sql(sql: str) -> str:
 
 
 def pattern_sql(sql: str) -> str:
-    """The shape of a query: comments go, then every value in one pass."""
+    """The shape of a query: comments go, then every value in one pass. The patterns of values are fixed values, and must be the
+    operator's: what the text tests is the order in which they apply."""
     values = "|".join((r"\b(?i:[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12})\b", r"(?i:\b(IN)\s*(\()[^)]+\))", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", r"\b[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}\b", r"https?://\S+", r"'[^']*'", r"\b(?i:TRUE|FALSE)\b", _NUMBER))
     marked = f"regexp_replace(regexp_replace({sql}, {quoted('(?s)' + _COMMENT)}, '', 'g'), {quoted(values)}, '\\1\\2?', 'g')"
     return rf"trim(regexp_replace(regexp_replace({marked}, '(?i)\bIN\(\?', 'IN (?)', 'g'), '\s+', ' ', 'g'))"
