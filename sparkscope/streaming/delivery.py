@@ -1,7 +1,8 @@
 """Delivery (S1): what a batch can't take is found, tried again with later batches, and buried after five retries.
 
-A stream's batch fails as a whole, whatever item is at fault. Then the batch is split by hash, halves of halves in parallel, until
-each failing item stands alone; the rest is processed as one batch. Failed items wait in a table with their attempts and last
+A stream's batch fails as a whole, whatever item is at fault. Where a function judges the items, those that it names are taken out
+first, however many, in one pass over the batch and without the driver. A batch that fails even so is split by hash, halves of
+halves in parallel, until each failing item stands alone; the rest is processed as one batch. Failed items wait in a table with their attempts and last
 error, and join the next batches until they are through or their retries are used up; then they lie in ``buried``, from where
 ``replay`` puts them back. All of it is written per batch, so a batch that runs again after a crash finds and leaves the same.
 """
@@ -18,7 +19,7 @@ from ..sources import sinks
 
 #: Fixed value: retries after the first attempt, before an item is buried.
 RETRIES = 5
-#: Failing items up to which a batch's failure counts as theirs; beyond, as the system's.
+#: Failing items, found by splitting, up to which a batch's failure counts as theirs; beyond, as the system's.
 MOST_FAILING = 1000
 _DEPTH = 62
 
@@ -28,14 +29,15 @@ class SystemFailure(RuntimeError):
 
 
 class Delivery:
-    """A ``foreachBatch`` function around ``process(rows, batch_id)``; ``check(rows)`` reads the same without writing.
+    """A ``foreachBatch`` function around ``process(rows, batch_id)``; ``check(rows)`` reads the same without writing, and
+    ``judge(rows)``, where there is one, gives the rows that can't be taken with why as ``error`` (null: the row can be taken).
 
-    Tables below ``root``: ``work`` (the rows of each batch, new ones and those tried again, with ``item`` and ``attempts``),
+    Tables below ``root``: ``judged`` (items that ``judge`` named, with ``error``), ``work`` (the rows of each batch, new ones and those tried again, with ``item`` and ``attempts``),
     ``waiting`` and ``buried`` (the rows of items that failed, with ``attempts`` and ``error``), ``replayed``.
     """
 
-    def __init__(self, spark: SparkSession, root: str, process: Callable[[DataFrame, int], None], check: Callable[[DataFrame], None], retries: int = RETRIES, parallel: int = 8) -> None:
-        self.spark, self.root, self.process, self.check, self.retries, self.parallel = spark, root, process, check, retries, parallel
+    def __init__(self, spark: SparkSession, root: str, process: Callable[[DataFrame, int], None], check: Callable[[DataFrame], None], retries: int = RETRIES, parallel: int = 8, judge: Callable[[DataFrame], DataFrame] | None = None) -> None:
+        self.spark, self.root, self.process, self.check, self.retries, self.parallel, self.judge = spark, root, process, check, retries, parallel, judge
 
     def _path(self, table: str, batch_id: int) -> str:
         return f"{self.root}/{table}/batch_id={batch_id}"
@@ -53,13 +55,25 @@ class Delivery:
                 work = work.unionByName(again.select(*columns, "item", "attempts"))
         work.write.mode("overwrite").parquet(self._path("work", batch_id))
         work = self.spark.read.parquet(self._path("work", batch_id))
-        failed = self._attempt(work, columns, batch_id)
-        ledger = self.spark.createDataFrame(list(failed.items()), "item string, error string")  # at most MOST_FAILING rows
-        lost = work.join(F.broadcast(ledger), "item").withColumn("attempts", F.col("attempts") + 1)
+        judged, sound = self._judged(work, batch_id)
+        failed = self._attempt(sound, columns, batch_id)
+        lost = work.join(F.broadcast(self.spark.createDataFrame(list(failed.items()), "item string, error string")), "item")  # at most MOST_FAILING rows
+        lost = lost if judged is None else lost.unionByName(work.join(judged, "item"))
+        lost = lost.withColumn("attempts", F.col("attempts") + 1)
         over = F.col("attempts") > self.retries
         lost.filter(over).write.mode("overwrite").parquet(self._path("buried", batch_id))
         lost.filter(~over).write.mode("overwrite").parquet(self._path("waiting", batch_id))
 
+    def _judged(self, work: DataFrame, batch_id: int) -> tuple[DataFrame | None, DataFrame]:
+        """The items that are judged to fail with their errors, and the rows of all others."""
+        if self.judge is None:
+            return None, work
+        # An item is all rows of one content: it fails with any of them.
+        named = self.judge(work).filter(F.col("error").isNotNull()).groupBy("item").agg(F.substring(F.min("error"), 1, 1000).alias("error"))
+        named.write.mode("overwrite").parquet(self._path("judged", batch_id))
+        judged = self.spark.read.parquet(self._path("judged", batch_id))
+        return judged, work.join(judged, "item", "left_anti")
+
     def _attempt(self, work: DataFrame, columns: list[str], batch_id: int) -> dict[str, str]:
         """Process what can be; the failed items with their errors."""
         try:

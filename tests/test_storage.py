@@ -139,6 +139,34 @@ def test_poison_is_found_retried_buried_and_replayed(spark, tmp_path):
     assert sorted(stored) == list(range(52)) and deliver.table("waiting").count() == deliver.table("buried").count() == 0
 
 
+def test_judged_items_are_any_number_and_are_not_searched_for(spark, tmp_path):
+    tried, broken = [], F.col("v") % 3 == 0
+
+    def check(rows):
+        tried.append("check")
+        rows.select(F.when(broken, F.raise_error(F.lit("unreadable"))).otherwise(F.lit(1))).write.format("noop").mode("overwrite").save()
+
+    def process(rows, batch_id):
+        tried.append("process")
+        rows.withColumn("read", F.when(broken, F.raise_error(F.lit("unreadable"))).otherwise(F.lit(1))).write.mode("overwrite").parquet(f"{tmp_path}/out/batch_id={batch_id}")
+
+    deliver = delivery.Delivery(spark, str(tmp_path / "d"), process, check, retries=1, judge=lambda rows: rows.withColumn("error", F.when(broken, "unreadable")))
+    deliver(spark.range(6000).select(F.col("id").alias("v")), 0)
+    # Twice as many as splitting may find, in one attempt.
+    assert tried == ["process"] and deliver.table("waiting").count() == 2000 and spark.read.parquet(f"{tmp_path}/out").count() == 4000
+    deliver(spark.range(6000, 6003).select(F.col("id").alias("v")), 1)
+    assert (deliver.table("buried").count(), deliver.table("waiting").count(), tried) == (2000, 1, ["process", "process"])
+
+
+def test_what_is_not_judged_is_found_by_splitting(spark, tmp_path):
+    flaky = Flaky(spark, str(tmp_path / "out"), {3, 17})
+    deliver = delivery.Delivery(spark, str(tmp_path / "d"), flaky.process, flaky.check, judge=lambda rows: rows.withColumn("error", F.when(F.col("v") == 3, "judged")))
+    deliver(spark.range(30).select(F.col("id").alias("v")), 0)
+    told = {r["v"]: r["error"] for r in deliver.table("waiting").collect()}
+    assert set(told) == {3, 17} and told[3] == "judged" and "unreadable" in told[17]
+    assert spark.read.parquet(flaky.out).count() == 28
+
+
 def test_a_failure_of_the_system_is_no_items(spark, tmp_path):
     flaky = Flaky(spark, str(tmp_path / "out"), set(), broken=1)
     deliver = delivery.Delivery(spark, str(tmp_path / "d"), flaky.process, flaky.check)
