@@ -130,3 +130,19 @@ def test_a_long_literal_is_scanned(spark):
     assert spark.createDataFrame([(cut,)], "s string").select(sql_normalize(F.col("s"))).first()[0].startswith("SELECT ?'s")
     sql = "SELECT '" + "it''s \\' /* " * 200_000 + "' /* t */"
     assert spark.createDataFrame([(sql,)], "s string").select(sql_normalize(F.col("s"))).first()[0] == "SELECT ? /* t */"
+
+
+@pytest.mark.parametrize("name, most", [("sql_pattern", 1), ("sql_normalize", 2)])
+def test_a_text_is_computed_once_for_each_scan(spark, name, most):
+    from sparkscope.functions import sql_text
+
+    plan = spark.range(1).select(getattr(sql_text, name)(F.concat(F.lit("marker"), F.col("id").cast("string"))).alias("x"))._jdf.queryExecution().analyzed().toString()
+    assert 1 <= plan.count("marker") <= most
+
+
+def test_values_of_a_query_in_one_scan(spark):
+    from sparkscope.functions.sql_text import sql_pattern
+
+    asked = {"a@b.co TRUE -5 x1 1.2.3.4": "? ? ? x1 ?", "IN (1, 2) in(?)": "IN (?) IN (?)", "http://h/1?q=2  'x'\n\n7": "? ? ?", "%a-b@ 12": "%a-b@ ?", "a /* 1 */ b": "a b"}
+    rows = spark.createDataFrame([(k,) for k in asked], "s string")
+    assert {r["s"]: r["p"] for r in rows.select("s", sql_pattern(F.col("s")).alias("p")).collect()} == asked
