@@ -220,3 +220,18 @@ def test_quiet_issues_leave_no_state(spark, tmp_path):
     held = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
     # Two of three issues were quiet for too long.
     assert max(held) == 3 and held[-1] == 1, held
+
+
+def test_only_items_of_repeated_keys_move(spark, tmp_path, monkeypatch):
+    from sparkscope.streaming import ingest
+
+    pipeline = Ingest(spark, str(tmp_path / "t"))
+    rows = [(1, "a", 0), (1, "b", 1), (2, "a", 2), (None, "a", 3), (None, "a", 4), (1, "b", 5), (2, "c", 6)]
+    items = spark.createDataFrame(rows, "project_id int, event_id string, item_index int")
+    single = items.filter("item_index IN (0, 2, 3)")
+    assert pipeline._once(single) is single
+    for few in (100, 1):
+        monkeypatch.setattr(ingest, "FEW_KEYS", few)
+        once = pipeline._once(items).select("project_id", "event_id", "item_index").collect()
+        assert sorted((str(r["project_id"]), r["event_id"]) for r in once) == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "c"), ("None", "a")]
+        assert {r["item_index"] for r in once} <= {r[2] for r in rows}
