@@ -235,3 +235,11 @@ def test_only_items_of_repeated_keys_move(spark, tmp_path, monkeypatch):
         once = pipeline._once(items).select("project_id", "event_id", "item_index").collect()
         assert sorted((str(r["project_id"]), r["event_id"]) for r in once) == [("1", "a"), ("1", "b"), ("2", "a"), ("2", "c"), ("None", "a")]
         assert {r["item_index"] for r in once} <= {r[2] for r in rows}
+
+
+def test_envelopes_are_spread_over_tasks(spark, monkeypatch):
+    rows = views.envelopes(spark, SF)
+    n = rows.count()
+    assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+    monkeypatch.setattr(views, "PART_ROWS", n // 20)
+    assert views.envelopes(spark, SF).rdd.getNumPartitions() >= 20
