@@ -1,13 +1,14 @@
 """Phrase collocations: repeated word sequences, scored by how little chance explains them.
 
-Shards of texts become generalised suffix automata over words. A state's occurrences are those of the states whose suffix links
-lead to it, and each state gives out its words' sequences of two to five words with their count; counts add up over shards.
-Whether a sequence can be part of a longer one that occurs as often is told by the same links: it is open to the left where no
-state that links to its own has all of its occurrences. What no shard calls open is compared with the counts of all.
+At each place of the texts the longest frequent sequence of up to five words that ends there is taken. Equal ones are counted,
+and those that end with the same two words meet in a generalised suffix automaton over words. A state's occurrences are those of
+the states whose suffix links lead to it, and each state gives out its words' sequences of two to five words with their count:
+one row for each, however many tasks there are. Whether a sequence is part of a longer one that occurs as often is told by the
+counts of all.
 
 A sequence that is frequent has frequent parts. So words are counted first, then pairs of what was frequent, in buckets by hash:
 a bucket below the threshold holds nothing frequent. Only the runs of texts that frequent pairs link are kept, and counted in the
-same way by three words and more; the runs are cut by that before they enter an automaton. Sequences that share a bucket cost
+same way by three words and more; what ends at a place is cut by that before it enters an automaton. Sequences that share a bucket cost
 time and never change a count.
 """
 
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from .common import cut_lineage, shuffle_partitions, text_bytes, text_slices
 
 LEAST, MOST_WORDS, TOP, UNKNOWN = 100, 5, 2000, "und"
-#: Words of different segments that one automaton takes, and of one segment that it takes at once.
+#: Words of different sequences that one shard's automata take, and places that are given out at once.
 SHARD_WORDS, BLOCK_WORDS = 1 << 17, 1 << 12
 #: Buckets of sequences, as powers of two: as many as hold an eighth of the threshold each or less, within these bounds. The
 #: bitmaps that go to every task hold a bit for each, 128 MB at most.
@@ -316,39 +317,59 @@ class Automaton:
                 yield words_[end + 1 - size : end + 1], n, size == length[state] and longest[state] < n, right
 
 
-def _phrase_counts(spark: SparkSession, runs: DataFrame, most: int, bits: dict[int, np.ndarray], shard_words: int, block: int) -> DataFrame:
+def _ends(spark: SparkSession, runs: DataFrame, most: int, bits: dict[int, np.ndarray], block: int) -> DataFrame:
+    """``lang, text, n``: the longest frequent sequence that ends at each place of the runs, and how often it does.
+
+    A row for each place, not for each sequence and task, so that rows grow with the runs' words at most.
+    """
     sent = spark.sparkContext.broadcast(bits)
 
+    def longest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, _Ids] = {}
+        for name, own, weights in _by_language(batches):
+            reach = _linked(_ids(held, name, None).of(own), most, sent.value)[2]
+            places = np.flatnonzero(reach > 1)
+            for at in range(0, len(places), block):
+                last = places[at : at + block]
+                sizes = reach[last].tolist()
+                texts = [b" ".join(own[end - size : end]) for end, size in zip((last + 1).tolist(), sizes, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(weights[last])], names=["lang", "text", "n"])
+
+    met = runs.select("lang", "text", "n").mapInArrow(longest, "lang string, text string, n long")
+    return met.groupBy("lang", "text").agg(F.sum("n").alias("n"))
+
+
+def _shard_counts(spark: SparkSession, runs: DataFrame, most: int, bits: dict[int, np.ndarray], shard_words: int, block: int) -> DataFrame:
+    """``lang, phrase, size, n``: what ends alike meets in one automaton, so a sequence is given out once, or once more
+    where its endings fill several shards."""
+
     def enumerate_shards(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = {}, 0
-        waiting: dict[str, Counter] = {}
+        waiting: dict[str, Automaton] = {}
+        size = 0
 
         def told() -> Iterator[pa.RecordBatch]:
-            for name, own in waiting.items():
-                automaton = Automaton()
-                for (sequence, context, more), weight in own.items():
-                    automaton.add(sequence, weight, context, more)
+            for name, automaton in waiting.items():
                 out = list(automaton.phrases(most))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([name] * len(out), pa.string()), pa.array([b" ".join(p) for p, *_ in out], pa.binary()).cast(pa.string()), pa.array([len(p) for p, *_ in out], pa.int32()),
-                     pa.array([n for _, n, *_ in out], pa.int64()), pa.array([x[2] for x in out], pa.bool_()), pa.array([x[3] for x in out], pa.bool_())],
-                    names=["lang", "phrase", "size", "n", "left_open", "right_open"])
+                     pa.array([n for _, n, *_ in out], pa.int64())],
+                    names=["lang", "phrase", "size", "n"])
             waiting.clear()
 
-        for name, own, weights in _by_language(batches):
-            counts = waiting.setdefault(name, Counter())
-            for sequence, context, more, at in segments(own, _ids(held, name, None).of(own), most, sent.value, block):
-                before = len(counts)
-                counts[sequence, context, more] += int(weights[at])
-                if len(counts) > before:
-                    size += len(sequence)
-                    if size >= shard_words:
-                        yield from told()
-                        counts, size = waiting.setdefault(name, Counter()), 0
+        for batch in batches:
+            for name, text, n in zip(batch.column("lang").to_pylist(), text_bytes(batch, "text"), batch.column("n").to_pylist(), strict=True):
+                sequence = tuple(text.split(b" "))
+                # Counted at its end alone: suffix links hand its count to all that end there.
+                waiting.setdefault(name, Automaton()).add(sequence, n, len(sequence) - 1, True)
+                size += len(sequence)
+                if size >= shard_words:
+                    yield from told()
+                    size = 0
         yield from told()
 
-    shards = runs.select("lang", "text", "n").mapInArrow(enumerate_shards, "lang string, phrase string, size int, n long, left_open boolean, right_open boolean")
-    return shards.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a"), F.max("left_open").alias("left_open"), F.max("right_open").alias("right_open"))
+    alike = F.substring_index("text", " ", -2)
+    ends = _ends(spark, runs, most, bits, block).select("lang", alike.alias("end"), "text", "n").repartition("lang", "end").sortWithinPartitions("lang", "end")
+    return ends.select("lang", "text", "n").mapInArrow(enumerate_shards, "lang string, phrase string, size int, n long")
 
 
 def _bounded(df: DataFrame, most: int = SMALL) -> DataFrame:
@@ -389,14 +410,14 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     bits = {}
     for size in range(3, most + 1):
         bits[size] = _link_bits(spark, runs.filter(F.col("words") >= size), least, buckets, size, bits)
-    candidates = cut_lineage(_phrase_counts(spark, runs, most, bits, shard_words, block).filter(F.col("a") >= least))
+    shards = _shard_counts(spark, runs, most, bits, shard_words, block)
+    candidates = cut_lineage(shards.groupBy("lang", "phrase", "size").agg(F.sum("n").alias("a")).filter(F.col("a") >= least))
     known = cut_lineage(frequent.select("lang", F.col("word").alias("part"), F.col("n").alias("f")).unionByName(candidates.select("lang", F.col("phrase").alias("part"), F.col("a").alias("f"))))
 
-    # What a shard calls open is part of no longer phrase that occurs as often; the rest meets the longer ones by a word.
+    # Counts are those of all texts here: each candidate meets the longer ones by a word on either side.
     shorter = F.expr("explode(array(substring_index(phrase, ' ', 1 - size), substring_index(phrase, ' ', size - 1)))")
     longer = candidates.filter("size > 2").select("lang", shorter.alias("phrase"), "a").groupBy("lang", "phrase").agg(F.max("a").alias("held_by"))
-    closed = ~(F.col("left_open") & F.col("right_open")) & (F.col("size") < most)
-    within = candidates.filter(closed).join(cut_lineage(longer), ["lang", "phrase"]).filter("held_by >= a").select("lang", "phrase")
+    within = candidates.filter(F.col("size") < most).join(cut_lineage(longer), ["lang", "phrase"]).filter("held_by >= a").select("lang", "phrase")
     kept = candidates.join(within, ["lang", "phrase"], "left_anti")
 
     # Both sides of the joins are written or plain, so that Spark can split the part that begins or ends a third of all phrases.

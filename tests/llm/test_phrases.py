@@ -154,3 +154,15 @@ def test_other_columns_are_ignored_and_an_empty_table_is_empty(spark):
         docs = docs.withColumn(name, F.lit("clash"))
     assert results(collocations(docs, least=3)) == brute(rows, 3) == [("en", 1, "one two three", 5, 5, 5, 15, 3000)]
     assert results(collocations(spark.createDataFrame([], SCHEMA))) == []
+
+
+def test_a_sequence_is_given_out_once_however_many_tasks_meet_it(spark):
+    """The rows of the automata grow with the different sequences, not with these times the tasks."""
+    from sparkscope.llm import phrases
+
+    rng = random.Random(3)
+    rows = [("en", " ".join(rng.choice("abcdef") for _ in range(8)), 8, 1) for _ in range(400)]
+    runs = spark.createDataFrame(rows, "lang string, text string, words int, n long").repartition(16)
+    found = phrases._shard_counts(spark, runs, 5, {}, 1 << 17, 1 << 12).collect()
+    counts = Counter(tuple(t.split()[i : i + k]) for _, t, *_ in rows for k in range(2, 6) for i in range(9 - k))
+    assert len(found) == len(counts) and {tuple(r["phrase"].split()): r["n"] for r in found} == counts
