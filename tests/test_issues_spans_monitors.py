@@ -167,3 +167,11 @@ def test_log_search_is_newest_first_and_clamped(spark):
 @pytest.mark.parametrize("name", ["endpoint_impact", "issue_grouping", "log_search", "monitor_verdicts", "ingest_events"])
 def test_registered_queries_have_rows_and_sql(spark, name):
     assert name in catalogue.SQL and catalogue.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_waterfall_reads_the_spans_once_and_keeps_spans_without_a_transaction(spark):
+    rows = spark.createDataFrame([(1, 0, 50), (1, 100, 100), (2, 7, 0), (None, 5, 10)], "transaction_id long, start_ms long, duration_ms long")
+    found = spans.with_waterfall(rows)
+    assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
+    got = {(r["transaction_id"], r["start_ms"]): (r["offset_pct"], r["width_pct"]) for r in found.collect()}
+    assert got == {(1, 0): (0.0, 25.0), (1, 100): (50.0, 50.0), (2, 7): (0.0, 0.25), (None, 5): (0.0, 100.0)}
