@@ -5,10 +5,10 @@ from __future__ import annotations
 import gzip
 import json
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 IGNORED_TYPES = ("session", "sessions", "client_report", "statsd", "metric_buckets", "replay_event", "replay_recording", "profile", "profile_chunk")
 HOUSEKEEPING = ("SolidCable::", "ActiveStorage::")
 CHUNK_BYTES = 1_000_000
+#: Rows whose values a Python worker holds at once.
+SLICE_ROWS = 32
 _ITEM = "item_index: int, item_type: string, item_headers: string, payload: string, envelope_headers: string, error: string"
 
 
@@ -116,10 +118,19 @@ def decompress(bodies: Column) -> Column:
         except (OSError, EOFError, ValueError, zlib.error):
             return None
 
-    def each(batch: pd.Series) -> pd.Series:
-        return batch.map(one)
+    return by_slices(one, pa.binary(), pa.string())(bodies)
 
-    return F.pandas_udf(each, "string")(bodies)
+
+def by_slices(one: Callable, *types: pa.DataType) -> Callable[..., Column]:
+    """A column function of a row's values, with the result's type last: a batch is taken some rows at a time, so that values
+    are Python objects for these alone."""
+
+    def each(*columns: pa.Array) -> pa.Array:
+        columns = [c.cast(t) for c, t in zip(columns, types, strict=False)]
+        slices = (zip(*(c.slice(at, SLICE_ROWS).to_pylist() for c in columns), strict=True) for at in range(0, len(columns[0]), SLICE_ROWS))
+        return pa.concat_arrays([pa.array([one(*values) for values in rows], types[-1]) for rows in slices] or [pa.array([], types[-1])])
+
+    return lambda *columns: F.arrow_udf(each, {pa.string(): "string", pa.binary(): "binary"}[types[-1]], F.ArrowUDFType.SCALAR)(*columns)
 
 
 def route(items: DataFrame, store_events: bool = True, store_transactions: bool = True, store_logs: bool = False) -> DataFrame:
