@@ -7,6 +7,11 @@ logs themselves are read for what is found only. ``search_logs`` scans and gives
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import accumulate
+
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -19,25 +24,63 @@ BUCKETS = 64
 #: Postings up to which the rarest token's are broadcast.
 SMALL = 100_000
 FIELDS = ("body", "attrs_text")
+#: Texts whose tokens a Python worker holds at once.
+SLICE_ROWS = 32
+_PLACES = pa.list_(pa.int32())
 
 
 def _bucket(token: str | None = None):
     return F.pmod(F.xxhash64("token" if token is None else F.lit(token)), F.lit(BUCKETS)).cast("int")
 
 
+def _placed(texts: DataFrame) -> DataFrame:
+    """``bucket, id, timestamp, field, tokens, starts, positions`` of normal texts: one row for what a text has in a bucket, its
+    tokens between blanks, the places of all of them, and where among these each token's start, the end being the last start.
+
+    A text's tokens are grouped where the text is, as no other row has any of them.
+    """
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, SLICE_ROWS):
+                part = batch.slice(start, SLICE_ROWS)
+                at, buckets, tokens, starts, positions = [], [], [], [], []
+                for i, text in enumerate(part.column("text").to_pylist()):
+                    places: dict[str, list[int]] = {}
+                    for position, token in enumerate(text.split(" ")):
+                        places.setdefault(token, []).append(position)
+                    own: dict[int, list[str]] = {}
+                    for token in places:
+                        own.setdefault(xxhash.xxh64_intdigest(token.encode(), 42) % BUCKETS, []).append(token)
+                    at += [i] * len(own)
+                    buckets += own
+                    for held in own.values():
+                        tokens.append(" ".join(held))
+                        starts.append(list(accumulate((len(places[t]) for t in held), initial=1)))
+                        positions.append([p for t in held for p in places[t]])
+                kept = part.select(["id", "timestamp", "field"]).take(pa.array(at, pa.int32()))
+                yield pa.RecordBatch.from_arrays([pa.array(buckets, pa.int32()), *kept.columns, pa.array(tokens, pa.string()), pa.array(starts, _PLACES), pa.array(positions, _PLACES)], names=["bucket", "id", "timestamp", "field", "tokens", "starts", "positions"])
+
+    kept = ", ".join(f"{name} {texts.schema[name].dataType.simpleString()}" for name in ("id", "timestamp", "field"))
+    return texts.mapInArrow(place, f"bucket int, {kept}, tokens string, starts array<int>, positions array<int>")
+
+
 def postings(logs: DataFrame) -> DataFrame:
-    """``bucket, token, id, timestamp, field, positions`` of logs with ``id, timestamp`` and any of the searched columns."""
+    """``bucket, id, timestamp, field, tokens, starts, positions`` of logs with ``id, timestamp`` and any of the searched columns."""
     fields = F.array(*[F.struct(F.lit(i).alias("field"), F.trim(fts_text(F.col(c))).alias("text")) for i, c in enumerate(FIELDS) if c in logs.columns])
     texts = logs.select("id", "timestamp", F.explode(fields).alias("f")).select("id", "timestamp", "f.field", F.col("f.text").alias("text")).filter("text != ''")
-    tokens = texts.select("id", "timestamp", "field", F.posexplode(F.split("text", " ")).alias("position", "token"))
-    # The rows of a group are one token's places in one text.
-    placed = tokens.groupBy("token", "id", "timestamp", "field").agg(F.sort_array(F.collect_list("position")).alias("positions"))
-    return placed.withColumn("bucket", _bucket())
+    return _placed(texts)
 
 
 def write(logs: DataFrame, path: str, mode: str = "append") -> None:
-    """Add logs to the index at ``path``; files of a bucket are sorted by token, and those of a frequent token are several."""
-    postings(logs).hint("rebalance", "bucket").sortWithinPartitions("bucket", "token", "id").write.mode(mode).partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(path)
+    """Add logs to the index at ``path``; files of a bucket are sorted by token, and those of a frequent token are several.
+
+    What moves is a row for each text and bucket; these become rows of tokens where they are written.
+    """
+    start = lambda i: F.get("starts", i)
+    each = F.transform(F.split("tokens", " "), lambda t, i: F.struct(t.alias("token"), F.slice("positions", start(i), start(i + 1) - start(i)).alias("positions")))
+    rows = postings(logs).hint("rebalance", "bucket").select("bucket", "id", "timestamp", "field", F.inline(each)).select("token", "id", "timestamp", "field", "positions", "bucket")
+    rows.sortWithinPartitions("bucket", "token", "id").write.mode(mode).partitionBy("bucket").option("parquet.block.size", 8 << 20).parquet(path)
 
 
 def _of(spark: SparkSession, path: str, tokens: list[str]) -> DataFrame:

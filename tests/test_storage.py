@@ -243,3 +243,29 @@ def test_envelopes_are_spread_over_tasks(spark, monkeypatch):
     assert rows.rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
     monkeypatch.setattr(views, "PART_ROWS", n // 20)
     assert views.envelopes(spark, SF).rdd.getNumPartitions() >= 20
+
+
+def test_bodies_are_decompressed_some_rows_at_a_time(spark, monkeypatch):
+    """A batch's values are never Python objects all at once."""
+    import gzip
+
+    from sparkscope.sources import envelope
+
+    monkeypatch.setattr(envelope, "SLICE_ROWS", 3)
+    bodies = [None, b"", b"plain", gzip.compress(b"zipped"), gzip.compress(b"cut")[:-9], "é".encode(), b"\xff\xfe"] * 3
+    rows = spark.createDataFrame([(i, b) for i, b in enumerate(bodies)], "i long, b binary").coalesce(1)
+    found = rows.select("i", envelope.decompress(F.col("b")).alias("text"))
+    assert "pandas" not in envelope.__dict__ and envelope.by_slices
+    assert [r["text"] for r in found.orderBy("i").collect()] == [None, "", "plain", "zipped", None, "é", None] * 3
+
+
+def test_postings_move_once(spark):
+    """A text's tokens are grouped where the text is: only what is written moves, a row for each text and bucket."""
+    logs = spark.createDataFrame([(1, 5, "a b a c", "b x"), (2, 6, None, "a")], "id long, at long, body string, attrs_text string").select("id", F.timestamp_seconds("at").alias("timestamp"), "body", "attrs_text")
+    found = log_index.postings(logs)
+    assert "Aggregate" not in found._jdf.queryExecution().optimizedPlan().toString()
+    places = {}
+    for r in found.collect():
+        for i, token in enumerate(r["tokens"].split(" ")):
+            places[r["id"], r["field"], token] = r["positions"][r["starts"][i] - 1 : r["starts"][i + 1] - 1]
+    assert places == {(1, 0, "a"): [0, 2], (1, 0, "b"): [1], (1, 0, "c"): [3], (1, 1, "b"): [0], (1, 1, "x"): [1], (2, 1, "a"): [0]}
