@@ -175,3 +175,12 @@ def test_waterfall_reads_the_spans_once_and_keeps_spans_without_a_transaction(sp
     assert "Join" not in found._jdf.queryExecution().optimizedPlan().toString()
     got = {(r["transaction_id"], r["start_ms"]): (r["offset_pct"], r["width_pct"]) for r in found.collect()}
     assert got == {(1, 0): (0.0, 25.0), (1, 100): (50.0, 50.0), (2, 7): (0.0, 0.25), (None, 5): (0.0, 100.0)}
+
+
+def test_queries_are_gathered_once_in_parts_that_do_not_grow(spark, monkeypatch):
+    from sparkscope.sources import views
+
+    monkeypatch.setattr(views, "QUERY_ROWS", 600)
+    lines = views.breadcrumbs(spark, "/root/testdata/sf0.001", gathered=True)
+    assert lines.rdd.getNumPartitions() == -(-lines.count() // 600) > 4
+    assert spans.query_patterns(lines)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
