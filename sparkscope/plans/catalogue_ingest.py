@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators import analytics, issues, log_index, log_search, monitors, retention, rollup, spans, traces
+from ..operators import analytics, issues, log_index, log_search, monitors, retention, rollup, traces
 from ..sources import envelope, payloads, sinks, views
 from ..streaming import keys
 from ..streaming.ingest import Ingest
@@ -227,9 +227,8 @@ _SHARE = lambda c: f"CAST(CASE WHEN duration > 0 AND {c} IS NOT NULL THEN round(
 def transaction_export(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The export of every ingested request, section by section."""
     rows = payloads.transaction_rows(_routed(spark, sf_dir).filter("sink = 'transactions'"))
-    patterns = spans.query_patterns(payloads.breadcrumb_rows(rows), payloads.span_times(rows), payloads.TRANSACTION_KEYS)
     # Times of payloads are floating point: to the minute they are the same on every engine.
-    lines = sinks.export_sections(payloads.with_query_analysis(rows).withColumn("timestamp", F.date_trunc("minute", "timestamp")), patterns)
+    lines = sinks.export_sections(payloads.with_query_analysis(rows).withColumn("timestamp", F.date_trunc("minute", "timestamp")))
     return lines.select("transaction_id", "line", sinks.csv_line(F.col("cells")).alias("csv"))
 
 

@@ -126,5 +126,5 @@ def bursting_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
 def pattern_times(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The time of the spans of each shape, and whether a repeated shape is one text again and again."""
     rows = payloads.transaction_rows(_routed(spark, sf_dir).filter("sink = 'transactions'"))
-    found = spans.query_patterns(payloads.breadcrumb_rows(rows), payloads.span_times(rows), payloads.TRANSACTION_KEYS)
+    found = spans.patterns_of_rows(rows, payloads.TRANSACTION_KEYS)
     return found.select("transaction_id", "pattern", "count", "distinct_count", "total_time_ms")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.sql_text import once
+
 #: Item types that are accepted and not stored, and names of housekeeping transactions.
 IGNORED_TYPES = ("session", "sessions", "client_report", "statsd", "metric_buckets", "replay_event", "replay_recording", "profile", "profile_chunk")
 HOUSEKEEPING = ("SolidCable::", "ActiveStorage::")
@@ -138,21 +140,26 @@ def route(items: DataFrame, store_events: bool = True, store_transactions: bool
 
     The id is the payload's, else the envelope's; events and transactions without one are dropped.
     """
-    kind, data = F.col("item_type"), F.try_parse_json("payload")
-    text = lambda path: F.try_variant_get(data, path, "string")
-    name = F.coalesce(text("$.transaction"), F.lit(""))
-    own = F.coalesce(text("$.event_id"), F.get_json_object("envelope_headers", "$.event_id"))
-    housekeeping = F.greatest(*[name.startswith(p) for p in HOUSEKEEPING])
-    sink = (
-        F.when(F.col("error").isNotNull(), "dropped")
-        .when(kind.isin("log", "otel_log"), F.lit("logs" if store_logs else "dropped"))
-        .when(kind == "check_in", F.when(F.trim(text("$.monitor_slug")) != "", "check_ins").otherwise("dropped"))
-        .when(kind.isin(*IGNORED_TYPES) | own.isNull(), "dropped")
-        .when(kind == "event", F.lit("events" if store_events else "dropped"))
-        .when((kind == "transaction") & ~housekeeping, F.lit("transactions" if store_transactions else "dropped"))
-        .otherwise("dropped")
-    )
-    return items.withColumn("event_id", own).withColumn("sink", sink)
+    kind = F.col("item_type")
+
+    def routed(data: Column) -> Column:
+        text = lambda path: F.try_variant_get(data, path, "string")
+        own = F.coalesce(text("$.event_id"), F.get_json_object("envelope_headers", "$.event_id"))
+        housekeeping = once(F.coalesce(text("$.transaction"), F.lit("")), lambda name: F.greatest(*[name.startswith(p) for p in HOUSEKEEPING]))
+        sink = (
+            F.when(F.col("error").isNotNull(), "dropped")
+            .when(kind.isin("log", "otel_log"), F.lit("logs" if store_logs else "dropped"))
+            .when(kind == "check_in", F.when(F.trim(text("$.monitor_slug")) != "", "check_ins").otherwise("dropped"))
+            .when(kind.isin(*IGNORED_TYPES) | own.isNull(), "dropped")
+            .when(kind == "event", F.lit("events" if store_events else "dropped"))
+            .when((kind == "transaction") & ~housekeeping, F.lit("transactions" if store_transactions else "dropped"))
+            .otherwise("dropped")
+        )
+        return F.struct(own.alias("event_id"), sink.alias("sink"))
+
+    # A payload is parsed once for its id and its sink.
+    told = items.withColumn("_told", once(F.try_parse_json("payload"), routed))
+    return told.withColumn("event_id", F.col("_told.event_id")).withColumn("sink", F.col("_told.sink")).drop("_told")
 
 
 def otlp_chunks(payload: dict, limit: int = CHUNK_BYTES) -> Iterator[dict]:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.scalars import action_name, controller_name, other_time, share_pct
 from ..functions.sql_text import REPEAT_THRESHOLD
+from ..operators.spans import row_patterns
 
 
 def new_rows(rows: DataFrame, stored: DataFrame | None, keys: list[str]) -> DataFrame:
@@ -73,17 +74,21 @@ EXPORT_HEADINGS = (
 EXAMPLE_CHARS = 200
 
 
-def export_sections(transactions: DataFrame, patterns: DataFrame, keys: Sequence[str] = ("project_id", "transaction_id")) -> DataFrame:
+def export_sections(transactions: DataFrame, patterns: DataFrame | None = None, keys: Sequence[str] = ("project_id", "transaction_id")) -> DataFrame:
     """The lines of each request's export, ``keys, line, cells``: its own figures, then its query patterns, those that
     repeat too often, and its tags, each with a heading after a blank line and only where there are any.
 
-    ``patterns`` are ``query_patterns`` of the same keys.
+    ``patterns`` are ``query_patterns`` of the same keys; without them, each row's own ``breadcrumbs`` and ``spans`` tell them.
     """
     flagged = F.col("count") > REPEAT_THRESHOLD
     text = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if isinstance(c, str) else F.coalesce(c.cast("string"), F.lit(""))
     by_first = F.array_sort(F.collect_list(F.struct("pattern", "count", "example")))
-    told = patterns.groupBy(*keys).agg(by_first.alias("patterns"), F.count_if(flagged).alias("n_flagged"))
-    rows = transactions.join(told, list(keys), "left")
+    if patterns is None:
+        own_patterns = F.transform(row_patterns(), lambda p: F.struct(p["pattern"].alias("pattern"), p["count"].alias("count"), p["example"].alias("example")))
+        rows = transactions.withColumn("patterns", own_patterns).withColumn("n_flagged", F.size(F.filter("patterns", lambda p: p["count"] > REPEAT_THRESHOLD)))
+    else:
+        told = patterns.groupBy(*keys).agg(by_first.alias("patterns"), F.count_if(flagged).alias("n_flagged"))
+        rows = transactions.join(told, list(keys), "left")
     d, db, view, name = F.col("duration"), F.col("db_time"), F.col("view_time"), F.col("transaction_name")
     own = [text(c) for c in ("transaction_id", "timestamp", "transaction_name", "op")] + [text(c) for c in (d, db, view)] + [text(c) for c in ("environment", "release", "server_name", "http_method", "http_status", "http_url", "query_count")]
     own += [text(F.coalesce(F.size("patterns"), F.lit(0))), text(F.coalesce("n_flagged", F.lit(0))), text(share_pct(db, d)), text(share_pct(view, d)), text(other_time(d, db, view)), text(controller_name(name)), text(action_name(name)), text("timestamp")]

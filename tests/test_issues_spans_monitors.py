@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from sparkscope.operators import issues, log_search, monitors, retention, spans, traces
 from sparkscope.plans import catalogue
+from sparkscope.sources import envelope, payloads, views
 
 T = datetime(2024, 5, 1, 10)
 EVENT = "id long, event_id string, project_id int, timestamp timestamp, exception_type string, exception_value string, fingerprint string, environment string, release string, trace_id string"
@@ -184,3 +185,24 @@ def test_queries_are_gathered_once_in_parts_that_do_not_grow(spark, monkeypatch)
     lines = views.breadcrumbs(spark, "/root/testdata/sf0.001", gathered=True)
     assert lines.rdd.getNumPartitions() == -(-lines.count() // 600) > 4
     assert spans.query_patterns(lines)._jdf.queryExecution().executedPlan().toString().count("Exchange") == 1
+
+
+def test_patterns_of_rows_are_those_of_exploded_rows(spark):
+    sql = lambda *texts: [("sql.active_record", None, None, (t,)) for t in texts]
+    span = lambda op, text, a, b: (None, None, None, op, None, text, a, b)
+    rows = spark.createDataFrame([
+        (1, "a", [span("db.sql", "SELECT * FROM u WHERE id = 1", 0.0, 0.0125), span("db", "SELECT * FROM u WHERE id = 9", 1.0, 1.5), span("http", "SELECT 1", 0.0, 1.0), span("db", "SELECT 3 FROM never", 0.0, 1.0), span("db", "SELECT 'x' FROM v", None, 1.0), span(None, "SELECT 1", 0.0, 1.0), span("db", " ", 0.0, 1.0), span("db", None, 0.0, 1.0)],
+         sql("SELECT * FROM u WHERE id = 7", "SELECT 'y' FROM v", "SELECT * FROM u WHERE id = 1", "SELECT * FROM u WHERE id = 7", " ", None, "SELECT 1 FROM solid_queue_jobs", "/* c */", "") + [("http", None, None, ("SELECT 1",)), (None, None, None, ("SELECT 1",)), ("sql.active_record", None, None, None)]),
+        (2, "a", [span("db", "SELECT 5", 0.0, 0.1)], sql("SELECT 4", "SELECT 2")), (1, "none", [span("db", "SELECT 5", 0.0, 0.1)], None), (1, "empty", [], []), (1, "bare", None, sql("SELECT " + "a, " * 400 + "8"))],
+        f"project_id int, transaction_id string, spans {payloads.SPANS}, breadcrumbs {payloads.CRUMBS}")
+    want = spans.query_patterns(payloads.breadcrumb_rows(rows), payloads.span_times(rows), payloads.TRANSACTION_KEYS)
+    got = spans.patterns_of_rows(rows, payloads.TRANSACTION_KEYS)
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect())) and got.count() == 5
+
+
+def test_patterns_of_envelopes_take_one_reading(spark):
+    for name in ("pattern_times", "transaction_export"):
+        plan = catalogue.QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("EvalPythonUDTF") == 1 and plan.count("Exchange") == 1, name
+    routed = envelope.route(envelope.parse_envelopes(views.envelopes(spark, "/root/testdata/sf0.001"))).select("item_type", "sink", "event_id")
+    assert routed._jdf.queryExecution().optimizedPlan().toString().count("parseJson") == 1
