@@ -32,6 +32,8 @@ SHARD_WORDS, BLOCK_WORDS = 1 << 17, 1 << 12
 #: bitmaps that go to every task hold a bit for each, 128 MB at most.
 LEAST_BITS, MOST_BITS = 18, 30
 _PART_BITS = 18
+#: Buckets that are counted together, as a power of two: a task's counts of these move as one row.
+_BLOCK_BITS = 12
 #: Languages up to which their word counts are broadcast.
 SMALL = 100_000
 _MARK = b"\xff"
@@ -165,8 +167,9 @@ def _ids(held: dict[str, _Ids], name: str, bits: np.ndarray | None) -> _Ids:
     return held.setdefault(name, _Ids(name, bits)) if name in held or len(held) < 64 else _Ids(name, bits)
 
 
-def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, size: int, bits: dict[int, np.ndarray]) -> np.ndarray:
-    """The bitmap of sequences of ``size`` words that may occur ``least`` times, from those of what they consist of."""
+def _block_counts(spark: SparkSession, rows: DataFrame, least: int, buckets: int, size: int, bits: dict[int, np.ndarray]) -> DataFrame:
+    """``block, places, n``: how often the buckets of sequences of ``size`` words are met, ``least`` at most, by the bitmaps of
+    what they consist of. A task makes an array for each block of buckets, not a row for each bucket."""
     sent = spark.sparkContext.broadcast(bits)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -174,8 +177,13 @@ def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, s
 
         def told() -> pa.RecordBatch:
             at, place = np.unique(np.concatenate(found), return_inverse=True)
-            n = np.bincount(place, np.concatenate(times) if times else None)
-            return pa.RecordBatch.from_arrays([pa.array(at.astype(np.int64)), pa.array(n.astype(np.int64))], names=["bucket", "n"])
+            # Counts beyond the threshold say no more than the threshold.
+            n = np.minimum(np.bincount(place, np.concatenate(times) if times else None), least).astype(np.uint32)
+            own = (at >> np.uint64(_BLOCK_BITS)).astype(np.int32)
+            cuts = np.append(np.flatnonzero(np.diff(own, prepend=-1)), len(own)).tolist()
+            within = (at & np.uint64((1 << _BLOCK_BITS) - 1)).astype(np.uint16)
+            parts = [pa.array([x[a:b].tobytes() for a, b in zip(cuts, cuts[1:], strict=False)], pa.binary()) for x in (within, n)]
+            return pa.RecordBatch.from_arrays([pa.array(own[cuts[:-1]]), *parts], names=["block", "places", "n"])
 
         for name, own, weights in _by_language(batches):
             mixed, known, _ = _linked(_ids(held, name, sent.value.get(1)).of(own), size, {n: b for n, b in sent.value.items() if 1 < n < size})
@@ -189,7 +197,18 @@ def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, s
         if waiting:
             yield told()
 
-    counts = rows.mapInArrow(count, "bucket long, n long").groupBy("bucket").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
+    return rows.mapInArrow(count, "block int, places binary, n binary")
+
+
+def _link_bits(spark: SparkSession, rows: DataFrame, least: int, buckets: int, size: int, bits: dict[int, np.ndarray]) -> np.ndarray:
+    """The bitmap of sequences of ``size`` words that may occur ``least`` times, from those of what they consist of."""
+
+    def add(table: pa.Table) -> pa.Table:
+        places, n = (np.frombuffer(b"".join(table.column(c).to_pylist()), t) for c, t in (("places", np.uint16), ("n", np.uint32)))
+        enough = np.flatnonzero(np.bincount(places, n) >= least)
+        return pa.table({"bucket": pa.array(enough + (table.column("block")[0].as_py() << _BLOCK_BITS), pa.int64())})
+
+    counts = _block_counts(spark, rows, least, buckets, size, bits).groupBy("block").applyInArrow(add, "bucket long")
     return _bitmap(spark, counts, buckets)
 
 

@@ -4,11 +4,13 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from sparkscope.llm import phrases
 from sparkscope.llm.phrases import Automaton, collocations, segments, words
 
 SCHEMA = "doc_id long, text string, lang string"
@@ -166,3 +168,23 @@ def test_a_sequence_is_given_out_once_however_many_tasks_meet_it(spark):
     found = phrases._shard_counts(spark, runs, 5, {}, 1 << 17, 1 << 12).collect()
     counts = Counter(tuple(t.split()[i : i + k]) for _, t, *_ in rows for k in range(2, 6) for i in range(9 - k))
     assert len(found) == len(counts) and {tuple(r["phrase"].split()): r["n"] for r in found} == counts
+
+
+def test_counts_of_buckets_move_in_blocks_and_are_those_of_all_tasks(spark):
+    rng = np.random.default_rng(5)
+    texts = [" ".join(f"w{x}" for x in rng.zipf(1.2, 40) % 3000) for _ in range(600)]
+    rows = spark.createDataFrame([("en" if i % 3 else "de", t) for i, t in enumerate(texts)], "lang string, text string").repartition(6)
+    buckets, least = 1 << phrases.LEAST_BITS, 7
+    every = {1: np.full(buckets // 8, 255, np.uint8)}
+    met = {}
+    for i, text in enumerate(texts):
+        ids = phrases._Ids("en" if i % 3 else "de", None).of(phrases.words(text.encode()))
+        for b in phrases._bucket(phrases._mixed(ids[:-1], ids[1:]), buckets).tolist():
+            met[b] = met.get(b, 0) + 1
+    bits = phrases._link_bits(spark, rows, least, buckets, 2, every)
+    assert np.flatnonzero(np.unpackbits(bits, bitorder="little")).tolist() == sorted(b for b, n in met.items() if n >= least)
+    # With numbers: each text stands for several.
+    weighted = phrases._link_bits(spark, rows.withColumn("n", F.lit(300).cast("long")), 300, buckets, 2, every)
+    assert np.flatnonzero(np.unpackbits(weighted, bitorder="little")).tolist() == sorted(met)
+    blocks = phrases._block_counts(spark, rows, least, buckets, 2, every)
+    assert blocks.count() <= rows.rdd.getNumPartitions() * (buckets >> phrases._BLOCK_BITS) < len(met)
