@@ -240,31 +240,41 @@ def segments(found: list[bytes], ids: np.ndarray, most: int, bits: dict[int, np.
 
 
 def _runs(spark: SparkSession, rows: DataFrame, bits: dict[int, np.ndarray]) -> DataFrame:
-    """``lang, text, words, n``: the different runs of words that frequent pairs link, and how often each is met."""
+    """``lang, text, words``: what is left of each text, its runs of words that frequent pairs link, a line each, and how many
+    words these are.
+
+    A row for each text at most, no longer than the text itself, so that rows and bytes are bounded by the input's whatever is
+    frequent, and none moves between tasks.
+    """
     sent = spark.sparkContext.broadcast(bits)
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, _Ids] = {}
-        waiting: dict[tuple[str, bytes], int] = {}
-
-        def told() -> pa.RecordBatch:
-            texts = [t for _, t in waiting]
-            return pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in waiting], pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array([t.count(b" ") + 1 for t in texts], pa.int32()), pa.array(list(waiting.values()), pa.int64())],
-                names=["lang", "text", "words", "n"])
-
-        for name, own, _ in _by_language(batches):
-            for piece, *_ in segments(own, _ids(held, name, sent.value[1]).of(own), 2, {2: sent.value[2]}, len(own)):
-                key = name, b" ".join(piece)
-                waiting[key] = waiting.get(key, 0) + 1
-            if len(waiting) > 200_000:
-                yield told()
-                waiting.clear()
-        if waiting:
-            yield told()
-
-    met = rows.mapInArrow(cut, "lang string, text string, words int, n long")
-    return cut_lineage(met.groupBy("lang", "text", "words").agg(F.sum("n").alias("n")))
+        for batch in text_slices(batches, "text"):
+            texts: dict[str, list[bytes]] = {}
+            for name, text in zip(batch.column("lang").to_pylist(), text_bytes(batch, "text"), strict=True):
+                texts.setdefault(name, []).append(text)
+            langs, left, counts = [], [], []
+            for name, own in texts.items():
+                found, ends = [], []
+                for text in own:
+                    found += words(text + b"\n")
+                    ends.append(len(found))
+                linked = _linked(_ids(held, name, sent.value[1]).of(found), 2, {2: sent.value[2]})[2] > 1
+                # A run goes from the word before the first linked one to the last. Marks are never linked, so it lies in one text.
+                turns = np.diff(linked.astype(np.int8), prepend=0, append=0)
+                starts, stops = np.flatnonzero(turns > 0) - 1, np.flatnonzero(turns < 0)
+                runs = [b" ".join(found[a:b]) for a, b in zip(starts.tolist(), stops.tolist(), strict=True)]
+                before = np.append(0, np.cumsum(stops - starts)).tolist()
+                cuts = [0, *np.searchsorted(starts, ends).tolist()]
+                for a, b in zip(cuts, cuts[1:], strict=False):
+                    if a < b:
+                        langs.append(name)
+                        left.append(b"\n".join(runs[a:b]))
+                        counts.append(before[b] - before[a])
+            yield pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(left, pa.binary()).cast(pa.string()), pa.array(counts, pa.int64())], names=["lang", "text", "words"])
+
+    return cut_lineage(rows.mapInArrow(cut, "lang string, text string, words long"))
 
 
 class Automaton:
@@ -347,14 +357,15 @@ def _ends(spark: SparkSession, runs: DataFrame, most: int, bits: dict[int, np.nd
         held: dict[str, _Ids] = {}
         for name, own, weights in _by_language(batches):
             reach = _linked(_ids(held, name, None).of(own), most, sent.value)[2]
+            times = np.ones(len(own), np.int64) if weights is None else weights
             places = np.flatnonzero(reach > 1)
             for at in range(0, len(places), block):
                 last = places[at : at + block]
                 sizes = reach[last].tolist()
                 texts = [b" ".join(own[end - size : end]) for end, size in zip((last + 1).tolist(), sizes, strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(weights[last])], names=["lang", "text", "n"])
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(texts), pa.string()), pa.array(texts, pa.binary()).cast(pa.string()), pa.array(times[last])], names=["lang", "text", "n"])
 
-    met = runs.select("lang", "text", "n").mapInArrow(longest, "lang string, text string, n long")
+    met = runs.select(*[c for c in ("lang", "text", "n") if c in runs.columns]).mapInArrow(longest, "lang string, text string, n long")
     return met.groupBy("lang", "text").agg(F.sum("n").alias("n"))
 
 
@@ -425,7 +436,7 @@ def collocations(docs: DataFrame, text_col: str = "text", group_col: str = "lang
     bits = {1: _word_bits(spark, frequent, buckets)}
     bits[2] = _link_bits(spark, rows, least, buckets, 2, bits)
     runs = _runs(spark, rows, bits)
-    buckets = _buckets(runs.agg(F.sum(F.col("words") * F.col("n"))).first()[0] or 0, least)
+    buckets = _buckets(runs.agg(F.sum("words")).first()[0] or 0, least)
     bits = {}
     for size in range(3, most + 1):
         bits[size] = _link_bits(spark, runs.filter(F.col("words") >= size), least, buckets, size, bits)

@@ -188,3 +188,23 @@ def test_counts_of_buckets_move_in_blocks_and_are_those_of_all_tasks(spark):
     assert np.flatnonzero(np.unpackbits(weighted, bitorder="little")).tolist() == sorted(met)
     blocks = phrases._block_counts(spark, rows, least, buckets, 2, every)
     assert blocks.count() <= rows.rdd.getNumPartitions() * (buckets >> phrases._BLOCK_BITS) < len(met)
+
+
+def test_what_is_left_of_a_text_is_one_row_no_longer_than_the_text(spark):
+    """Rows grow with the texts, however many different runs of words these hold."""
+    rng = random.Random(11)
+    texts = ["".join(f"W{rng.randrange(60)}" + rng.choice([" ", " ", " ", "\t", ", ", ".\n"]) for _ in range(rng.randrange(300))) for _ in range(80)]
+    texts += ["", " .,", "w1", None, "w1 " * 5000, texts[0], texts[0]]
+    langs = ["en" if i % 3 else "de" for i in range(len(texts))]
+    rows = phrases._rows(spark.createDataFrame([*zip(langs, texts, strict=True)], "lang string, text string").repartition(5), "text", "lang")
+    bits = {1: np.full(1 << 15, 255, np.uint8), 2: np.random.default_rng(2).integers(0, 256, 1 << 15).astype(np.uint8)}
+    wanted, runs = [], set()
+    for lang, text in zip(langs, texts, strict=True):
+        found = words((text or "").encode())
+        own = [b" ".join(p).decode() for p, *_ in segments(found, phrases._Ids(lang, bits[1]).of(found), 2, {2: bits[2]}, len(found))]
+        assert len("\n".join(own)) <= len(text or "")
+        wanted += [(lang, "\n".join(own), sum(len(x.split()) for x in own))] if own else []
+        runs.update((lang, x) for x in own)
+    found = phrases._runs(spark, rows, bits).select("lang", "text", "words").collect()
+    assert sorted(map(tuple, found)) == sorted(wanted)
+    assert len(found) <= len(texts) < len(runs)
