@@ -269,3 +269,57 @@ def test_postings_move_once(spark):
         for i, token in enumerate(r["tokens"].split(" ")):
             places[r["id"], r["field"], token] = r["positions"][r["starts"][i] - 1 : r["starts"][i + 1] - 1]
     assert places == {(1, 0, "a"): [0, 2], (1, 0, "b"): [1], (1, 0, "c"): [3], (1, 1, "b"): [0], (1, 1, "x"): [1], (2, 1, "a"): [0]}
+
+
+def test_rows_of_large_batches_do_not_move(spark, tmp_path, monkeypatch):
+    """Facts are written from where a batch's items were, whatever was stored before, and folded day by day; of what is folded and
+    of a batch's items no file is left."""
+    from sparkscope.streaming import ingest
+
+    monkeypatch.setattr(ingest, "MOVED_BYTES", 0, raising=False)
+    monkeypatch.setattr(ingest, "FEW_KEYS", 3)
+    pipeline, source, plans, put = Ingest(spark, str(tmp_path / "t")), views.envelopes(spark, "/root/testdata/sf0.001"), {}, Ingest._put
+
+    def told(self, rows, table, batch_id, *by):
+        plans[table, batch_id] = rows._jdf.queryExecution().executedPlan().toString()
+        put(self, rows, table, batch_id, *by)
+
+    def moved():
+        spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+        return spark.sparkContext._jsc.sc().statusStore().executorList(False).apply(0).totalShuffleWrite()
+
+    monkeypatch.setattr(Ingest, "_put", told)
+    early = F.dayofmonth("received_at") < 12
+    pipeline.process(source.filter(early), 0)
+    pipeline.compact(0)
+    assert pipeline.vacuum() > 0
+    pipeline.process(source.filter(~early | (F.second("received_at") < 30)), 1)
+    for table in ("transactions", "events"):
+        for batch_id in (0, 1):
+            assert not any(x in plans[table, batch_id] for x in ("hashpartitioning", "rangepartitioning", "REBALANCE")), plans[table, batch_id]
+    assert "BroadcastExchange" in plans["transactions", 1]  # what came again was told
+    before, rows = moved(), pipeline.read("transactions").count()
+    between = moved()
+    pipeline._fold("transactions", 1)
+    assert moved() - between < 100 + between - before  # counting moves a few bytes, folding none
+    folded = spark.read.parquet(str(tmp_path / "t" / "transactions_compacted" / "upto=1"))
+    wanted = spark.read.parquet("/root/testdata/sf0.001/events.parquet").filter("event_id % 37 != 0 AND event_id % 31 != 0")
+    assert folded.count() == rows == wanted.count() == folded.select("project_id", "transaction_id").distinct().count()
+    assert folded.filter("day != to_date(timestamp)").count() == 0 and folded.select("day").distinct().count() > 5
+    assert pipeline.vacuum() > 0 and pipeline.read("transactions").count() == rows
+    assert not list((tmp_path / "t" / "staged").glob("*")) and not list((tmp_path / "t" / "transactions").glob("batch_id=*"))
+
+
+def test_rows_are_told_from_many_held_keys_by_filters(spark, tmp_path):
+    """The filters' mistakes are put right, keys with nulls stay, and nothing but keys moves."""
+    rows = spark.range(6000).select((F.col("id") % 5).cast("int").alias("a"), F.col("id").cast("string").alias("b"), F.lit("text").alias("text"))
+    rows = rows.unionByName(rows.limit(3).withColumn("a", F.lit(None).cast("int")))
+    rows.filter("a IS NOT NULL AND cast(b AS int) % 2 = 0").select("a", "b").write.parquet(str(tmp_path / "held"))
+    held = spark.read.parquet(str(tmp_path / "held"))
+    wanted = sorted(map(str, rows.join(held, ["a", "b"], "left_anti").collect()))
+    for few in (1000, 0, 10_000):  # by filters, with more mistakes than are named, and by the keys themselves
+        found = keys.without(rows, ["a", "b"], held, str(tmp_path / f"few={few}"), few)
+        assert sorted(map(str, found.collect())) == wanted, few
+    plan = keys.without(rows, ["a", "b"], held, str(tmp_path / "again"), 1000)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "bits" in plan
+    assert keys.without(rows, ["a", "b"], held.filter("a < 0"), str(tmp_path / "none"), 1000) is rows
